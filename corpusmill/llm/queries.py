@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, suffixes
+from . import quality, recompress, suffixes
 from .oracles import ORACLES
 
 
@@ -29,7 +29,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op6_quality_rules)}
+def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return recompress.cut_repeats(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op6_quality_rules, op8_recompression)}
 
 
 def queries() -> dict:
