@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, recompress, suffixes
+from . import quality, recompress, simhash, suffixes
 from .oracles import ORACLES
 
 
@@ -23,6 +23,12 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.hex("fp")  # of the little-endian bytes
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, reach=4)
+    return found.select("doc_id", F.lower(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(8)])).alias("fingerprint"), "component_id")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -36,7 +42,7 @@ def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op6_quality_rules, op8_recompression)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_simhash, op6_quality_rules, op8_recompression)}
 
 
 def queries() -> dict:
