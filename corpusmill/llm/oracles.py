@@ -38,3 +38,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (size - held) <= 50 * size AS kept
 FROM base
 """
+
+ORACLES["op1_mixing"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0, 2.0, 1.0][(place % 3) + 1]::DOUBLE AS weight, (2 * source_size)::DOUBLE AS cap FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+             - coalesce(sum(cap) OVER (ORDER BY cap / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w
+), t AS (
+  SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM l
+), r AS (
+  SELECT d.doc_id, d.source, d.size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+         row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id NULLS LAST) - 1 AS place,
+         ('0x' || substr(md5('17:' || coalesce('s' || d.source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT *, least(rate - floor(rate), 1 - (rate - floor(rate))) AS rarer FROM r
+), st AS (
+  SELECT *, CASE WHEN rarer > 1e-9 THEN greatest(1, round(1 / rarer)) ELSE 1 END::BIGINT AS stretch FROM q
+), turned AS (
+  SELECT *, CASE WHEN (place // stretch) % 2 = 1 THEN (place // stretch) * stretch + stretch - 1 - place % stretch ELSE place END AS pos FROM st
+)
+SELECT doc_id, size, source_size, target, (least(2, floor((pos + 1) * rate + u) - floor(pos * rate + u)) * size)::BIGINT AS taken FROM turned
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, recompress, simhash, suffixes
+from . import mixing, quality, recompress, secrets, simhash, suffixes
 from .oracles import ORACLES
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.cut_repeats(_table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -35,6 +40,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    return secrets.scan(_table(spark, sf_dir, "documents")).select(
+        "doc_id", *[count(k) for k in secrets.BASE_KINDS], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans")
+    )
+
+
 def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return recompress.cut_repeats(_table(spark, sf_dir, "documents")).select(
@@ -42,7 +60,7 @@ def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_simhash, op6_quality_rules, op8_recompression)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op4_simhash, op6_quality_rules, op7_secrets, op8_recompression)}
 
 
 def queries() -> dict:
