@@ -3,7 +3,8 @@
 Every document of a source expects the same number of copies, its source's target over its source's size. Copies add up
 along the source, one random offset is added, and a document is emitted once for each whole number that the sum crosses.
 Documents are lined up by size, and every other stretch of that line is turned round, so that neighbours stand for each
-other and the words taken come close to the target.
+other and the words taken come close to the target. Documents that hold over a fiftieth of their source are drawn first;
+the others' expected copies then make up for what those took too much or too little.
 
 The order needs every document's place within its source: documents are range-partitioned by source and size, numbered
 inside each partition, and partition counts give the offsets, so no source meets in one task.
@@ -25,6 +26,8 @@ WEIGHTS = (5, 2, 1)
 #: Percent of all words that the sources share, and the most copies of a document.
 SHARE, MOST_COPIES = 150, 2
 SEED = 17
+#: A document with more than its source's size over this is drawn first; a source has fewer than so many of them.
+LARGE = 50
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
@@ -89,7 +92,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: int = SHARE,
     sources = sources.withColumnRenamed("source", "_s")
     out = rows.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     out = out.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    at = _turned(F.col("place"), F.col("rate"))
-    edge = lambda k: F.floor((at + k) * F.col("rate") + _offset(F.col("source"), seed))
-    copies = F.least(F.lit(most), edge(1) - edge(0)).cast("long")
-    return out.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies")
+    out = out.withColumn("u", _offset(F.col("source"), seed)).withColumn("large", F.col("size") * LARGE > F.col("source_size"))
+
+    def copies(at: Column, rate: Column) -> Column:
+        edge = lambda k: F.floor((at + k) * rate + F.col("u"))
+        return F.least(F.lit(most), edge(1) - edge(0)).cast("long")
+
+    drawn = F.when(F.col("large"), copies(F.col("place"), F.col("rate")))
+    first = out.where("large").groupBy(F.col("source").alias("_s")).agg(
+        F.count("*").alias("n_large"), F.sum("size").alias("large_size"), F.sum(drawn * F.col("size")).alias("large_taken")
+    )
+    out = out.join(first, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    n_large, large_size, large_taken = (F.coalesce(c, F.lit(0)) for c in ("n_large", "large_size", "large_taken"))
+    rest = F.col("source_size") - large_size
+    other = F.when(rest > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), (F.col("target") - large_taken) / rest))).otherwise(F.col("rate"))
+    out = out.withColumn("rate", F.when(F.col("large"), F.col("rate")).otherwise(other)).withColumn("place", F.col("place") - F.when(F.col("large"), 0).otherwise(n_large))
+    at = F.when(F.col("large"), F.col("place")).otherwise(_turned(F.col("place"), F.col("rate")))
+    return out.withColumn("copies", copies(at, F.col("rate"))).select("doc_id", "source", "size", "source_size", "target", "copies")

@@ -58,12 +58,23 @@ WITH d AS (
          row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id NULLS LAST) - 1 AS place,
          ('0x' || substr(md5('17:' || coalesce('s' || d.source, 'null')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), g AS (
+  SELECT *, size * 50 > source_size AS large,
+         least(2, floor((place + 1) * rate + u) - floor(place * rate + u)) * size AS drawn FROM r
+), h AS (
+  SELECT source AS s, count(*) AS n_large, sum(size) AS large_size, sum(drawn) AS large_taken FROM g WHERE large GROUP BY source
+), j AS (
+  SELECT doc_id, size, source_size, target, u, large,
+         CASE WHEN large THEN place ELSE place - coalesce(n_large, 0) END AS place,
+         CASE WHEN large OR source_size - coalesce(large_size, 0) = 0 THEN rate
+              ELSE greatest(0.0::DOUBLE, least(2.0::DOUBLE, (target - coalesce(large_taken, 0)) / (source_size - coalesce(large_size, 0)))) END AS rate
+  FROM g LEFT JOIN h ON g.source IS NOT DISTINCT FROM h.s
 ), q AS (
-  SELECT *, least(rate - floor(rate), 1 - (rate - floor(rate))) AS rarer FROM r
+  SELECT *, least(rate - floor(rate), 1 - (rate - floor(rate))) AS rarer FROM j
 ), st AS (
   SELECT *, CASE WHEN rarer > 1e-9 THEN greatest(1, round(1 / rarer)) ELSE 1 END::BIGINT AS stretch FROM q
 ), turned AS (
-  SELECT *, CASE WHEN (place // stretch) % 2 = 1 THEN (place // stretch) * stretch + stretch - 1 - place % stretch ELSE place END AS pos FROM st
+  SELECT *, CASE WHEN NOT large AND (place // stretch) % 2 = 1 THEN (place // stretch) * stretch + stretch - 1 - place % stretch ELSE place END AS pos FROM st
 )
 SELECT doc_id, size, source_size, target, (least(2, floor((pos + 1) * rate + u) - floor(pos * rate + u)) * size)::BIGINT AS taken FROM turned
 """
