@@ -78,3 +78,13 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (least(2, floor((pos + 1) * rate + u) - floor(pos * rate + u)) * size)::BIGINT AS taken FROM turned
 """
+
+ORACLES["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND first > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND first > page_id THEN first END AS refers_to
+FROM m
+"""

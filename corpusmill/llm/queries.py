@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, recompress, secrets, simhash, suffixes
+from . import mixing, quality, recompress, secrets, simhash, suffixes, urls, warc
 from .oracles import ORACLES
 
 
@@ -28,6 +28,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     digits = F.hex("fp")  # of the little-endian bytes
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, reach=4)
@@ -60,7 +64,11 @@ def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op4_simhash, op6_quality_rules, op7_secrets, op8_recompression)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_url_rules, op4_simhash, op6_quality_rules, op7_secrets, op8_recompression, op10_warc)}
 
 
 def queries() -> dict:
