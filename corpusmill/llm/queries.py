@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, recompress, secrets, simhash, suffixes, urls, warc
+from . import decontaminate, mixing, quality, recompress, rollups, secrets, simhash, suffixes, urls, warc
+from .common import materialize, work_dir
 from .oracles import ORACLES
 
 
@@ -38,6 +39,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(8)])).alias("fingerprint"), "component_id")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -64,11 +70,28 @@ def op8_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a load with estimates, its revision by real counts, the deletion of copies, and late repeats of all three."""
+    docs = _table(spark, sf_dir, "documents")
+    folder = work_dir(spark)
+    estimate = rollups.count_by(docs, "estimate-1", F.ceil(F.col("n_chars") / 4))
+    counted = materialize(rollups.count_tokens(docs, "byte-bpe-50k"))
+    copies = materialize(rollups.copies(docs, counted))
+    batches = {
+        "0001-load": rollups.inserts(estimate),
+        "0002-revise": rollups.revisions(estimate, counted),
+        "0003-copies": rollups.deletes(copies),
+    }
+    for batch in [*batches, *batches]:
+        rollups.commit(batches[batch], folder, batch)
+    return rollups.totals(spark, folder)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_url_rules, op4_simhash, op6_quality_rules, op7_secrets, op8_recompression, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_url_rules, op4_simhash, op5_decontamination, op6_quality_rules, op7_secrets, op8_recompression, op9_token_rollups, op10_warc)}
 
 
 def queries() -> dict:
