@@ -1,7 +1,7 @@
 """Queries over the test tables and their DuckDB twins."""
 
-from . import catalogue, dedup, events, retrieval
+from . import catalogue, dedup, events, retrieval, texts
 
-_MODULES = (retrieval, dedup, catalogue, events)
+_MODULES = (retrieval, dedup, catalogue, events, texts)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
