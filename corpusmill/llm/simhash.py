@@ -29,7 +29,7 @@ from .repeats import U64, column, freeze, mix, runs, split_by, thaw
 SEED = 42
 #: A bucket with more nodes than this, and than a ten-thousandth of all, is compared in blocks by several tasks.
 BLOCK = 4096
-#: Pairs compared at once.
+#: Fingerprint words of the pairs that are compared at once.
 STEP = 1 << 21
 #: Cost of a probe and of a candidate, in the same unit.
 PROBE_COST, CANDIDATE_COST = 1.0, 0.01
@@ -207,7 +207,7 @@ def _forest(key, role, node, fps, limit):
     at = 0
     while at < len(todo):
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + STEP, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, base + STEP // fps.shape[1], side="right")))
         some = todo[at:to]
         c = count[some]
         left = np.repeat(some, c)
