@@ -69,7 +69,7 @@ def index_text(title: Column, content: Column) -> Column:
 
 def clean_tags(tags: Column) -> Column:
     """Trimmed, without empty ones, each once in first-seen order."""
-    return F.array_distinct(F.filter(F.transform(tags, F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def tag_delta(current: Column, removed: Column, added: Column) -> Column:

@@ -278,7 +278,7 @@ def _front(name: str, text: Column) -> Column:
 
 def read_bundle(spark: SparkSession, folder: str, names: tuple[str, ...] = ("title", "type")) -> DataFrame:
     """(path, the named front-matter values, body) of Markdown files."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(folder)
+    files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(folder, wholetext=True)
     body = F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n+", "")
     return files.select(F.input_file_name().alias("path"), *[_front(n, F.col("value")).alias(n) for n in names], body.alias("body"))
 
