@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -19,3 +23,14 @@ def session(name: str = "corpusmill", **settings: str) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables; events carry microseconds without a zone and are read as UTC."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the session's executors, once; they need not find it on a path of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_corpusmill", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / root.name
+    context.addPyFile(shutil.make_archive(str(archive), "zip", root.parent, root.name))
+    context._corpusmill = True
