@@ -97,7 +97,7 @@ def range_rule_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reconcile_full_outer(spark: SparkSession, d: str) -> DataFrame:
-    customers = table(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("id"))
+    customers = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("id"))
     return C.reconcile(customers, orders, "id")
 
@@ -132,10 +132,10 @@ def alias_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    suppliers = table(spark, d, "supplier").select("s_name")
-    customers = table(spark, d, "customer").where("c_custkey <= 60").select("c_name")
-    left = customers.select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("c_name"))
-    return C.best_match(left, suppliers, "c_name", "s_name", 0.8)
+    """Types without their vowels find the type they come from."""
+    types = table(spark, d, "part").select("p_type").distinct()
+    left = types.select(F.concat(F.substring("p_type", 1, 1), F.regexp_replace(F.substring("p_type", 2, 100), "[AEIOUaeiou]", "e")).alias("typed"))
+    return C.best_match(left, types, "typed", "p_type", 0.6)
 
 
 def tags_by_group(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +197,7 @@ def excel_dates(spark: SparkSession, d: str) -> DataFrame:
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where(F.lower("text").contains("token"))
-    return docs.select("doc_id", T.snippet(F.col("text"), "token").alias("snippet"), T.context_xml(F.col("doc_id"), F.substring("text", 1, 60)).alias("block"))
+    return docs.select("doc_id", T.snippet(F.col("text"), "token").alias("snippet"), F.md5(T.context_xml(F.col("doc_id"), F.col("text")).cast("binary")).alias("block"))
 
 
 QUERIES = {
@@ -234,7 +234,7 @@ WHERE quality IS NULL OR quality = 0""",
     "range_rule_join": """SELECT p_partkey, p_size, rule_id, label FROM part JOIN (VALUES (1, 1, 10, 'small'), (2, 8, 25, 'middle'), (3, 26, 50, 'large')) r(rule_id, low, high, label)
 ON p_size BETWEEN low AND high""",
     "reconcile_full_outer": """SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'missing' ELSE 'orphan' END AS state
-FROM (SELECT c_custkey AS id FROM customer WHERE c_custkey % 5 <> 0) a FULL JOIN (SELECT DISTINCT o_custkey AS id FROM orders) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL""",
+FROM (SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0) a FULL JOIN (SELECT DISTINCT o_custkey AS id FROM orders) b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL""",
     "ancestry_paths": """WITH RECURSIVE e AS (SELECT 'r' || r_regionkey AS node, NULL::VARCHAR AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
 UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), w AS (SELECT node, node AS root, 0::BIGINT AS depth, node AS path FROM e WHERE parent IS NULL
 UNION ALL SELECT e.node, w.root, w.depth + 1, w.path || '>' || e.node FROM e JOIN w ON e.parent = w.node) SELECT node, root, depth, path FROM w""",
@@ -243,9 +243,9 @@ FROM lineitem GROUP BY l_orderkey""",
     "hydrate": "SELECT doc_id, source, substr(text, 1, 40) AS head FROM labels JOIN documents USING (doc_id) WHERE quality = 1",
     "alias_conflicts": """SELECT alias, count(DISTINCT p_partkey) AS owners, min(p_partkey) AS first_owner FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS alias FROM part)
 GROUP BY alias HAVING count(DISTINCT p_partkey) > 1""",
-    "fuzzy_match": """WITH p AS (SELECT c_name, s_name, round(1 - levenshtein(lower(c_name), lower(s_name))::DOUBLE / greatest(length(c_name), length(s_name)), 6) AS likeness
-FROM (SELECT DISTINCT replace(c_name, 'Customer', 'Supplier') AS c_name FROM customer WHERE c_custkey <= 60), (SELECT DISTINCT s_name FROM supplier)
-WHERE lower(c_name[1:1]) = lower(s_name[1:1])) SELECT * FROM p WHERE likeness >= 0.8 QUALIFY row_number() OVER (PARTITION BY c_name ORDER BY likeness DESC, s_name) = 1""",
+    "fuzzy_match": """WITH t AS (SELECT DISTINCT p_type FROM part), l AS (SELECT DISTINCT p_type[1:1] || regexp_replace(substr(p_type, 2, 100), '[AEIOUaeiou]', 'e', 'g') AS typed FROM t),
+p AS (SELECT typed, p_type, round(1 - levenshtein(lower(typed), lower(p_type))::DOUBLE / greatest(length(typed), length(p_type)), 6) AS likeness FROM l JOIN t ON lower(typed[1:1]) = lower(p_type[1:1]))
+SELECT * FROM p WHERE likeness >= 0.6 QUALIFY row_number() OVER (PARTITION BY typed ORDER BY likeness DESC, p_type) = 1""",
     "tags_by_group": "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS tags FROM documents GROUP BY source",
     "next_version": "SELECT o_custkey, coalesce(max(o_orderkey), 0) + 1 AS next FROM orders GROUP BY o_custkey",
     "contiguity": "SELECT conv_id, count(*) AS n, min(turn) AS low, max(turn) AS high, max(turn) - min(turn) + 1 = count(*) AS whole FROM conversations GROUP BY conv_id",
@@ -262,6 +262,6 @@ CASE WHEN length(s) <= 20 THEN s ELSE substr(regexp_replace(substr(s, 1, 21), '-
 FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)""",
     "excel_dates": "SELECT p_partkey, (DATE '1899-12-30' + (p_partkey + 40000)::INT)::DATE::VARCHAR AS day FROM part",
     "snippets": """SELECT doc_id, substr(text, greatest(1, instr(lower(text), 'token') - 80), 240) AS snippet,
-'<block id="' || doc_id || '">' || replace(replace(replace(replace(substr(text, 1, 60), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</block>' AS block
+md5('<block id="' || doc_id || '">' || replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</block>') AS block
 FROM documents WHERE contains(lower(text), 'token')""",
 }

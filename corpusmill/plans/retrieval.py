@@ -109,13 +109,13 @@ def score_normalise(spark: SparkSession, d: str) -> DataFrame:
 
 def exact_promotion(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select("p_brand", "p_partkey", "p_type", "p_retailprice")
-    out = R.promote(parts, "p_brand", "p_retailprice", F.col("p_type").ilike("%steel%"))
+    out = R.promote(parts, "p_brand", "p_retailprice", F.col("p_type").ilike("%promo%"))
     return out.select("p_brand", "p_partkey", F.round("p_retailprice", 4).alias("score"))
 
 
 def unmatched_dropped(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").select("p_brand", "p_partkey", "p_name")
-    return R.drop_unmatched(parts, "p_brand", F.col("p_partkey") % 7 == 0)
+    parts = table(spark, d, "part").select("p_brand", "p_partkey", "p_type")
+    return R.drop_unmatched(parts, "p_brand", F.col("p_type").ilike("%promo%"))
 
 
 def ndcg_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -158,9 +158,9 @@ FROM d GROUP BY source, lang""",
     "context_budget": """SELECT source, doc_id, n_chars, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used
 FROM documents QUALIFY used < 32000""",
     "score_normalise": "SELECT source, doc_id, round(n_chars::DOUBLE / max(n_chars) OVER (PARTITION BY source), 6) AS share FROM documents",
-    "exact_promotion": """SELECT p_brand, p_partkey, round(p_retailprice + CASE WHEN p_type ILIKE '%steel%' THEN max(p_retailprice) OVER (PARTITION BY p_brand) ELSE 0 END, 4) AS score FROM part""",
-    "unmatched_dropped": """SELECT p_brand, p_partkey, p_name FROM part
-QUALIFY p_partkey % 7 = 0 OR max((p_partkey % 7 = 0)::INT) OVER (PARTITION BY p_brand) = 0""",
+    "exact_promotion": """SELECT p_brand, p_partkey, round(p_retailprice + CASE WHEN p_type ILIKE '%promo%' THEN max(p_retailprice) OVER (PARTITION BY p_brand) ELSE 0 END, 4) AS score FROM part""",
+    "unmatched_dropped": """SELECT p_brand, p_partkey, p_type FROM part
+QUALIFY p_type ILIKE '%promo%' OR max((p_type ILIKE '%promo%')::INT) OVER (PARTITION BY p_brand) = 0""",
     "ndcg_recall": f"""WITH {_DENSE}, total AS (SELECT label, count(*) - 1 AS n FROM embeddings GROUP BY label),
 got AS (SELECT query_id, query_label, sum(CASE WHEN label = query_label THEN 1.0::DOUBLE / log2(rank + 2) ELSE 0 END) AS dcg, sum((label = query_label)::INT) AS hits
   FROM dense WHERE rank < 10 GROUP BY query_id, query_label)
