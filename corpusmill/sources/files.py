@@ -7,6 +7,7 @@ import email.policy
 import io
 import re
 import zipfile
+import zlib
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -174,6 +175,72 @@ def docx_blocks(raw: bytes) -> list[Block]:
     return out
 
 
+def _ends(node, name: str) -> str | None:
+    return next((v for k, v in node.attrib.items() if k.rpartition("}")[2] == name), None)
+
+
+def docx_comments(raw: bytes) -> list[tuple[int, int, str, str, bool]]:
+    """(thread, comment, author, text, resolved): threads by the comment that others answer, members by number.
+
+    A thread is resolved if all of its comments with a known state are. Parents on a circle end at its least number.
+    """
+    safe_members(raw)
+    archive = zipfile.ZipFile(io.BytesIO(raw))
+    root, more = _xml(archive, "word/comments.xml"), _xml(archive, "word/commentsExtended.xml")
+    found, by_para = {}, {}
+    for c in root if root is not None else ():
+        number = int(_ends(c, "id") or 0)
+        found[number] = (_ends(c, "author") or "", "\n".join("".join(t.text or "" for t in p.iter() if _tag(t) == "t") for p in c.iter() if _tag(p) == "p"))
+        by_para |= {para: number for p in c.iter() if _tag(p) == "p" and (para := _ends(p, "paraId"))}
+    parent, done = {}, {}
+    for x in more if more is not None else ():
+        if (number := by_para.get(_ends(x, "paraId"))) is not None:
+            done[number] = _ends(x, "done") in ("1", "true")
+            if (up := by_para.get(_ends(x, "paraIdParent"))) is not None:
+                parent[number] = up
+
+    def top(number: int) -> int:
+        seen = [number]
+        while (up := parent.get(seen[-1])) is not None:
+            if up in seen:
+                return min(seen[seen.index(up) :])
+            seen.append(up)
+        return seen[-1]
+
+    threads: dict[int, list[int]] = {}
+    for number in sorted(found):
+        threads.setdefault(top(number), []).append(number)
+    closed = {t: bool(known := [done[n] for n in members if n in done]) and all(known) for t, members in threads.items()}
+    return [(t, n, *found[n], closed[t]) for t, members in sorted(threads.items()) for n in members]
+
+
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
+_SHOWN = re.compile(rb"\[((?:\((?:\\.|[^\\()])*\)|[^\]])*)\]\s*TJ|(\((?:\\.|[^\\()])*\))\s*(?:Tj|'|\")|(T\*|Td|TD|ET)", re.S)
+_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"(": b"(", b")": b")", b"\\": b"\\"}
+
+
+def pdf_blocks(raw: bytes) -> list[Block]:
+    """Text that content streams show in simple fonts: a line for each text line, a paragraph between blank lines."""
+    out: list[Block] = []
+    for m in _STREAM.finditer(raw):
+        try:
+            data = zlib.decompress(m[1])
+        except zlib.error:
+            data = m[1]
+        if b"BT" not in data:
+            continue
+        text = b""
+        for shown in _SHOWN.finditer(data):
+            if shown[3]:
+                text += b"\n" if shown[3] != b"ET" else b"\n\n"
+            else:
+                parts = _STRING.findall(shown[1] if shown[1] is not None else shown[2])
+                text += b"".join(re.sub(rb"\\(.)", lambda e: _ESCAPES.get(e[1], e[1]), x) for x in parts)
+        out += [("root", "paragraph", 0, x.strip()) for x in re.split(r"\n\s*\n", text.decode("cp1252", "replace")) if x.strip()]
+    return out
+
+
 def xlsx_cells(raw: bytes) -> list[tuple[str, int, str, str | None, str | None]]:
     """(sheet, row, column letters, value, formula) of all cells."""
     safe_members(raw)
@@ -224,7 +291,7 @@ def text_blocks(raw: bytes) -> list[Block]:
 
 
 PARSERS = {
-    "eml": mail_blocks, "docx": docx_blocks, "xlsx": xlsx_blocks, "zip": zip_blocks, "txt": text_blocks, "md": text_blocks,
+    "eml": mail_blocks, "docx": docx_blocks, "pdf": pdf_blocks, "xlsx": xlsx_blocks, "zip": zip_blocks, "txt": text_blocks, "md": text_blocks,
     "html": lambda raw: [("root", "paragraph", 0, b) for b in html_blocks(raw.decode("utf-8", "replace"))],
 }
 

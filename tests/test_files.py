@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from email.message import EmailMessage
 
 import pytest
@@ -84,3 +85,23 @@ def test_bundles_and_events(spark, tmp_path):
     assert (r.title, r.type, r.body) == ("A b", "note", "# A\n\nbody\n")
     got = files.read_events(spark, str(tmp_path / "e.jsonl"), "a int").cache().collect()
     assert [(x.a, x._corrupt_record) for x in got] == [(1, None), (None, "broken")]
+
+
+def test_comment_threads():
+    ns = 'xmlns:w="urn:w" xmlns:x="urn:x"'
+    comment = lambda n, para, t: f'<w:comment w:id="{n}" w:author="A{n}"><w:p x:paraId="{para}"><w:r><w:t>{t}</w:t></w:r></w:p></w:comment>'
+    state = lambda para, done, up="": f'<x:commentEx x:paraId="{para}" x:done="{done}" {f"x:paraIdParent={up!r}" if up else ""}/>'
+    raw = zipped(
+        {
+            "word/comments.xml": f"<w:comments {ns}>{comment(2, 'b', 'answer')}{comment(1, 'a', 'ask')}{comment(10, 'c', 'other')}{comment(11, 'd', 'loop')}</w:comments>",
+            "word/commentsExtended.xml": f"<x:ex {ns}>{state('a', 1)}{state('b', 1, 'a')}{state('c', 0, 'd')}{state('d', 1, 'c')}</x:ex>",
+        }
+    )
+    assert files.docx_comments(raw) == [(1, 1, "A1", "ask", True), (1, 2, "A2", "answer", True), (10, 10, "A10", "other", False), (10, 11, "A11", "loop", False)]
+
+
+def test_pdf_text():
+    content = b"BT /F1 12 Tf (Hello \\(x\\)) Tj T* [(wor) -20 (ld)] TJ ET BT (Next) Tj ET"
+    body = zlib.compress(content)
+    raw = b"%PDF-1.4\n1 0 obj <</Filter/FlateDecode/Length " + str(len(body)).encode() + b">>\nstream\n" + body + b"\nendstream\nendobj"
+    assert [b[3] for b in files.pdf_blocks(raw)] == ["Hello (x)\nworld", "Next"]
