@@ -16,7 +16,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least id reachable from each node of ``edges`` (u, v), for nodes that are not the least themselves.
 
     Every round writes its edges to the shared folder. A node with very many neighbours is only ever aggregated by partial
-    minima or joined to one row, which adaptive execution can split.
+    minima or joined to one row; the minima are written first, so that adaptive execution can split the other side.
     """
     pairs = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
@@ -26,11 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         # large star: larger neighbours hang on the least of the neighbourhood
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large)
         # small star: smaller neighbours and the node itself hang on the least
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         pairs = materialize(small.where("u <> v").distinct())
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
