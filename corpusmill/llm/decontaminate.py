@@ -11,7 +11,7 @@ Passages hold 2 x S words and start every S words, S being at least the longest
 in one. Terms are runs of letters and digits, lower-cased. An item without a separate answer takes its last quarter for it.
 
 Null and empty texts, documents or items, never match. Repeated items and rows are found each for itself. A null doc_id or
-item_id stays null in the result. The index is built for ITEMS items at a time; a larger benchmark takes several passes.
+item_id stays null in the result. An index holds ITEMS items, with the statistics of those; a larger benchmark has several.
 """
 
 from __future__ import annotations

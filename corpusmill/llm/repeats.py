@@ -187,40 +187,6 @@ def payloads(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("p", "kind", "g", "data"), columns, kinds, strict=True)})
 
 
-def remove_repeats(docs: DataFrame, *, per_name: int, anchors: "Anchors", describe, resolve, cut, schema: str) -> DataFrame:
-    """Runs the three exchanges.
-
-    describe(doc, texts, shared, g, parts) gives rows of PAYLOAD: kind 0 for resolve, kind 1 a verdict on g already.
-    resolve(list of (g, data)) gives (g, verdict) pairs. cut(doc, known, texts, verdicts) gives the result as a table.
-    """
-    docs = docs.select("doc_id", "text")
-    groups, parts = sizes_for(docs, per_name)
-    frames = packed(docs, groups)
-    shared = shared_names(docs, anchors, groups, parts)
-
-    def meet(key, left, right):
-        doc, known, texts = gathered(column(left, "frame"))
-        names = [unplanes(x) for x in column(right, "name")]
-        if not names or not len(doc):
-            return payloads([])
-        return payloads(describe(doc, known, texts, np.unique(np.concatenate(names)), int(key[0].as_py()), parts))
-
-    def judge(key, table):
-        kinds, gs, data = (column(table, c) for c in ("kind", "g", "data"))
-        out = [(0, 0, g, d) for k, g, d in zip(kinds, gs, data, strict=True) if k == 1]
-        todo = [(g, d) for k, g, d in zip(kinds, gs, data, strict=True) if k == 0]
-        out += [(0, 0, g, d) for g, d in resolve(todo)] if todo else []
-        return payloads(out).select(["g", "data"])
-
-    def finish(key, left, right):
-        doc, known, texts = gathered(column(left, "frame"))
-        return cut(doc, known, texts, [thaw(x) for x in column(right, "data")])
-
-    met = frames.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(meet, PAYLOAD)
-    verdicts = met.groupBy("p").applyInArrow(judge, "g long, data binary")
-    return frames.groupBy("g").cogroup(verdicts.groupBy("g")).applyInArrow(finish, schema)
-
-
 # ---------------------------------------------------------------- names that two documents share
 
 Anchors = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
@@ -268,7 +234,7 @@ def part_of(name: np.ndarray, parts: int) -> np.ndarray:
     return ((name >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
 
 
-def shared_names(docs: DataFrame, anchors: "Anchors", groups: int, parts: int) -> DataFrame:
+def shared_names(docs: DataFrame, anchors: Anchors, groups: int, parts: int) -> DataFrame:
     """Rows (g, name): names (48 bits of them) of anchors in documents of group g that another document may have too.
 
     None is missing; a name that only shares its 48 bits with another may be there as well.
@@ -339,3 +305,40 @@ def is_shared(name: np.ndarray, shared: np.ndarray) -> np.ndarray:
     low = name & LOW48
     at = np.minimum(np.searchsorted(shared, low), len(shared) - 1)
     return shared[at] == low
+
+
+# ---------------------------------------------------------------- the three exchanges
+
+
+def remove_repeats(docs: DataFrame, *, per_name: int, anchors: Anchors, describe, resolve, cut, schema: str) -> DataFrame:
+    """Runs the three exchanges.
+
+    describe(doc, texts, shared, g, parts) gives rows of PAYLOAD: kind 0 for resolve, kind 1 a verdict on g already.
+    resolve(list of (g, data)) gives (g, verdict) pairs. cut(doc, known, texts, verdicts) gives the result as a table.
+    """
+    docs = docs.select("doc_id", "text")
+    groups, parts = sizes_for(docs, per_name)
+    frames = packed(docs, groups)
+    shared = shared_names(docs, anchors, groups, parts)
+
+    def meet(key, left, right):
+        doc, known, texts = gathered(column(left, "frame"))
+        names = [unplanes(x) for x in column(right, "name")]
+        if not names or not len(doc):
+            return payloads([])
+        return payloads(describe(doc, known, texts, np.unique(np.concatenate(names)), int(key[0].as_py()), parts))
+
+    def judge(key, table):
+        kinds, gs, data = (column(table, c) for c in ("kind", "g", "data"))
+        out = [(0, 0, g, d) for k, g, d in zip(kinds, gs, data, strict=True) if k == 1]
+        todo = [(g, d) for k, g, d in zip(kinds, gs, data, strict=True) if k == 0]
+        out += [(0, 0, g, d) for g, d in resolve(todo)] if todo else []
+        return payloads(out).select(["g", "data"])
+
+    def finish(key, left, right):
+        doc, known, texts = gathered(column(left, "frame"))
+        return cut(doc, known, texts, [thaw(x) for x in column(right, "data")])
+
+    met = frames.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(meet, PAYLOAD)
+    verdicts = met.groupBy("p").applyInArrow(judge, "g long, data binary")
+    return frames.groupBy("g").cogroup(verdicts.groupBy("g")).applyInArrow(finish, schema)
