@@ -88,3 +88,49 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND first > page_id THEN first END AS refers_to
 FROM m
 """
+
+ORACLES["op8_recompression"] = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' ')) AS g FROM t WHERE len(w) >= 13
+), x AS (
+  SELECT doc_id, unnest(g) AS g, unnest(range(1, len(g) + 1)) AS i FROM g
+), hit AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM x) WHERE first < doc_id
+), cov AS (
+  SELECT DISTINCT doc_id, i + k AS p FROM hit, (SELECT unnest(range(0, 13)) AS k)
+), words AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM words ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES["op2_suffix_dedup"] = """
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), g AS (
+  SELECT doc_id, list_transform(range(0, n - 49), lambda i: substr(h, 2 * i + 1, 100)) AS g FROM t WHERE n >= 50
+), x AS (
+  SELECT doc_id, unnest(g) AS g, unnest(range(0, len(g))) AS s FROM g
+), hit AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY g) AS first FROM x) WHERE first < doc_id
+), marked AS (
+  SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 50 THEN 0 ELSE 1 END AS fresh FROM hit
+), runs AS (
+  SELECT doc_id, min(s) AS a, max(s) + 50 AS b
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM marked) GROUP BY doc_id, k
+), cut AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM runs
+), kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k
+  FROM cut JOIN t USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
