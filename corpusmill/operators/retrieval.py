@@ -36,13 +36,14 @@ def few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, doc_key: str = "doc_id", query_key: str = "item_id", text: str = "text", top: int = BRANCH_TOP) -> DataFrame:
     """(query, doc, score, rank): dot product of log1p frequencies times ln(1 + (N - df + 0.5) / (df + 0.5))."""
     index = postings(docs, doc_key, text)
-    asked = few(postings(queries, query_key, text).withColumnRenamed("weight", "q"))
-    wanted = few(asked.select("slot").distinct())
-    hit = index.join(wanted, "slot", "left_semi")
-    df = hit.groupBy("slot").agg(F.count("*").alias("df"))
+    asked = postings(queries, query_key, text).withColumnRenamed("weight", "q")
+    # what comes from the queries has at most as many rows as their postings: one count settles all three joins
+    small = F.broadcast if asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else (lambda df: df)
+    hit = index.join(small(asked.select("slot").distinct()), "slot", "left_semi")
     n = docs.count()
-    idf = df.select("slot", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    scored = hit.join(asked.join(few(idf), "slot"), "slot").groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("q") * F.col("weight") * F.col("idf")), 6).alias("score"))
+    idf = hit.groupBy("slot").agg(F.count("*").alias("df")).select("slot", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weighed = small(asked.join(small(idf), "slot"))
+    scored = hit.join(weighed, "slot").groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("q") * F.col("weight") * F.col("idf")), 6).alias("score"))
     return ranked(scored, query_key, "score", doc_key, top)
 
 
