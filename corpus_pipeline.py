@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, mixing, quality, secrets, simhash
+from corpusmill.llm import decontaminate, mixing, quality, secrets, similar
 from corpusmill.llm.common import materialize
 
-#: Near duplicates: five-word shingles, 512-bit fingerprints. All pairs within REACH bits are found, and most of those
-#: within LIMIT; LIMIT is where shingle sets of a similarity of 0.77 are expected.
-SHINGLE, FINGERPRINT_WORDS, REACH, LIMIT, PARTITIONS = 5, 8, 35, 84, (36, 24, 18)
+#: Near duplicates: sets of five-word shingles with a Jaccard similarity of LEAST (over, under) or more.
+SHINGLE, LEAST = 5, (4, 5)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays."""
-    found = simhash.near_duplicates(docs, shingle=SHINGLE, reach=REACH, limit=LIMIT, words=FINGERPRINT_WORDS, choices=PARTITIONS)
+    found = similar.near_duplicates(docs, shingle=SHINGLE, least=LEAST)
     gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

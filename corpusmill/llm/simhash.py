@@ -190,8 +190,8 @@ def local_components(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndar
             label = label[label]
 
 
-def _forest(key, role, node, fps, limit):
-    """Labels of nodes after joining all pairs within ``limit`` of a bucket; role 0: node, 1: probe, 2: node of a block."""
+def _forest(key, role, node, fps, near):
+    """Labels of nodes after joining all pairs of a bucket whose differing bits are ``near``; role 0: node, 1: probe, 2: node of a block."""
     order = np.lexsort((role == 1, key))
     key, role, node = key[order], role[order], node[order]
     starts = runs(key)
@@ -213,9 +213,9 @@ def _forest(key, role, node, fps, limit):
         left = np.repeat(some, c)
         right = np.repeat(begin[some] - (np.cumsum(c) - c), c) + np.arange(len(left))
         left, right = node[left], node[right]
-        near = np.bitwise_count(fps[left] ^ fps[right]).sum(axis=1) <= limit if fps.shape[1] > 1 else np.bitwise_count(fps[left, 0] ^ fps[right, 0]) <= limit
-        if near.any():
-            label = local_components(left[near], right[near], label)
+        close = near(fps[left] ^ fps[right])
+        if close.any():
+            label = local_components(left[close], right[close], label)
         at = to
     return label
 
@@ -223,36 +223,53 @@ def _forest(key, role, node, fps, limit):
 def links(nodes: DataFrame, reach: int, limit: int, choices: tuple[int, ...], words: int = 1) -> DataFrame:
     """(u, v): edges that join all nodes (fp, rep) within ``limit`` found in some partition; all pairs within ``reach`` are."""
     n, together = bit_statistics(nodes, words)
-    spark = nodes.sparkSession
     if n < 2:
-        return spark.createDataFrame([], "u long, v long")
+        return nodes.sparkSession.createDataFrame([], "u long, v long")
     parts = plan(n, together, reach, choices)
 
+    def own_keys(batch):
+        fps = _matrix(column(batch, "fp"), words)
+        return [_key(i, _values(fps, bits)) for i, (bits, _) in enumerate(parts)]
+
+    def dealt(batch):
+        fps, out = _matrix(column(batch, "fp"), words), []
+        for i, (bits, t) in enumerate(parts):
+            v = _values(fps, bits)
+            out.append((_key(i, v), np.arange(len(v)), 0))
+            for m in _masks(len(bits), t):
+                up = np.flatnonzero((v ^ U64(m)) > v)  # the lower value probes the upper one
+                out.append((_key(i, v[up] ^ U64(m)), up, 1))
+        return out
+
+    def near(differing):
+        return np.bitwise_count(differing).sum(axis=1) <= limit if words > 1 else np.bitwise_count(differing[:, 0]) <= limit
+
+    entries = n * sum(1 + len(_masks(len(b), t)) // 2 for b, t in parts)
+    return meet(nodes.select("fp", "rep"), n, entries, words, own_keys, dealt, near)
+
+
+def meet(nodes: DataFrame, n: int, entries: int, words: int, own_keys, dealt, near) -> DataFrame:
+    """(u, v): edges that join the ``near`` nodes (fp, rep, ...) of each bucket. ``own_keys`` gives a batch's bucket keys, one
+    array for each kind of bucket, ``dealt`` its (key, node, role: 0 node, 1 probe)."""
+    spark = nodes.sparkSession
+
     def keys(batches):
         for batch in batches:
-            fps = _matrix(column(batch, "fp"), words)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_key(i, _values(fps, bits)) for i, (bits, _) in enumerate(parts)]).view(np.int64), pa.int64())], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own_keys(batch)).view(np.int64), pa.int64())], names=["key"])
 
     # at most 10,000 for each partition can be so many
     hot_from = max(BLOCK, n // 10_000)
-    hot = nodes.select("fp").mapInArrow(keys, "key long").groupBy("key").count().where(F.col("count") > hot_from).collect()
+    hot = nodes.mapInArrow(keys, "key long").groupBy("key").count().where(F.col("count") > hot_from).collect()
     blocks = {int(np.int64(r["key"]).view(np.uint64)): -(-r["count"] // BLOCK) for r in hot}
     hot_keys = np.array(sorted(blocks), dtype=np.uint64)
     hot_blocks = np.array([blocks[int(k)] for k in hot_keys], dtype=np.int64)
-    entries = n * sum(1 + len(_masks(len(b), t)) // 2 for b, t in parts)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries * (words + 2) // (4 << 20)))
 
     def send(batches):
         for batch in batches:
             rep = np.asarray(batch.column("rep").to_numpy(), dtype=np.int64)
             fps = _matrix(column(batch, "fp"), words)
-            out: list[tuple[np.ndarray, np.ndarray, int]] = []
-            for i, (bits, t) in enumerate(parts):
-                v = _values(fps, bits)
-                out.append((_key(i, v), np.arange(len(v)), 0))
-                for m in _masks(len(bits), t):
-                    up = np.flatnonzero((v ^ U64(m)) > v)  # the lower value probes the upper one
-                    out.append((_key(i, v[up] ^ U64(m)), up, 1))
+            out: list[tuple[np.ndarray, np.ndarray, int]] = dealt(batch)
             key = np.concatenate([k for k, _, _ in out])
             node = np.concatenate([x for _, x, _ in out])
             role = np.concatenate([np.full(len(k), r, dtype=np.int8) for k, _, r in out])
@@ -288,11 +305,11 @@ def links(nodes: DataFrame, reach: int, limit: int, choices: tuple[int, ...], wo
             fs.append(fps)
             base += len(rep)
         k, r, index, rep, fps = (np.concatenate(x) for x in (ks, rs, ns, reps, fs))
-        label = _forest(k, r, index, fps, limit)
+        label = _forest(k, r, index, fps, near)
         edge = np.flatnonzero(label != np.arange(len(label)))
         return pa.table({"u": pa.array(rep[edge], pa.int64()), "v": pa.array(rep[label[edge]], pa.int64())})
 
-    return nodes.select("fp", "rep").mapInArrow(send, "p long, data binary").groupBy("p").applyInArrow(verify, "u long, v long")
+    return nodes.mapInArrow(send, "p long, data binary").groupBy("p").applyInArrow(verify, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int, reach: int, limit: int | None = None, words: int = 1, choices: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:

@@ -48,3 +48,26 @@ def test_run_and_empty_input(spark, planted, tmp_path):
     spark.read.parquet(f"{planted}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{planted}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(8)
+    rows: list[tuple[int | None, str | None]] = []
+    for _ in range(60):  # edits that leave similarities on both sides of 0.8, in short and in long texts
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([8, 13, 40, 120, 400]))]
+        for _ in range(4):
+            copy = list(words)
+            for _ in range(rng.randrange(1 + len(words) // 40 + (len(words) < 40))):
+                copy[rng.choice([0, -1, rng.randrange(len(copy))])] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    least = {i: i for i in sets}
+    similar = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    assert sum(0.7 <= s < 0.8 for s in similar.values()) > 15 and sum(0.8 <= s < 0.9 for s in similar.values()) > 15
+    for _ in range(len(sets)):
+        for a, b in (p for p, s in similar.items() if s >= 0.8):
+            least[a] = least[b] = min(least[a], least[b])
+    rows += [(None, rows[0][1]), (1000, None), (1001, ""), (1002, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in P.near_duplicates(spark, docs, "").collect()}
+    assert kept == {i for i in least if least[i] == i} | {None, 1000}
