@@ -5,7 +5,7 @@ of the score that the item gives itself), so all items above their thresholds ar
 block-max WAND a query is given up as soon as bounds show that no item can reach that: first by the greatest impact of
 each of its terms in any item, then by the greatest in a block of items; what is left is scored in full. All passages of
 a batch take each step together. A candidate counts as a leak if enough of its question's word triples and of its answer's
-words stand in the passage.
+words stand in the passage; a question of one or two terms is sought as a whole.
 
 Passages hold 2 x S words and start every S words, S being at least the longest item, so each copy of an item lies whole
 in one. Terms are runs of letters and digits, lower-cased. An item without a separate answer takes its last quarter for it.
@@ -70,10 +70,14 @@ def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes), np.concatenate(of)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
 
-def triples(h: np.ndarray) -> np.ndarray:
-    """Hashes of three terms in a row; fewer terms are one."""
-    if len(h) < 3:
-        return np.array([mix(h).sum(dtype=np.uint64)], dtype=np.uint64) if len(h) else h
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n terms in a row, n from 1 to 3; fewer terms have none."""
+    if len(h) < n:
+        return h[:0]
+    if n == 1:
+        return mix(h)
+    if n == 2:
+        return mix(h[:-1] * U64(3) + mix(h[1:] + U64(1)) * U64(5))
     return mix(h[:-2] * U64(3) + mix(h[1:-1] + U64(1)) * U64(5) + mix(h[2:] + U64(2)))
 
 
@@ -92,7 +96,8 @@ class Index:
             if len(q) + len(a):
                 items.append((item_id, q, a))
         self.ids = [i for i, _, _ in items]
-        self.questions = [np.unique(triples(q)) for _, q, _ in items]
+        self.gram = [min(3, max(1, len(q))) for _, q, _ in items]
+        self.questions = [np.unique(grams(q, n)) for n, (_, q, _) in zip(self.gram, items, strict=True)]
         self.answers = [np.unique(a) for _, _, a in items]
         bags = [Counter(np.r_[q, a].tolist()) for _, q, a in items]
         sizes = [sum(b.values()) for b in bags]
@@ -180,7 +185,7 @@ class Index:
             start = first[text] + (int(names[p]) - base[text]) * self.step
             end = min(start + 2 * self.step, first[text + 1] if text + 1 < len(texts) else len(h))
             words = h[start:end]
-            q = float(np.isin(self.questions[item], triples(words)).mean()) if len(self.questions[item]) else 1.0
+            q = float(np.isin(self.questions[item], grams(words, self.gram[item])).mean()) if len(self.questions[item]) else 1.0
             a = float(np.isin(self.answers[item], words).mean()) if len(self.answers[item]) else 1.0
             if q >= LEAST_QUESTION and a >= LEAST_ANSWER:
                 found[text, item] = max(found.get((text, item), (0.0, 0.0, 0.0)), (float(score[k]), q, a))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -295,6 +296,37 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.leaks(mine, bench.limit(0)).count() == 0 and decontaminate.clean(mine, bench.limit(0)).count() == len(rows)
 
 
+def test_short_items_against_brute_force():
+    rng = random.Random(9)
+    word = lambda: f"v{rng.randrange(40)}"
+    items = [(i, " ".join(word() for _ in range(1 + i % 6)), None) for i in range(60)]
+    items += [(60 + i, " ".join(word() for _ in range(1 + i % 6)), " ".join(word() for _ in range(1 + i % 3))) for i in range(60)]
+    texts = [" ".join(f"n{rng.randrange(999)}" if rng.random() < 0.5 else word() for _ in range(60)) for _ in range(60)]
+    texts += [f"n1 n2 {q} {a or ''} n3 n4" for _, q, a in items]
+    split = {}
+    for i, q, a in items:
+        q, a = q.split(), (a or "").split()
+        cut = len(a) or min(len(q), max(3, len(q) // 4))
+        split[i] = (q, a) if a else (q[: len(q) - cut], q[len(q) - cut :])
+    bags = {i: Counter(q + a) for i, (q, a) in split.items()}
+    df = Counter(t for b in bags.values() for t in b)
+    mean = sum(sum(b.values()) for b in bags.values()) / len(bags)
+    want = set()
+    for t, text in enumerate(texts):
+        words = text.split()  # one passage: none is longer than the step
+        for i, (q, a) in split.items():
+            size = sum(bags[i].values())
+            impact = {x: math.log(1 + (len(bags) - df[x] + 0.5) / (df[x] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size / mean)) for x, n in bags[i].items()}
+            n = min(3, max(1, len(q)))
+            asked = {tuple(q[k : k + n]) for k in range(len(q) - n + 1)}
+            seen = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+            score = sum(v for x, v in impact.items() if x in set(words)) / (0.5 * sum(impact.values()))
+            if score >= 1 - 1e-9 and len(asked & seen) >= 0.6 * len(asked) and len(set(a) & set(words)) >= 0.6 * len(set(a)):
+                want.add((t, i))
+    assert all((60 + i, i) in want for i in range(len(items)))
+    assert {(t, i) for t, i, *_ in decontaminate.Index(items).leaks(texts)} == want
+
+
 def test_bounds_lose_no_passage():
     rng = random.Random(6)
     vocabulary = [f"v{k}" for k in range(300)]
