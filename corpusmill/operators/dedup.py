@@ -56,11 +56,22 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return hashed.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
 
 
+def exact_members(docs: DataFrame) -> DataFrame:
+    """(doc_id, content_hash, class_id) of every document: the least doc_id of its content."""
+    hashed = docs.select("doc_id", content_hash(F.col("text")).alias("content_hash"))
+    return hashed.join(hashed.groupBy("content_hash").agg(F.min("doc_id").alias("class_id")), "content_hash").select("doc_id", "content_hash", "class_id")
+
+
 def classes(signed: DataFrame) -> DataFrame:
     """(class_id, sig, members): one row for each signature; equal signatures need no comparison."""
     return signed.where(F.size("sig") > 0).groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("members"))
 
 
+def members(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """(doc_id, class_id) of every document: its class in ``reps``, null for texts without tokens."""
+    return signed.select("doc_id", "sig").join(reps.select("sig", "class_id"), "sig", "left").select("doc_id", "class_id")
+
+
 def buckets(signed: DataFrame, key: str) -> DataFrame:
     """(key, variant, band, bucket) of both banding schemes."""
     parts = [

@@ -126,6 +126,12 @@ def hydrate(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(table(spark, d, "documents"), "doc_id").select("doc_id", "source", F.substring("text", 1, 40).alias("head"))
 
 
+def hydrate_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As hydrate, with the whole text."""
+    hits = table(spark, d, "labels").where("quality = 1").select("doc_id")
+    return hits.join(table(spark, d, "documents"), "doc_id").select("doc_id", "source", "text")
+
+
 def alias_conflicts(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "part").select("p_partkey", F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("alias"))
     return C.conflicts(words, "alias", "p_partkey")
@@ -205,7 +211,7 @@ QUERIES = {
     for f in (
         document_filter, glob_search, problem_filter, locale_or_unknown, locale_facets, distinct_sources, markup_progress, page_sorted, keyset_page,
         user_event_counts, tag_usage, exists_filter, not_exists_filter, missing_translation, correlated_count, range_rule_join, reconcile_full_outer,
-        ancestry_paths, set_delta, hydrate, alias_conflicts, fuzzy_match, tags_by_group, next_version, contiguity, quantiles, group_tags_top,
+        ancestry_paths, set_delta, hydrate, hydrate_whole, alias_conflicts, fuzzy_match, tags_by_group, next_version, contiguity, quantiles, group_tags_top,
         cube_rollup, grouping_sets, set_ops, approx_distinct, names_and_letters, excel_dates, snippets,
     )
 }
@@ -240,6 +246,7 @@ UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer), w AS (SELE
 UNION ALL SELECT e.node, w.root, w.depth + 1, w.path || '>' || e.node FROM e JOIN w ON e.parent = w.node) SELECT node, root, depth, path FROM w""",
     "set_delta": """SELECT l_orderkey, array_to_string(list_sort(list_distinct(list_concat(list_filter(list(DISTINCT l_returnflag), lambda x: x <> 'N'), list(DISTINCT l_linestatus)))), ',') AS tags
 FROM lineitem GROUP BY l_orderkey""",
+    "hydrate_whole": "SELECT doc_id, source, text FROM labels JOIN documents USING (doc_id) WHERE quality = 1",
     "hydrate": "SELECT doc_id, source, substr(text, 1, 40) AS head FROM labels JOIN documents USING (doc_id) WHERE quality = 1",
     "alias_conflicts": """SELECT alias, count(DISTINCT p_partkey) AS owners, min(p_partkey) AS first_owner FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS alias FROM part)
 GROUP BY alias HAVING count(DISTINCT p_partkey) > 1""",

@@ -40,6 +40,10 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return D.exact_groups(table(spark, d, "documents"))
 
 
+def exact_classes(spark: SparkSession, d: str) -> DataFrame:
+    return D.exact_members(table(spark, d, "documents"))
+
+
 def normalise_text_hash(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.select("doc_id", F.length(T.normalise(F.col("text"))).cast("long").alias("size"), T.content_hash(F.col("text")).alias("content_hash"))
@@ -63,16 +67,30 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return D.near_pairs(D.classes(_signed(spark, d))).select("a", "b", F.round("jaccard", 6).alias("jaccard"), "level")
 
 
+def duplicate_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The members of the classes that lsh_candidates and near_duplicates pair."""
+    signed = _signed(spark, d)
+    return D.members(signed, D.classes(signed))
+
+
 def duplicate_flags(spark: SparkSession, d: str) -> DataFrame:
     signed = _signed(spark, d)
     reps = D.classes(signed)
     return D.flags(signed, reps, D.near_pairs(reps))
 
 
-QUERIES = {f.__name__: f for f in (exact_duplicates, normalise_text_hash, shingles, minhash_signature, lsh_candidates, near_duplicates, duplicate_flags)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        exact_duplicates, exact_classes, normalise_text_hash, shingles, minhash_signature, lsh_candidates, near_duplicates, duplicate_classes,
+        duplicate_flags,
+    )
+}
 
 ORACLES = {
     "exact_duplicates": f"SELECT sha256({_NORM}) AS content_hash, min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "exact_classes": f"SELECT doc_id, sha256({_NORM}) AS content_hash, min(doc_id) OVER (PARTITION BY sha256({_NORM})) AS class_id FROM documents",
+    "duplicate_classes": f"WITH {_sig(128)} SELECT documents.doc_id, CASE WHEN sig IS NOT NULL THEN min(documents.doc_id) OVER (PARTITION BY sig) END AS class_id FROM documents LEFT JOIN sig USING (doc_id)",
     "normalise_text_hash": f"SELECT doc_id, length({_NORM}) AS size, sha256({_NORM}) AS content_hash FROM documents",
     "shingles": f"""WITH tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents), s AS (SELECT doc_id, {_SHINGLES} AS s FROM tok)
 SELECT doc_id, len(s) AS n, len(list_distinct(s)) AS n_distinct, md5(array_to_string(s, '|')) AS digest FROM s""",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import catalogue, chunks, events, glossary, retrieval
+from corpusmill.operators import catalogue, chunks, dedup, events, glossary, retrieval
 from corpusmill.sources import sinks
 
 
@@ -92,6 +92,14 @@ def test_glossary(spark):
     assert rows(glossary.clashes(known), "a", "b") == []
 
 
+def test_every_duplicate_has_a_class(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, f"{text}!"), (4, "eight"), (5, ""), (6, None)], "doc_id long, text string")
+    signed = dedup.signatures(docs)
+    assert rows(dedup.members(signed, dedup.classes(signed)).where("class_id IS NOT NULL"), "doc_id", "class_id") == [(1, 1), (2, 1), (3, 1), (4, 4)]
+    assert rows(dedup.exact_members(docs), "doc_id", "class_id") == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 5)]
+
+
 def test_writers(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
