@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import all_tokens, bound, normalise
 from .retrieval import few
 
-MOST_WORDS, MOST_TERMS, MOST_ALIASES = 5, 5, 4
+MOST_TERMS, MOST_ALIASES = 5, 4
 
 
 def forms(terms: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -24,17 +24,20 @@ def forms(terms: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def mentions(queries: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term_id, form, start, size): token spans of a query that are a searchable form, longest first, none overlapping."""
-    words = queries.select(key, all_tokens(F.col(text)).alias("w"))
+    searched = known.where("can_search")
+    # n-grams as long as the forms are, whatever their length
+    lengths = searched.agg(F.array_sort(F.collect_set(F.size(F.split("form", " ")))).alias("lengths"))
+    words = queries.select(key, all_tokens(F.col(text)).alias("w")).crossJoin(F.broadcast(lengths))
     grams = lambda w: F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.lit(MOST_WORDS)),
+            F.col("lengths"),
             lambda n: F.transform(
                 F.filter(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1))), lambda i: i + n - 1 <= F.size(w)),
                 lambda i: F.struct(i.alias("start"), n.alias("size"), F.array_join(F.slice(w, i, n), " ").alias("form")),
             ),
         )
     )
-    found = words.select(key, F.inline(bound(F.col("w"), grams))).join(few(known.where("can_search")), "form")
+    found = words.select(key, F.inline(bound(F.col("w"), grams))).join(few(searched), "form")
     # longest, then leftmost, then least id; a taken span bars all that overlap it
     order = F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("o"), "start", "term_id", "size", "form")))
     free = lambda taken, x: ~F.exists(taken, lambda t: (t["start"] < x["start"] + x["size"]) & (x["start"] < t["start"] + t["size"]))

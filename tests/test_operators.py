@@ -92,6 +92,16 @@ def test_glossary(spark):
     assert rows(glossary.clashes(known), "a", "b") == []
 
 
+def test_glossary_finds_long_forms(spark):
+    long = "one two three four five six seven"
+    terms = spark.createDataFrame([(1, long), (2, "three four")], "term_id long, name string")
+    none = spark.createDataFrame([], "term_id long, alias string, can_search boolean, can_expand boolean")
+    asked = spark.createDataFrame([(1, f"zero {long} eight"), (2, "two three four"), (3, "")], "q long, t string")
+    found = glossary.mentions(asked, glossary.forms(terms, none), "q", "t")
+    assert rows(found, "q", "term_id", "start", "size") == [(1, 1, 2, 7), (2, 2, 2, 2)]
+    assert glossary.mentions(asked, glossary.forms(terms.limit(0), none), "q", "t").count() == 0
+
+
 def test_every_duplicate_has_a_class(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(1, text), (2, text), (3, f"{text}!"), (4, "eight"), (5, ""), (6, None)], "doc_id long, text string")
