@@ -28,8 +28,8 @@ LIST = (
 #: Words of host names that label a page "block" where no list does.
 SEEDS = ("casino", "pills", "bets", "adult", "spam", "ads")
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.9
-#: A combination occurs in at least so many rows, however few there are.
-LEAST_ROWS = 20
+#: MIN_SUPPORT of fewer than 1500 rows is less than this; what one or two rows alone have is no rule.
+LEAST_ROWS = 3
 #: At most about so many labelled rows are mined; which ones depends on the URL's hash alone.
 MOST_LABELLED = 500_000
 #: So many postings are broadcast at most; more are joined by shuffling.

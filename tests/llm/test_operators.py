@@ -414,6 +414,14 @@ def test_urls_mined(spark):
     assert blocked == sum(1 for _, v in rows if v == "block")
 
 
+@pytest.mark.parametrize("n", [400, 1500])
+def test_seed_words_block_at_every_size(spark, n):
+    hosts = [f"http://{'pills' if k % 100 == 0 else 'shop'}.h{k % 7}.net/a/{k}" for k in range(n)]
+    pages = spark.createDataFrame(list(enumerate(hosts)), "page_id long, url string")
+    blocked = {r.page_id for r in urls.judge(pages).where("verdict = 'block'").collect()}
+    assert blocked == {k for k, u in enumerate(hosts) if "pills" in u}
+
+
 HTML = ["<p>a</p>" * 300, "<p>é</p>" * 300, "short", "", None, "WARC/1.1\r\nWARC-Type: response\r\n\r\n" * 60, "x" * 999, "x" * 1000, "a\r\n\r\n" * 400]
 
 
