@@ -24,7 +24,7 @@ from .simhash import meet, shingle_hashes
 #: A pair of similarity s shares no band in (1 - s ** ROWS) ** BANDS of all cases, 0.8 in 0.0003 %.
 BANDS, ROWS = 24, 4
 MINIMA = BANDS * ROWS
-#: So many minima of a candidate pair are equal; at 0.8 they are 77 on average, and fewer than this in 0.0002 % of all cases.
+#: So many minima of a candidate pair are equal; at 0.8 they are 77 on average, and fewer than this in 0.00004 % of all cases.
 LEAST_EQUAL = 56
 #: A group with more nodes or shingles is compared in blocks of about so many by several tasks.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
