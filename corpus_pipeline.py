@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, mixing, quality, secrets, similar
@@ -18,10 +22,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays."""
-    found = similar.near_duplicates(docs, shingle=SHINGLE, least=LEAST)
-    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The row with the smallest id of each group stays; rows that are equal in id and text are one row of it, those without an id all stay."""
+    found = similar.near_duplicates(docs, shingle=SHINGLE, least=LEAST).where("doc_id IS NOT NULL")
+    marks = found.groupBy("doc_id", "same").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
+    marks = materialize(marks.select(F.col("doc_id").alias("_dup_id"), F.col("same").alias("_dup_hash"), "kept"))
+    is_marked = (F.col("doc_id") == F.col("_dup_id")) & (similar.same() == F.col("_dup_hash"))
+    rest = docs.where("doc_id IS NOT NULL")
+    out = rest.join(marks.hint("merge"), is_marked, "left_anti")
+    repeated = marks.where("kept")
+    if not repeated.isEmpty():
+        once = rest.join(repeated.hint("merge"), is_marked, "left_semi").withColumn("_dup_text", similar.same()).dropDuplicates(["doc_id", "_dup_text"])
+        out = out.unionByName(once.drop("_dup_text"))
+    return out.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +47,17 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each copy that the mix takes, numbered from 1; rows with equal doc_id are taken equally often."""
-    drawn = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_n"))
-    out = docs.join(drawn, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("copy"))
+    """One row for each copy that the mix takes, numbered from 1. Rows that are equal in id, text and source share what they
+    are taken together, in equal parts."""
+    keys = {"doc_id": F.col("doc_id"), "same": F.xxhash64("text"), "source": F.col("source")}
+    drawn = mixing.mix(docs).groupBy(*keys).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows")).where("_n > 0")
+    drawn = drawn.select("_n", "_rows", *[F.col(k).alias(f"_{k}") for k in keys]).hint("merge")
+    out = docs.join(drawn, reduce(and_, [c.eqNullSafe(F.col(f"_{k}")) for k, c in keys.items()]))
+    at = F.row_number().over(W.partitionBy(*[f"_{k}" for k in keys]).orderBy(F.lit(0)))
+    upto = lambda k: F.floor(F.col("_n") * k / F.col("_rows"))
+    times = (upto(F.col("_at")) - upto(F.col("_at") - 1)).cast("int")
+    out = out.withColumn("_at", F.when(F.col("_rows") > 1, at).otherwise(1)).withColumn("_times", times).where("_times > 0")
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("copy"))
 
 
 STAGES = [

@@ -34,3 +34,15 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         pairs = materialize(small.where("u <> v").distinct())
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def numbered(nodes: DataFrame) -> DataFrame:
+    """Adds ``node``, a number of its own for each row; fixed once the table is written."""
+    return nodes.withColumn("node", F.monotonically_increasing_id())
+
+
+def least_ids(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds ``component`` and ``component_id``, the least ``rep`` in it, to (node, rep, ...); found: (node, component)."""
+    placed = materialize(nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return materialize(placed.join(materialize(least), "component", "left").withColumn("component_id", F.coalesce("component_id", "rep")))

@@ -8,7 +8,8 @@ bucket returns a spanning forest, not its pairs; stars then contract to componen
 
 Documents with equal fingerprints are one node, so copies cost nothing. Null texts are empty, texts without words have the
 fingerprint zero and link to each other like any other. Rows with a null doc_id get a fingerprint and no component.
-Repeated rows and further columns do no harm; the columns of the result win over equal names.
+Repeated rows get equal results; rows of one doc_id with different texts are judged each by its own fingerprint. An empty
+table gives an empty result. Further columns are ignored, so names may clash.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, materialize
-from .graph import components
+from .graph import components, least_ids, numbered
 from .repeats import U64, column, freeze, mix, runs, split_by, thaw
 
 SEED = 42
@@ -221,7 +222,7 @@ def _forest(key, role, node, fps, near):
 
 
 def links(nodes: DataFrame, reach: int, limit: int, choices: tuple[int, ...], words: int = 1) -> DataFrame:
-    """(u, v): edges that join all nodes (fp, rep) within ``limit`` found in some partition; all pairs within ``reach`` are."""
+    """(u, v): edges that join all nodes (fp, node) within ``limit`` found in some partition; all pairs within ``reach`` are."""
     n, together = bit_statistics(nodes, words)
     if n < 2:
         return nodes.sparkSession.createDataFrame([], "u long, v long")
@@ -245,11 +246,11 @@ def links(nodes: DataFrame, reach: int, limit: int, choices: tuple[int, ...], wo
         return np.bitwise_count(differing).sum(axis=1) <= limit if words > 1 else np.bitwise_count(differing[:, 0]) <= limit
 
     entries = n * sum(1 + len(_masks(len(b), t)) // 2 for b, t in parts)
-    return meet(nodes.select("fp", "rep"), n, entries, words, own_keys, dealt, near)
+    return meet(nodes.select("fp", "node"), n, entries, words, own_keys, dealt, near)
 
 
 def meet(nodes: DataFrame, n: int, entries: int, words: int, own_keys, dealt, near) -> DataFrame:
-    """(u, v): edges that join the ``near`` nodes (fp, rep, ...) of each bucket. ``own_keys`` gives a batch's bucket keys, one
+    """(u, v): edges that join the ``near`` nodes (fp, node, ...) of each bucket. ``own_keys`` gives a batch's bucket keys, one
     array for each kind of bucket, ``dealt`` its (key, node, role: 0 node, 1 probe)."""
     spark = nodes.sparkSession
 
@@ -267,7 +268,7 @@ def meet(nodes: DataFrame, n: int, entries: int, words: int, own_keys, dealt, ne
 
     def send(batches):
         for batch in batches:
-            rep = np.asarray(batch.column("rep").to_numpy(), dtype=np.int64)
+            rep = np.asarray(batch.column("node").to_numpy(), dtype=np.int64)
             fps = _matrix(column(batch, "fp"), words)
             out: list[tuple[np.ndarray, np.ndarray, int]] = dealt(batch)
             key = np.concatenate([k for k, _, _ in out])
@@ -315,10 +316,7 @@ def meet(nodes: DataFrame, n: int, entries: int, words: int, own_keys, dealt, ne
 def near_duplicates(docs: DataFrame, *, shingle: int, reach: int, limit: int | None = None, words: int = 1, choices: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id that links within ``limit`` bits (``reach`` if not given) lead to."""
     marked = materialize(fingerprints(docs, shingle, words))
-    nodes = materialize(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(nodes, reach, limit or reach, choices, words))
-    member = materialize(
-        nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    )
+    nodes = materialize(numbered(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"))))
+    member = least_ids(nodes, components(links(nodes, reach, limit or reach, choices, words))).select("fp", "component_id")
     known = marked.where("doc_id IS NOT NULL").join(member, "fp")
     return known.select("doc_id", "fp", "component_id").unionByName(marked.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long")))

@@ -5,7 +5,10 @@ again. Neither depends on the number of texts. Candidates are only joined to gro
 group the shingle sets themselves are compared, every pair that is not linked already, and those links decide.
 
 Texts with equal sets are one node. Null texts are empty; texts without words are one node. Rows with a null doc_id get no
-component.
+component. Rows of one doc_id with different texts are judged each by its own set; ``same`` tells them apart. Repeated rows
+get equal results, an empty table an empty one; further columns are ignored.
+
+Texts of candidates are fetched by a merge join at every size, so the plan does not change with the input.
 """
 
 from __future__ import annotations
@@ -13,11 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .graph import components
+from .graph import components, least_ids, numbered
 from .repeats import U64, column, mix, runs
 from .simhash import meet, shingle_hashes
 
@@ -36,6 +39,11 @@ _TIMES = _RNG.integers(0, 1 << 63, (MINIMA, 1), dtype=np.uint64) * U64(2) + U64(
 _PLACE = np.arange(1, BANDS + 1, dtype=np.uint64) << U64(48)
 
 
+def same() -> Column:
+    """A hash that tells the texts of one doc_id apart."""
+    return F.xxhash64("text")
+
+
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(shingle_hashes(text or b"", size))
 
@@ -49,7 +57,7 @@ def minima(h: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, digest of the set, fp: a byte of each minimum, bands: a hash of each band, size of the set)."""
+    """(doc_id, same: a hash of the text, digest of the set, fp: a byte of each minimum, bands: a hash of each band, size of the set)."""
 
     def run(batches):
         for batch in batches:
@@ -61,14 +69,14 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
                 fps.append((m >> U64(56)).astype(np.uint8).tobytes())
                 bands.append(mix((m.reshape(BANDS, ROWS) * U64(0x9E3779B97F4A7C15) ** np.arange(1, ROWS + 1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) + _PLACE).tobytes())
                 sizes.append(len(h))
-            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(digests, pa.binary()), pa.array(fps, pa.binary()), pa.array(bands, pa.binary()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "fp", "bands", "size"])
+            columns = [batch.column("doc_id").cast(pa.int64()), batch.column("same"), pa.array(digests, pa.binary()), pa.array(fps, pa.binary()), pa.array(bands, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "digest", "fp", "bands", "size"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, fp binary, bands binary, size long")
+    return docs.select("doc_id", "text", same().alias("same")).mapInArrow(run, "doc_id long, same long, digest binary, fp binary, bands binary, size long")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """(u, v): edges that join all nodes (fp, rep, bands) that share a band and LEAST_EQUAL minima."""
+    """(u, v): edges that join all nodes (fp, node, bands) that share a band and LEAST_EQUAL minima."""
 
     def own_keys(batch):
         return list(np.frombuffer(b"".join(column(batch, "bands")), "<u8").reshape(-1, BANDS).T)
@@ -80,7 +88,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
         return (differing.view(np.uint8).reshape(-1, MINIMA) == 0).sum(axis=1) >= LEAST_EQUAL
 
     n = nodes.count()
-    return meet(nodes.select("fp", "rep", "bands"), n, n * BANDS, MINIMA // 8, own_keys, dealt, near)
+    return meet(nodes.select("fp", "node", "bands"), n, n * BANDS, MINIMA // 8, own_keys, dealt, near)
 
 
 def linked(sets: list[np.ndarray], least: tuple[int, int]) -> np.ndarray:
@@ -105,7 +113,7 @@ def linked(sets: list[np.ndarray], least: tuple[int, int]) -> np.ndarray:
 
 
 def _verified(docs: DataFrame, members: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
-    """(u, v): edges that join all members (rep, digest, component, size) of a group whose sets are near enough."""
+    """(u, v): edges that join all members (node, rep, digest, component, size) of a group whose sets are near enough."""
     groups = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("long").alias("blocks")
     members = materialize(members.join(groups.select("component", blocks), "component"))
@@ -114,20 +122,24 @@ def _verified(docs: DataFrame, members: DataFrame, shingle: int, least: tuple[in
 
     def send(batches):
         for batch in batches:
-            rows = zip(*(column(batch, c) for c in ("rep", "digest", "component", "blocks")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
+            rows = zip(*(column(batch, c) for c in ("node", "digest", "component", "blocks")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
             ps, gs, reps, data = [], [], [], []
-            for rep, digest, component, blocks, text in rows:
+            seen = set()
+            for node, digest, component, blocks, text in rows:
+                if node in seen:  # a repeated row
+                    continue
+                seen.add(node)
                 h = shingle_set(text, shingle)
                 frame = h.tobytes()
-                if xxhash.xxh128_digest(frame) != digest:  # another text of the same doc_id
+                if xxhash.xxh128_digest(frame) != digest:  # another text of the same doc_id and hash
                     continue
-                own = int(mix(np.array([rep], dtype=np.int64).view(np.uint64))[0] % U64(blocks))
+                own = int(mix(np.array([node], dtype=np.int64).view(np.uint64))[0] % U64(blocks))
                 other = np.array([k for k in range(blocks) if k != own or blocks == 1], dtype=np.uint64)
                 pair = np.minimum(other, U64(own)) * U64(1 << 24) + np.maximum(other, U64(own))
                 g = mix(mix(np.array([component], dtype=np.int64).view(np.uint64)) + pair)
                 gs += g.view(np.int64).tolist()
                 ps += (g % U64(tasks)).tolist()
-                reps += [rep] * len(g)
+                reps += [node] * len(g)
                 data += [frame] * len(g)
             columns = [pa.array(ps, pa.int64()), pa.array(gs, pa.int64()), pa.array(reps, pa.int64()), pa.array(data, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["p", "g", "rep", "data"])
@@ -139,26 +151,35 @@ def _verified(docs: DataFrame, members: DataFrame, shingle: int, least: tuple[in
         u, v = [], []
         for a, b in zip(starts, np.r_[starts[1:], len(g)], strict=True):
             at = order[a:b]
+            at = at[np.unique(rep[at], return_index=True)[1]]
             label = linked([np.frombuffer(data[k], "<u8") for k in at], least)
             edge = np.flatnonzero(label != np.arange(len(label)))
             u.append(rep[at[edge]])
             v.append(rep[at[label[edge]]])
         return pa.table({"u": pa.array(np.concatenate(u), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64())})
 
-    texts = docs.select("doc_id", "text").join(members, F.col("doc_id") == F.col("rep")).select("rep", "digest", "component", "blocks", "text")
+    wanted = members.select("node", "digest", "component", "blocks", F.col("rep").alias("doc_id"), "same").hint("merge")
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text", same().alias("same")).join(wanted, ["doc_id", "same"])
+    texts = texts.select("node", "digest", "component", "blocks", "text")
     return texts.mapInArrow(send, "p long, g long, rep long, data binary").groupBy("p").applyInArrow(verify, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int, least: tuple[int, int]) -> DataFrame:
-    """(doc_id, component_id): the smallest doc_id that links of a similarity of least[0] / least[1] or more lead to."""
+    """(doc_id, same, component_id, kept): the smallest doc_id that links of a similarity of least[0] / least[1] or more lead
+    to, and whether the row is the one of its group that stays (its equals, if any, have the same mark)."""
     marked = materialize(_signed(docs, shingle))
     known = marked.where("doc_id IS NOT NULL")
     first = [F.first(c).alias(c) for c in ("fp", "bands", "size")]
-    nodes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), *first))
+    least_row = F.min(F.struct("doc_id", "same")).alias("row")
+    nodes = known.groupBy("digest").agg(least_row, *first)
+    nodes = materialize(numbered(nodes.select("digest", F.col("row.doc_id").alias("rep"), F.col("row.same").alias("same"), "fp", "bands", "size")))
     maybe = components(candidates(nodes.where("size > 0")))
     maybe = materialize(maybe.unionByName(maybe.select(F.col("component").alias("node"), "component").distinct()))
-    members = nodes.select("digest", "rep", "size").join(maybe.withColumnRenamed("node", "rep"), "rep").where("size > 0")
+    members = nodes.select("node", "digest", "rep", "same", "size").join(maybe, "node").where("size > 0")
     found = components(_verified(docs, members, shingle, least))
-    member = materialize(nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")))
-    out = known.join(member, "digest").select("doc_id", "component_id")
-    return out.unionByName(marked.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("component_id")))
+    placed = least_ids(nodes.select("node", "digest", "rep", "same"), found)
+    chosen = placed.groupBy("component").agg(F.min(F.struct("rep", "same")).alias("row"))
+    chosen = chosen.select("component", F.col("row.rep").alias("component_id"), F.col("row.same").alias("chosen"))
+    member = materialize(placed.select("digest", "component").join(chosen, "component").drop("component"))
+    out = known.join(member, "digest").select("doc_id", "same", "component_id", ((F.col("doc_id") == F.col("component_id")) & (F.col("same") == F.col("chosen"))).alias("kept"))
+    return out.unionByName(marked.where("doc_id IS NULL").select("doc_id", "same", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")))

@@ -157,6 +157,15 @@ def test_simhash(docs, none, monkeypatch, block):
     assert simhash.near_duplicates(none, shingle=4, reach=4).count() == 0
 
 
+def test_simhash_of_repeated_ids(spark):
+    rng = random.Random(12)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2))
+    rows = [(1, a), (5, a), (5, b), (7, b), (7, b), (9, "lone text")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4, reach=4).collect()
+    want = [(1, simhash_of(a), 1), (5, simhash_of(a), 1), (5, simhash_of(b), 5), (7, simhash_of(b), 5), (7, simhash_of(b), 5), (9, simhash_of("lone text"), 9)]
+    assert Counter((r.doc_id, int.from_bytes(bytes(r.fp), "little"), r.component_id) for r in got) == Counter(want)
+
+
 def test_thresholds_cover_the_distance():
     rng = np.random.default_rng(0)
     together = rng.random((64, 64)) * 100

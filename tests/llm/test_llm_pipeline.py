@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline as P
+from corpusmill.llm import mixing
 
 ITEM = "what is the tall zebra said to carry over the frozen river at night answer eleven copper lanterns"
 
@@ -71,3 +73,25 @@ def test_near_duplicates_against_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id for r in P.near_duplicates(spark, docs, "").collect()}
     assert kept == {i for i in least if least[i] == i} | {None, 1000}
+
+
+def test_no_text_is_lost_to_repeated_ids(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3))
+    schema = "doc_id long, text string, source string, same string, kept long, _dup_same string"
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, b), (9, c), (9, c), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "s", "x", 1, "y") for i, t in rows], schema)
+    out = P.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(1, a), (5, b), (9, c), (0, a), (0, a)])
+
+
+def test_mixing_takes_equal_rows_together(spark):
+    rng = random.Random(4)
+    rows = [(i % 50, " ".join(["w"] * rng.choice([5, 5, 9])), f"s{i % 2}") for i in range(400)] + [(None, "w w", None)] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.source] += r.copies
+    out = P.mix(spark, docs, "").collect()
+    assert Counter(r.source for r in out) == taken and {r.copy for r in out} <= {1, 2}
