@@ -104,6 +104,32 @@ def test_recompression(docs, none):
     assert recompress.cut_repeats(none).count() == 0
 
 
+def thue_morse(letters: str, size: int) -> str:
+    out = letters
+    while len(out) < size:
+        out += out.translate(str.maketrans(letters, letters[::-1]))
+    return out
+
+
+def test_recompression_tells_regular_words_apart(spark):
+    """Strings that hashes by powers of a base, modulo 2**64, can't tell apart."""
+    one = thue_morse("ab", 2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    common = [f"w{k}" for k in range(12)]
+    rows = [(1, " ".join([*common, one])), (2, " ".join([*common, other])), (3, " ".join([*common, one])), (4, " ".join([other, *common])), (5, " ".join([*common, one[:-8]]))]
+    got = {r.doc_id: sum(s.end - s.start for s in r.spans) for r in recompress.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13, 4: 0, 5: 0}
+
+
+def test_word_names():
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choice("ab\x00é") for _ in range(rng.randint(1, 40))) for _ in range(20000)})
+    one, other, text = recompress.words_of([w.encode() for w in words] + [b"", b" \n"])
+    assert len(set(one.tolist())) == len(words) == len(set(other.tolist())) and text.tolist() == list(range(len(words)))
+    again, _, _ = recompress.words_of([b"x " + w.encode() + b"\ty" for w in words])
+    assert again[1::3].tolist() == one.tolist()
+
+
 def test_recompression_names_agree_inside_equal_windows():
     rng = random.Random(9)
     shared = [rng.choice("abc") for _ in range(80)]
