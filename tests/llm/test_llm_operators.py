@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import math
@@ -401,9 +402,10 @@ def test_rollups(spark, docs, none, tmp_path):
     rows = docs.select("doc_id", "text", "source", "lang").collect()
     import tiktoken
 
-    encoding = tiktoken.Encoding("t", pat_str=rollups.PATTERN, mergeable_ranks=rollups._ranks(rollups.VOCABULARY), special_tokens={})
+    encoding = tiktoken.Encoding("t", pat_str=rollups.PATTERN, mergeable_ranks=rollups._ranks(rollups.VOCABULARY)[1], special_tokens={})
     want: dict = {}
     gone = {r.doc_id for r in rows if r.doc_id is not None and r.text is not None and first[r.text] < r.doc_id}
+    gone_rows = [r for r in rows if r.doc_id in gone]
     for r in rows:
         if r.doc_id not in gone:
             n, k = want.get((r.source, r.lang, "v1"), (0, 0))
@@ -411,10 +413,28 @@ def test_rollups(spark, docs, none, tmp_path):
     assert got == want
     rollups.compact(spark, folder, str(tmp_path / "c"))
     assert {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in rollups.totals(spark, str(tmp_path / "c")).collect()} == want
+    # batches that come again after the compaction, and after a second one, are known
+    rollups.compact(spark, str(tmp_path / "c"), str(tmp_path / "c2"))
+    for b in batches:
+        assert not rollups.commit(batches[b], str(tmp_path / "c"), b) and not rollups.commit(batches[b], str(tmp_path / "c2"), b)
+    assert rollups.commit(rollups.deletes(counted), str(tmp_path / "c2"), "4 / new=id")
+    assert not rollups.commit(rollups.deletes(counted), str(tmp_path / "c2"), "4 / new=id")
+    assert {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in rollups.totals(spark, str(tmp_path / "c")).collect()} == want
+    left = sum(r.docs for r in rollups.totals(spark, str(tmp_path / "c2")).collect())
+    assert left == -len(gone_rows)
+    assert rollups.totals(spark, str(tmp_path / "nothing")).count() == 0
     rollups.commit(rollups.inserts(rollups.count_tokens(none, "v1")), str(tmp_path / "e"), "1")
     assert rollups.totals(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_one_version_with_two_vocabularies(spark, docs, tmp_path):
+    small = tmp_path / "bytes.tiktoken"
+    small.write_bytes(b"".join(base64.b64encode(bytes([k])) + b" %d\n" % k for k in range(256)))
+    one = {r.doc_id: r.tokens for r in rollups.count_tokens(docs, "v").collect()}
+    two = {r.doc_id: r.tokens for r in rollups.count_tokens(docs, "v", str(small)).collect()}
+    assert two[83] == 120000 and one[83] < two[83]
+
+
 URLS = [
     "https://A.Example.ORG/es/x", "http://example.org/en/12?q", "http://sub.example.org/en/2", "http://x.com/fr/1", "http://x.com/de/", "http://x.com/de", "http://org/",
     "http://x.org", "http://notexample.org/es/", "nothing", "", None, "ftp://casino.net/a#b/c", "a://b://c.org/d", "http://x.com/fr/?a=/de/", "http://x.com:80/fr/", "http://ORG?x",
