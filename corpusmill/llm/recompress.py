@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Rolling, U64, chunks, freeze, is_shared, least_in, mix, part_of, remove_repeats, runs, split_by, thaw
+from .repeats import Rolling, U64, chunks, freeze, is_shared, least_in, mix, names_of, part_of, remove_repeats, runs, split_by, thaw
 
 WINDOW = 13
 ROUNDS = 2
@@ -27,7 +27,6 @@ ROUNDS = 2
 PIECE = 4 << 20
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
-_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _KEYS = np.random.default_rng(7).integers(0, 1 << 63, 2, dtype=np.uint64) * U64(2) + U64(1)
 _POSITION = U64((1 << 24) - 1)
 _ROLLING, _CHECK = Rolling(2), Rolling(3)
@@ -35,29 +34,13 @@ _RUN, _LEFT, _RIGHT = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name of each word, a second name, its text), for texts below 16 MB together.
-
-    A word is read eight bytes at a time; each eight are mixed with a key of their place, so names of up to eight bytes never
-    meet and longer ones meet only by chance, however regular the bytes. The names have keys of their own.
-    """
+    """(name of each word, a second name, its text), for texts below 16 MB together."""
     data = b" ".join(texts) + bytes(8)
     gap = _GAP[np.frombuffer(data, np.uint8, len(data) - 8)]
     edge = np.flatnonzero(np.diff(np.r_[True, gap, True].astype(np.int8)))
     start, size = edge[0::2], edge[1::2] - edge[0::2]
-    if not len(start):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    lanes = (size + 7) // 8
-    first = np.cumsum(lanes) - lanes
-    word = np.repeat(np.arange(len(start)), lanes)
-    lane = np.arange(len(word)) - first[word]
-    at = start[word] + 8 * lane
-    value = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))[at] & _LANE[np.minimum(8, start[word] + size[word] - at)]
-    names = []
-    for key in _KEYS:
-        some = mix((value + key) ^ mix(lane.astype(np.uint64) + key))
-        names.append(mix(np.add.reduceat(some, first) + size.astype(np.uint64) * key))
     begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-    return *names, np.searchsorted(begins, start, side="right") - 1
+    return *names_of(data, start, size, _KEYS), np.searchsorted(begins, start, side="right") - 1
 
 
 class Symbols:

@@ -73,6 +73,27 @@ class Rolling:
         return mix((prefix[k:] - prefix[:n]) * self.inverses[:n]) if n > 0 else np.empty(0, dtype=np.uint64)
 
 
+_LANE = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def names_of(data: bytes, start: np.ndarray, size: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+    """A hash of each data[start:start + size] under each key; ``data`` ends with eight bytes that no span holds, no size is 0.
+
+    Eight bytes at a time are mixed with a key of their place, so spans of up to eight bytes never meet and longer ones meet
+    only by chance, however regular the bytes.
+    """
+    if not len(start):
+        return [np.empty(0, dtype=np.uint64) for _ in keys]
+    lanes = (size + 7) // 8
+    first = np.cumsum(lanes) - lanes
+    span = np.repeat(np.arange(len(start)), lanes)
+    lane = np.arange(len(span)) - first[span]
+    at = start[span] + 8 * lane
+    value = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))[at] & _LANE[np.minimum(8, start[span] + size[span] - at)]
+    place = lane.astype(np.uint64)
+    return [mix(np.add.reduceat(mix((value + k) ^ mix(place + k)), first) + size.astype(np.uint64) * k) for k in keys]
+
+
 def least_in(keys: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each run of ``width`` neighbours."""
     have = 1

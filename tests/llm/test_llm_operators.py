@@ -360,30 +360,82 @@ def test_short_items_against_brute_force():
             if score >= 1 - 1e-9 and len(asked & seen) >= 0.6 * len(asked) and len(set(a) & set(words)) >= 0.6 * len(set(a)):
                 want.add((t, i))
     assert all((60 + i, i) in want for i in range(len(items)))
-    assert {(t, i) for t, i, *_ in decontaminate.Index(items).leaks(texts)} == want
+    index = decontaminate.Index([(i, *decontaminate.item_terms(q, a)) for i, q, a in items])
+    assert {(t, i) for t, i, *_ in index.leaks(texts)} == want
 
 
-def test_bounds_lose_no_passage():
-    rng = random.Random(6)
+def leaks_by_hand(texts: dict, items: dict) -> dict:
+    """Scores of all passages against all items, without an index; words are terms here, answers the last quarter."""
+    split = {i: x.split() for i, x in items.items() if x and x.split()}
+    cut = {i: min(len(w), max(3, len(w) // 4)) for i, w in split.items()}
+    bags = {i: Counter(w) for i, w in split.items()}
+    df = Counter(t for b in bags.values() for t in b)
+    mean = sum(map(len, split.values())) / max(1, len(split))
+    found: dict = {}
+    for d, text in texts.items():
+        words = (text or "").lower().split()
+        for i, item in split.items():
+            step = 64
+            while step < len(item):
+                step *= 2
+            q, a = item[: len(item) - cut[i]], item[len(item) - cut[i] :]
+            k = min(3, max(1, len(q)))
+            asked = {tuple(q[j : j + k]) for j in range(len(q) - k + 1)}
+            impact = {t: math.log(1 + (len(bags) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(item) / mean)) for t, n in bags[i].items()}
+            for start in range(0, max(1, len(words)), step):
+                passage = words[start : start + 2 * step]
+                score = sum(impact[t] for t in set(passage) & set(impact)) / sum(impact.values())
+                seen = {tuple(passage[j : j + k]) for j in range(len(passage) - k + 1)}
+                qo = len(asked & seen) / len(asked) if asked else 1.0
+                ao = len(set(a) & set(passage)) / len(set(a))
+                if score >= 0.5 - 1e-9 and qo >= 0.6 and ao >= 0.6:
+                    found[d, i] = max(found.get((d, i), (0, 0, 0)), (round(score, 9), round(qo, 9), round(ao, 9)))
+    return found
+
+
+def leak_case(seed: int, long_items: int) -> tuple[dict, dict]:
+    rng = random.Random(seed)
     vocabulary = [f"v{k}" for k in range(300)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(4, 40))), None) for i in range(120)]
-    index = decontaminate.Index(items)
-    index.questions = [q[:0] for q in index.questions]
-    index.answers = [a[:0] for a in index.answers]
-    tx = [" ".join(rng.choices(vocabulary, k=30) + (items[i][1].split() if i % 2 else []) + rng.choices(vocabulary, k=rng.randint(0, 200))) for i in range(60)]
-    got = {(t, i): s for t, i, s, _, _ in index.leaks(tx)}
-    want: dict = {}
-    for t, text in enumerate(tx):
-        h, _ = decontaminate.terms([text])
-        for a in range(-index.step, len(h), index.step):
-            words = set(h[max(0, a) : a + 2 * index.step].tolist())
-            score = np.zeros(len(items))
-            for k, v in enumerate(index.vocabulary.tolist()):
-                if v in words:
-                    score[index.items[index.starts[k] : index.starts[k + 1]]] += index.impacts[index.starts[k] : index.starts[k + 1]]
-            for i in np.flatnonzero(score >= 1 - 1e-9):
-                want[t, i] = max(want.get((t, i), 0), score[i])
-    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    items = {i: " ".join(rng.choices(vocabulary, k=rng.randint(1, 40))) for i in range(50)}
+    items |= {50 + i: " ".join(rng.choices(vocabulary, k=rng.randint(65, 300))) for i in range(long_items)}
+    items |= {90: items[3], 91: "", 92: None}
+    tx: dict = {}
+    for d in range(70):
+        parts = rng.choices(vocabulary, k=rng.randint(0, 400))
+        for i in rng.sample(sorted(items), 2):
+            copy = (items[i] or "").split()
+            copy = [w if rng.random() > 0.15 * (d % 4) else "zzz" for w in copy]
+            if d % 3 == 0:  # taken apart: the two halves stand far from each other
+                half = len(copy) // 2
+                copy = copy[:half] + rng.choices(vocabulary, k=500) + copy[half:]
+            parts += copy + rng.choices(vocabulary, k=rng.randint(0, 90))
+        tx[d] = " ".join(parts)
+    return tx | {70: None, 71: ""}, items
+
+
+@pytest.mark.parametrize("long_items", [0, 6])
+def test_decontamination_against_brute_force(spark, monkeypatch, long_items):
+    tx, items = leak_case(6, long_items)
+    want = leaks_by_hand(tx, items)
+    assert len(want) > 30 and (not long_items or any(50 <= i < 90 for _, i in want))
+    table = spark.createDataFrame(list(tx.items()), "doc_id long, text string").repartition(3)
+    for slice_terms in (10**6, 200):  # in one pass, in many passes
+        monkeypatch.setattr(decontaminate, "SLICE_TERMS", slice_terms)
+        bench = spark.createDataFrame(list(items.items())[:: 1 if slice_terms > 200 else -1], "item_id long, text string")
+        got = {(r.doc_id, r.item_id): (round(r.score, 9), round(r.question_overlap, 9), round(r.answer_overlap, 9)) for r in decontaminate.leaks(table, bench).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+    assert {r.doc_id for r in decontaminate.clean(table, bench).collect()} == set(tx) - {d for d, _ in want}
+
+
+def test_a_long_item_changes_nothing_for_short_ones(spark):
+    rng = random.Random(7)
+    words = lambda n: " ".join(f"n{rng.randrange(10**6)}" for _ in range(n))
+    short = [(f"s{k}", words(12)) for k in range(3)]
+    head, tail = short[0][1].split()[:9], short[0][1].split()[9:]
+    docs = spark.createDataFrame([("scattered", " ".join([*head, words(9000), *tail])), ("whole", words(500) + " " + short[0][1])], "doc_id string, text string")
+    for items in (short, [*short, ("long", words(20000))]):
+        found = decontaminate.leaks(docs, spark.createDataFrame(items, "item_id string, text string")).collect()
+        assert [(r.doc_id, r.item_id) for r in found] == [("whole", "s0")]
 
 
 def test_rollups(spark, docs, none, tmp_path):
