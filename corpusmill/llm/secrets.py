@@ -5,8 +5,9 @@ more), ``hex`` (runs of 32 or more), ``github`` and ``npm`` (tokens whose last s
 the thirty before), ``jwt`` (three base64url parts whose first is a JSON header with an algorithm) and ``pem`` (private key
 blocks). Spans count code points, end exclusive; spans of one kind never overlap, those of different kinds may.
 
-Null and empty texts have no spans. Long texts are scanned whole. Repeated rows get equal results. ``redact`` keeps every
-column and every row.
+Null and empty texts have no spans. Long texts are scanned whole, in time that grows with their length: what a failed hit
+has read is not read again. Repeated rows get equal results, an empty table an empty one. ``scan`` ignores further columns,
+so names may clash; ``redact`` keeps every column and every row.
 """
 
 from __future__ import annotations
@@ -37,8 +38,12 @@ PATTERNS = {
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]{8,})\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "pem": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=:,\x20\r\n-]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
 }
+#: A block is a head, characters of its body, and a tail.
+PEM_HEAD = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+PEM_BODY = re.compile(r"[A-Za-z0-9+/=:,\x20\r\n-]*")
+PEM_TAIL = re.compile(r"-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
 MASK = "[secret]"
 _HEX_CHAR, _HEX_RUN = re.compile("[0-9a-f]"), re.compile("[0-9a-f]+")
@@ -100,6 +105,16 @@ def _hex_runs(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _pem(text: str, at: int) -> tuple[bool, int]:
+    """(whether a block begins at ``at``, place up to which no other can begin)."""
+    head = PEM_HEAD.match(text, at)
+    if not head:
+        return False, at + 1
+    stop = PEM_BODY.match(text, head.end()).end()
+    tail = PEM_TAIL.search(text, head.end(), stop)
+    return (True, tail.end()) if tail else (False, stop)
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets, by start and kind."""
     if not text:
@@ -111,10 +126,18 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     for kind, starts in hits.items():
         done = 0
         for at in sorted(starts):
-            if at >= done and (m := PATTERNS[kind].match(text, at)):
+            if at < done:
+                continue
+            if kind == "pem":
+                real, done = _pem(text, at)
+                if real:
+                    spans.append((kind, at, done))
+            elif m := PATTERNS[kind].match(text, at):
                 done = m.end()
                 if _valid(kind, m):
                     spans.append((kind, at, done))
+            elif kind == "jwt":  # what follows the run fails for every hit in it
+                done = _JWT_RUN.match(text, at).end()
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
