@@ -6,11 +6,13 @@ digest, member checksum) it searches for the next place at which a whole record
 the bytes between as a gap.
 
 Null payloads are empty. A null page_id is archived under the id "null", never revisits and is never revisited. Rows with
-the largest page_id of a payload are all responses. Null URLs get a URN. Texts of any length are stored whole.
+the largest page_id of a payload are all responses. Null URLs get a URN. Texts of any length are stored whole. An empty
+table gives an archive without records. Further columns are ignored, so names may clash.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -24,8 +26,8 @@ from .common import materialize, work_dir
 
 #: Smaller payloads are always stored.
 LEAST_REVISITED = 1000
-#: Bytes of payload in one file, about.
-FILE_BYTES = 64 << 20
+#: Bytes of payload in one file, about; pages of LONG times the mean length and more are filed apart.
+FILE_BYTES, LONG = 64 << 20, 16
 DATE = "2000-01-01T00:00:00Z"
 END = "\r\n\r\n"
 RECORD_ID = "urn:corpusmill:page:"
@@ -73,9 +75,19 @@ def record(rows: DataFrame, date: str = DATE) -> DataFrame:
 
 def write(pages: DataFrame, folder: str) -> None:
     """Archives (page_id, url, html) as plain WARC files in ``folder``."""
-    n, size = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
-    most = max(1, FILE_BYTES * max(1, n) // max(1, size or 0))
-    record(roles(pages)).write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", most).text(folder)
+    length = F.octet_length("html")
+    n, size, longest = pages.agg(F.count("*"), F.sum(length), F.max(length)).first()
+    usual = max(1, LONG * (size or 0) // max(1, n))
+    rows = roles(pages)
+
+    def save(some: DataFrame, each: int, mode: str) -> None:
+        record(some).write.mode(mode).option("lineSep", END).option("maxRecordsPerFile", max(1, FILE_BYTES // each)).text(folder)
+
+    if (longest or 0) <= usual:
+        return save(rows, max(1, (size or 0) // max(1, n)), "overwrite")
+    # pages of many times the mean length have files of their own, so that no file grows far beyond its size
+    save(rows.where(F.col("n") <= usual), max(1, usual // LONG), "overwrite")
+    save(rows.where(F.col("n") > usual), longest, "append")
 
 
 # ---------------------------------------------------------------- reader
@@ -88,46 +100,69 @@ class Damaged(ValueError):
     """A check failed."""
 
 
+def holds(data: bytes, digest: str | None) -> bool | None:
+    """Whether a SHA-1 digest, in hexadecimal or base 32, is that of the data; None for other digests and without one."""
+    kind, _, want = (digest or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    try:
+        raw = bytes.fromhex(want) if len(want) == 40 else base64.b32decode(want.upper())
+    except ValueError:
+        return None
+    return hashlib.sha1(data).digest() == raw if len(raw) == 20 else None
+
+
 def _plain(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     """(end, headers, block) of the record at ``at``."""
     m = _VERSION.match(data, at)
     if not m:
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", m.end() - 2)
-    if stop < 0:
-        raise Damaged("headers do not end")
-    headers = {}
-    for line in data[m.end() : stop].decode("utf-8", "replace").split("\r\n"):
-        name, colon, value = line.partition(":")
+    headers: dict[str, str] = {}
+    name, at = "", m.end()
+    while True:
+        after = data.find(b"\r\n", at)
+        if after < 0:
+            raise Damaged("headers do not end")
+        line, at = data[at:after], after + 2
+        if not line:
+            break
+        if name and line[:1] in (b" ", b"\t"):  # a folded line
+            headers[name] = f"{headers[name]} {line.strip().decode('utf-8', 'replace')}".strip()
+            continue
+        key, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header without a colon")
-        headers[name.strip().lower()] = value.strip()
+        name = key.strip().lower().decode("utf-8", "replace")
+        headers[name] = value.strip().decode("utf-8", "replace")
     length = headers.get("content-length", "")
     if not length.isdigit():
         raise Damaged("no content length")
-    start, end = stop + 4, stop + 4 + int(length)
+    start, end = at, at + int(length)
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("record does not end where it says")
     block = data[start:end]
-    kind, _, want = headers.get("warc-block-digest", "").partition(":")
-    if kind == "sha1" and len(want) == 40 and hashlib.sha1(block).hexdigest() != want.lower():
+    if holds(block, headers.get("warc-block-digest")) is False:
         raise Damaged("block digest differs")
     return end + 4, headers, block
 
 
 def _member(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     """As _plain, for a gzip member that holds one record."""
-    unzip = zlib.decompressobj(31)
-    try:
-        raw = unzip.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Damaged(f"gzip: {e}") from None
-    if not unzip.eof:
-        raise Damaged("gzip member does not end")
+    unzip, parts, step, view = zlib.decompressobj(31), [], 4096, memoryview(data)
+    while not unzip.eof:
+        if at >= len(data):
+            raise Damaged("gzip member does not end")
+        # a member leaves its last step's rest behind, so steps begin small
+        try:
+            parts.append(unzip.decompress(view[at : at + step]))
+        except zlib.error as e:
+            raise Damaged(f"gzip: {e}") from None
+        at, step = min(at + step, len(data)), min(2 * step, 1 << 20)
+    raw = b"".join(parts)
     end, headers, block = _plain(raw, 0)
     if end != len(raw):
         raise Damaged("gzip member holds more than a record")
-    return len(data) - len(unzip.unused_data), headers, block
+    return at - len(unzip.unused_data), headers, block
 
 
 def records(data: bytes) -> Iterator[tuple[str, int, int, str | None, dict[str, str], bytes]]:
@@ -152,10 +187,10 @@ def records(data: bytes) -> Iterator[tuple[str, int, int, str | None, dict[str,
         yield "gap", bad, len(data), reason, {}, b""
 
 
-SCHEMA = "path string, kind string, start long, end long, reason string, headers map<string,string>, payload binary, payload_bytes long"
+SCHEMA = "path string, kind string, start long, end long, reason string, headers map<string,string>, payload binary, payload_bytes long, payload_holds boolean"
 _ARROW = pa.schema(
     [("path", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()),
-     ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("payload_bytes", pa.int64())]
+     ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_holds", pa.bool_())]
 )
 #: Payload bytes in one batch that a task gives back.
 BATCH_BYTES = 8 << 20
@@ -171,7 +206,8 @@ def _http(headers: dict[str, str], block: bytes) -> tuple[bytes, int]:
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """One row for each record and for each gap of all files in ``folder``."""
+    """One row for each record and for each gap of all files in ``folder``; payload_holds: whether the payload has the digest
+    that its record states, null where it states none. A file is one row of Spark's reader, so it has less than 2 GB."""
 
     def run(batches):
         rows: list[tuple] = []
@@ -180,7 +216,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
                 for kind, start, end, reason, headers, block in records(content.as_py()):
                     payload, size = _http(headers, block) if kind == "record" else (None, None)
-                    rows.append((path.as_py(), kind, start, end, reason, list(headers.items()), payload, size))
+                    whole = holds(payload, headers.get("warc-payload-digest")) if kind == "record" and headers.get("warc-type") != "revisit" else None
+                    rows.append((path.as_py(), kind, start, end, reason, list(headers.items()), payload, size, whole))
                     held += end - start
                     if held > BATCH_BYTES:
                         yield _batch(rows)
