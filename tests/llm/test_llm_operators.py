@@ -8,6 +8,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -269,6 +270,30 @@ def test_secrets_checksums_and_masks(docs, none):
     assert secrets.scan(docs).count() == len(ROWS) and secrets.scan(none).count() == 0
 
 
+def test_npm_and_pem_spans_equal_a_full_scan():
+    rng = random.Random(5)
+    block = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=:,\x20\r\n-]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----")
+    body = "b" * 30
+    token = f"npm_{body}{secrets.crc_digits(body)}"
+    parts = ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----", "-----END EC PRIVATE KEY-----", "-----BEGIN CERTIFICATE-----",
+             "MIIB", "\n", "-", "é", token, token[:-1], f"{token}x", f"npm_{body}000000", " "]
+    seen = Counter()
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        want = [("pem", m.start(), m.end()) for m in block.finditer(t)]
+        want += [("npm", m.start(), m.end()) for m in re.finditer(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])", t) if secrets.crc_digits(m[1][:30]) == m[1][30:]]
+        assert sorted(x for x in secrets.find(t) if x[0] in ("pem", "npm")) == sorted(want)
+        seen += Counter(k for k, _, _ in want)
+    assert seen["pem"] > 50 and seen["npm"] > 50
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "-----BEGIN PRIVATE KEY-----", "eyJabcdefgh.", "token", "AKIA", "-----BEGIN A ", "npm_", "password = "])
+def test_secret_scans_take_linear_time(piece):
+    start = time.process_time()
+    secrets.find(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - start < 20
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.size) for r in got) == sorted((i is None, i or 0, len(WORD.findall(t or ""))) for i, t in ROWS)
@@ -574,6 +599,35 @@ def test_warc_salvage(spark, tmp_path, zipped):
     assert sorted([(r.start, r.end) for r in rows])[0][0] == 0 and sum(r.end - r.start for r in rows) == len(data)
 
 
+def test_warc_digests_and_folded_headers(spark, tmp_path):
+    body, http = b"x" * 30, b"HTTP/1.1 200 OK\r\n\r\n"
+    b32 = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    def make(n, block, payload, fold="\r\n "):
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID:{fold}<urn:{n}>\r\nWARC-Block-Digest: sha1:{b32(block)}\r\nWARC-Payload-Digest: sha1:{b32(payload)}\r\n"
+        return (head + f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(http + body)}\r\n\r\n").encode() + http + body + b"\r\n\r\n"
+
+    data = make(0, http + body, body) + make(1, http + body + b"!", body) + make(2, http + body, b"other")
+    (tmp_path / "a.warc").write_bytes(data)
+    rows = sorted(warc.read(spark, str(tmp_path)).collect(), key=lambda r: r.start)
+    assert [(r.kind, r.reason, r.payload_holds) for r in rows] == [("record", None, True), ("gap", "block digest differs", None), ("record", None, False)]
+    assert rows[0].headers["warc-record-id"] == "<urn:0>"
+
+
+@pytest.mark.parametrize("data", [b"WARC/1.0\r\n" * 300_000, b"".join(gzip.compress(_record(n, b"y" * 2000)) for n in range(40_000))], ids=["versions", "members"])
+def test_warc_reader_takes_linear_time(data):
+    start = time.process_time()
+    assert sum(end - at for _, at, end, *_ in warc.records(data)) == len(data)
+    assert time.process_time() - start < 20
+
+
+def test_long_pages_are_filed_apart(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    pages = spark.createDataFrame([(i, None, "x" * (50_000 + i if i % 50 == 0 else 100 + i)) for i in range(300)], "page_id long, url string, html string").coalesce(1)
+    got = warc.round_trip(pages, str(tmp_path / "w")).collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == sorted((i, 50_000 + i if i % 50 == 0 else 100 + i) for i in range(300))
+    assert max(p.stat().st_size for p in (tmp_path / "w").iterdir()) < 60_000 + 20 * 700
+
+
 def test_every_operator_has_its_query():
     assert {re.match(r"op(\d+)_", name)[1] for name in queries.queries()} == {str(n) for n in range(1, 11)}
     assert set(queries.oracle_sql()) <= set(queries.queries())
