@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from difflib import SequenceMatcher
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import few, settled
+
+#: Fixed value: nodes on the longest path that counts.
 MOST_DEPTH = 32
 
 
@@ -66,34 +72,77 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def by_range(rows: DataFrame, value: str, rules: DataFrame, low: str = "low", high: str = "high") -> DataFrame:
-    """Rows with each rule whose bounds hold the value; the rules are a small user-defined table."""
-    return rows.join(F.broadcast(rules), F.col(value).between(F.col(low), F.col(high)))
+    """Rows with each rule whose bounds hold the value; the rules are broadcast if they are few."""
+    return rows.join(few(rules), F.col(value).between(F.col(low), F.col(high)))
 
 
 def ancestry(edges: DataFrame, node: str = "node", parent: str = "parent", depth: int = MOST_DEPTH) -> DataFrame:
-    """(node, root, depth, path) by walking down from nodes without a parent; nodes on cycles have no root and stay out."""
-    level = edges.where(F.col(parent).isNull()).select(F.col(node).alias("node"), F.col(node).alias("root"), F.lit(0).alias("depth"), F.array(node).alias("path"))
+    """(node, root, depth, path) of each node, by walking down from nodes without a parent. A node whose path has more than
+    ``depth`` nodes, leads to a parent that is not there, or runs in a circle has no root, no depth and an empty path."""
+    level = settled(edges.where(F.col(parent).isNull()).select(F.col(node).alias("node"), F.col(node).alias("root"), F.lit(0).alias("depth"), F.array(node).alias("path")))
     down = edges.where(F.col(parent).isNotNull()).select(F.col(node).alias("_n"), F.col(parent).alias("_p"))
-    out = level
-    for d in range(1, depth + 1):
-        level = down.join(level, F.col("_p") == F.col("node")).select(
-            F.col("_n").alias("node"), "root", F.lit(d).alias("depth"), F.concat("path", F.array("_n")).alias("path")
-        )
-        if level.isEmpty():
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        if len(levels) == depth:
             break
-        out = out.unionByName(level)
-    return out
+        level = settled(
+            down.join(level, F.col("_p") == F.col("node")).select(
+                F.col("_n").alias("node"), "root", F.lit(len(levels)).alias("depth"), F.concat("path", F.array("_n")).alias("path")
+            )
+        )
+    found = reduce(DataFrame.unionByName, levels or [level])
+    rest = edges.select(F.col(node).alias("node")).join(found.select("node"), "node", "left_anti")
+    kind = found.schema
+    return found.unionByName(rest.select("node", *[F.lit(None).cast(kind[c].dataType).alias(c) for c in ("root", "depth")], F.array().cast(kind["path"].dataType).alias("path")))
+
+
+#: Names on the right that one pass of ``best_match`` holds.
+PASS_NAMES = 20_000
 
 
 def best_match(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
-    """Closest right name by edit distance within a first-letter block, if the likeness reaches ``least``."""
-    block = lambda c: F.lower(F.substring(c, 1, 1)).alias("_block")
-    pairs = left.select(a, block(F.col(a))).distinct().join(right.select(b, block(F.col(b))).distinct(), "_block")
-    size = F.greatest(F.length(a), F.length(b))
-    like = F.round(1 - F.levenshtein(F.lower(F.col(a)), F.lower(F.col(b))) / size, 6).alias("likeness")
-    order = W.partitionBy(a).orderBy(F.col("likeness").desc(), F.col(b))
-    scored = pairs.select(a, b, like).where(F.col("likeness") >= least)
-    return scored.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    """(a, b, likeness): for each distinct left name the most alike of all right names, the least name among equals, if the
+    likeness reaches ``least``. The likeness is that of two lower-cased names' longest matching blocks.
+
+    Right names are broadcast PASS_NAMES at a time. Lengths and letter counts bound the likeness, so few pairs are compared.
+    """
+    spark = left.sparkSession
+    names = right.select(b).where(F.col(b).isNotNull()).distinct()
+    passes = max(1, -(-names.count() // PASS_NAMES))
+    asked = left.select(a).where(F.col(a).isNotNull()).distinct()
+    found = []
+    for k in range(passes):
+        some = spark.sparkContext.broadcast([r[0] for r in names.where(F.pmod(F.xxhash64(b), F.lit(passes)) == k).toLocalIterator()])
+        found.append(settled(asked.mapInPandas(_matcher(some, a, b, least), f"{a} string, {b} string, likeness double")))
+        some.unpersist()
+    best = F.min_by(b, F.struct((-F.col("likeness")).alias("l"), F.col(b).alias("b"))).alias(b)
+    return reduce(DataFrame.unionByName, found).groupBy(a).agg(best, F.max("likeness").alias("likeness"))
+
+
+def _matcher(some, a: str, b: str, least: float):
+    def run(frames):
+        known = sorted((name, name.lower(), Counter(name.lower())) for name in some.value)
+        for frame in frames:
+            rows = []
+            for name in frame[a]:
+                asked, letters = name.lower(), Counter(name.lower())
+                matcher = SequenceMatcher(None, "", asked)
+                best = (least, None)
+                for other, low, has in known:
+                    both = len(low) + len(asked)
+                    bar = best[0] if best[1] is None else best[0] + 1e-9
+                    if both and 2 * min(len(low), len(asked)) < bar * both or both and 2 * (letters & has).total() < bar * both:
+                        continue
+                    matcher.set_seq1(low)
+                    ratio = matcher.ratio()
+                    if ratio >= bar:
+                        best = (ratio, other)
+                if best[1] is not None:
+                    rows.append((name, best[1], round(best[0], 6)))
+            yield pd.DataFrame(rows, columns=[a, b, "likeness"])
+
+    return run
 
 
 def tag_union(rows: DataFrame, group: str, tag: str) -> DataFrame:

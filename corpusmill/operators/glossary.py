@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import all_tokens, bound, normalise
-from .retrieval import few
+from ..session import few
 
 MOST_TERMS, MOST_ALIASES = 5, 4
 
@@ -65,7 +65,7 @@ def numbered(queries: DataFrame, rules: DataFrame, key: str, text: str) -> DataF
     """(key, rule_id, number): numbers of four digits behind a rule's prefix, within the rule's bounds."""
     words = queries.select(key, F.explode(all_tokens(F.col(text))).alias("w"))
     parts = words.select(key, F.regexp_extract("w", r"^([a-zа-я]+)[0-9]{4}$", 1).alias("prefix"), F.regexp_extract("w", r"([0-9]{4})$", 1).try_cast("int").alias("number"))
-    return parts.where("number IS NOT NULL").join(F.broadcast(rules), "prefix").where("number BETWEEN low AND high").select(key, "rule_id", "number").distinct()
+    return parts.where("number IS NOT NULL").join(few(rules), "prefix").where("number BETWEEN low AND high").select(key, "rule_id", "number").distinct()
 
 
 def clashes(known: DataFrame) -> DataFrame:

@@ -10,16 +10,18 @@ from ..functions.text import all_tokens, bound
 from .catalogue import MOST_DEPTH, ancestry
 
 TRASH_DAYS, CHAT_DAYS = 14, 90
-# Endings that the stem of a Russian word loses, longest first, and the least that stays.
+# Endings that the stem of a Russian word loses, the longest that fits, and the least that stays.
 ENDINGS = (
-    "иями", "ями", "ами", "иях", "ях", "ах", "ого", "его", "ому", "ему", "ыми", "ими", "ией", "ой", "ей", "ий", "ый", "ая", "яя", "ое", "ее", "ые", "ие",
-    "ую", "юю", "ом", "ем", "ам", "ям", "ов", "ев", "ию", "ия", "ии", "а", "я", "о", "е", "ы", "и", "у", "ю", "ь",
+    "ого", "его", "ыми", "ими", "ами", "ями", "иях", "ых", "их", "ах", "ях",
+    "ой", "ей", "ов", "ев", "ий", "ый", "ая", "яя", "ое", "ее", "ые", "ие",
+    "ом", "ем", "ым", "им", "ую", "юю", "ья", "ье", "ью", "ть", "ся", "сь",
+    "а", "я", "о", "е", "и", "ы", "у", "ю", "ь",
 )
 LEAST_STEM = 5
 
 
 def stem(word: Column) -> Column:
-    """The word without its ending, if five letters stay."""
+    """The word without the longest ending that leaves five letters; words of other letters stay."""
     return F.regexp_replace(word, rf"^([а-яё]{{{LEAST_STEM},}}?)(?:{'|'.join(ENDINGS)})$", "$1")
 
 
@@ -49,9 +51,28 @@ def set_entry(m: Column, key: str, value: Column) -> Column:
 
 
 def unique_slugs(rows: DataFrame, group: str, slug: str, order: str) -> DataFrame:
-    """Repeats of a slug within a group get ``-1``, ``-2``... behind it."""
+    """In the order of a group, a slug that is taken gets the first free of ``-1``, ``-2``... behind it.
+
+    A repeat's place among its equals is that number unless the name it makes is another row's; only groups where that
+    happens are gone through row by row.
+    """
     n = F.row_number().over(W.partitionBy(group, slug).orderBy(order)) - 1
-    return rows.withColumn(slug, F.when(n > 0, F.concat_ws("-", F.col(slug), n.cast("string"))).otherwise(F.col(slug)))
+    numbered = rows.withColumn("_made", F.when(n > 0, F.concat_ws("-", F.col(slug), n.cast("string"))).otherwise(F.col(slug)))
+    clash = numbered.groupBy(group).agg((F.count_distinct("_made") < F.count("_made")).alias("_clash")).where("_clash").select(group)
+    out = rows.columns
+
+    def walk(pdf):
+        used, made = set(), []
+        for base in pdf.sort_values(order, kind="stable")[slug]:
+            name, k = base, 1
+            while name in used:
+                name, k = f"{base}-{k}", k + 1
+            used.add(name)
+            made.append(name)
+        return pdf.sort_values(order, kind="stable").assign(**{slug: made})[out]
+
+    easy = numbered.join(clash, group, "left_anti").withColumn(slug, F.col("_made")).select(*out)
+    return easy.unionByName(rows.join(clash, group, "left_semi").select(*out).groupBy(group).applyInPandas(walk, rows.select(*out).schema))
 
 
 def tree_faults(edges: DataFrame, group: str, node: str, parent: str) -> DataFrame:
@@ -65,8 +86,8 @@ def tree_faults(edges: DataFrame, group: str, node: str, parent: str) -> DataFra
 
 
 def inherited(edges: DataFrame, node: str, parent: str, flag: str, depth: int = MOST_DEPTH) -> DataFrame:
-    """(node, depth, inherited): whether a node or any ancestor carries the flag."""
-    paths = ancestry(edges.select(node, parent), node, parent, depth).select("node", "depth", F.explode("path").alias("up"))
+    """(node, depth, inherited): whether a node or any ancestor carries the flag; nodes without a whole path are left out."""
+    paths = ancestry(edges.select(node, parent), node, parent, depth).where("root IS NOT NULL").select("node", "depth", F.explode("path").alias("up"))
     marked = edges.select(F.col(node).alias("up"), F.coalesce(F.col(flag), F.lit(False)).alias("_f"))
     return paths.join(marked, "up").groupBy("node", "depth").agg(F.bool_or("_f").alias("inherited"))
 

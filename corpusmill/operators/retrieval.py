@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, slot, tokens
+from ..session import MOST_BROADCAST, settled
 
 RRF_K = 60
 WEIGHTS = {"dense": 1.0, "bm25": 1.5, "graph": 0.5}
 BRANCH_TOP, REVIEW_PENALTY, GRAPH_SCORE, GRAPH_RANK = 30, 10, 0.5, 100
-#: Query postings up to so many rows are broadcast; more are joined by shuffling.
-MOST_BROADCAST = 200_000
 
 
-def postings(docs: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
-    """(key, slot, weight): log1p of the term frequency, frequencies of terms in one slot added up before."""
-    terms = docs.select(key, F.explode(tokens(F.col(text), stop_words)).alias("term"))
-    counted = terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return counted.groupBy(key, slot(F.col("term")).alias("slot")).agg(F.sum("tf").alias("tf")).select(key, "slot", F.log1p("tf").alias("weight"))
+def postings(docs: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = STOP_WORDS, only: DataFrame | None = None) -> DataFrame:
+    """(key, slot, weight): log1p of how often terms of a slot occur; with ``only`` (slot), of these slots."""
+    slots = docs.select(key, F.explode(F.transform(tokens(F.col(text), stop_words), slot)).alias("slot"))
+    if only is not None:  # before anything is counted or shuffled
+        slots = slots.join(only, "slot", "left_semi")
+    return slots.groupBy(key, "slot").agg(F.count("*").alias("tf")).select(key, "slot", F.log1p("tf").alias("weight"))
 
 
 def ranked(hits: DataFrame, query: str, score: str, tie: str, top: int) -> DataFrame:
@@ -28,18 +33,12 @@ def ranked(hits: DataFrame, query: str, score: str, tie: str, top: int) -> DataF
     return hits.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top)
 
 
-def few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """Marks a table for broadcast if it has at most ``most`` rows; the count stops there."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def bm25(docs: DataFrame, queries: DataFrame, doc_key: str = "doc_id", query_key: str = "item_id", text: str = "text", top: int = BRANCH_TOP) -> DataFrame:
     """(query, doc, score, rank): dot product of log1p frequencies times ln(1 + (N - df + 0.5) / (df + 0.5))."""
-    index = postings(docs, doc_key, text)
-    asked = postings(queries, query_key, text).withColumnRenamed("weight", "q")
-    # what comes from the queries has at most as many rows as their postings: one count settles all three joins
+    asked = settled(postings(queries, query_key, text).withColumnRenamed("weight", "q"))
+    # what comes from the queries has at most as many rows as their postings: one count settles all joins
     small = F.broadcast if asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else (lambda df: df)
-    hit = index.join(small(asked.select("slot").distinct()), "slot", "left_semi")
+    hit = settled(postings(docs, doc_key, text, only=small(asked.select("slot").distinct())))
     n = docs.count()
     idf = hit.groupBy("slot").agg(F.count("*").alias("df")).select("slot", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighed = small(asked.join(small(idf), "slot"))
@@ -52,14 +51,79 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense(points: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = BRANCH_TOP) -> DataFrame:
-    """(query_id, key, score, rank): cosine of each point with each of a bounded set of query vectors, scored in blocks.
+#: Numbers in the query vectors that one pass holds.
+PASS_NUMBERS = 4 << 20
+
 
-    Points stream past the broadcast queries; a point that asks is left out of its own answer.
+def _unit(vectors: list) -> np.ndarray:
+    x = np.array(vectors, dtype=np.float64)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def dense(points: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", top: int = BRANCH_TOP, asking: str | None = None) -> DataFrame:
+    """(query_id, key, score, rank): the ``top`` points by cosine for each query vector, ties by key.
+
+    Query vectors of PASS_NUMBERS numbers are broadcast at a time; each batch of points is multiplied with all of them and
+    gives back its best for each query. With the same key on both sides a point is left out of its own answer; ``asking``
+    names another key of the queries. A null or zero vector matches nothing.
+    """
+    spark = points.sparkSession
+    asked = queries.select(F.col(asking or key).alias("query_id"), F.col(vector).alias("v")).where("query_id IS NOT NULL AND size(v) > 0")
+    n, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    passes = max(1, -(-n * (width or 1) // PASS_NUMBERS))
+    rows = points.select(key, F.col(vector).alias("v")).where(F.col(key).isNotNull() & (F.size("v") > 0))
+    kinds = asked.schema["query_id"].dataType.simpleString(), rows.schema[key].dataType.simpleString()
+    found = []
+    for k in range(passes):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k).toLocalIterator() if n else []
+        part = rows.mapInArrow(_best_of(spark.sparkContext.broadcast([tuple(r) for r in some]), key, top, asking is None), f"query_id {kinds[0]}, {key} {kinds[1]}, score double")
+        found.append(settled(part) if passes > 1 else part)
+    return ranked(reduce(DataFrame.unionByName, found), "query_id", "score", key, top)
+
+
+def _best_of(asked, key: str, top: int, same: bool):
+    def run(batches):
+        ids = pa.array([q for q, _ in asked.value])
+        query = _unit([v for _, v in asked.value]) if len(ids) else None
+        for batch in batches:
+            if query is None or not batch.num_rows:
+                continue
+            order = pc.sort_indices(batch.column(key))
+            keys = batch.column(key).take(order)
+            point = _unit(batch.column("v").take(order).to_pylist())
+            score = np.round(query @ point.T, 6) + 0.0
+            score[~point.any(axis=1)[None, :].repeat(len(query), axis=0)] = -2
+            score[~query.any(axis=1)] = -2
+            if same:
+                at = pc.index_in(keys, value_set=ids)
+                own = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+                score[at.drop_null().to_numpy(zero_copy_only=False), own] = -2
+            best = np.argsort(-score, axis=1, kind="stable")[:, :top]
+            value = np.take_along_axis(score, best, axis=1).ravel()
+            real = np.flatnonzero(value >= -1.5)
+            q = np.repeat(np.arange(len(query)), best.shape[1])[real]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), keys.take(pa.array(best.ravel()[real])), pa.array(value[real])], names=["query_id", key, "score"])
+
+    return run
+
+
+def composite(branches: dict[str, DataFrame], edges: DataFrame | None, query: str, key: str, top: int, per_branch: int = BRANCH_TOP, k: int = RRF_K, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(query, key, score, place, limit_reached): ranked branches and the neighbours of their hits, fused and cut.
+
+    edges: (key, neighbour). Neighbours are taken in the order of their keys, hits among them, ``per_branch`` for each query.
+    limit_reached: the answer or some branch is as long as it may be.
     """
-    asked = F.broadcast(queries.select(F.col(key).alias("query_id"), F.col(vector).alias("_q")))
-    pairs = points.select(key, vector).join(asked, F.col("query_id") != F.col(key))
-    return ranked(pairs.select("query_id", key, F.round(cosine(F.col(vector), F.col("_q")), 6).alias("score")), "query_id", "score", key, top)
+    hits = {name: df.where(F.col("rank") < per_branch) for name, df in branches.items()}
+    if edges is not None:
+        every = reduce(DataFrame.unionByName, [df.select(query, key) for df in hits.values()]).distinct()
+        hits["graph"] = expand(every, edges, key, "neighbour", query, per_branch, fresh=False)
+    hits = {name: settled(df.select(query, key, "rank")) for name, df in hits.items()}
+    full = reduce(DataFrame.unionByName, [df.groupBy(query).agg((F.count("*") >= per_branch).alias("full")) for df in hits.values()])
+    full = full.groupBy(query).agg(F.bool_or("full").alias("_full"))
+    order = W.partitionBy(query).orderBy(F.col("score").desc(), key)
+    out = fuse(hits, query, key, k, weights).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    long = out.groupBy(query).agg((F.count("*") >= top).alias("_long"))
+    return out.join(full, query).join(long, query).select(query, key, "score", "place", (F.col("_full") | F.col("_long")).alias("limit_reached"))
 
 
 def fuse(branches: dict[str, DataFrame], query: str, key: str, k: int = RRF_K, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -75,10 +139,11 @@ def demote(hits: DataFrame, flag: Column, penalty: int = REVIEW_PENALTY) -> Data
     return hits.withColumn("rank", F.col("rank") + F.when(flag, penalty).otherwise(0))
 
 
-def expand(hits: DataFrame, edges: DataFrame, node: str, neighbour: str, query: str, top: int = BRANCH_TOP) -> DataFrame:
-    """Graph branch: neighbours of a query's hits that are no hits themselves, in the order of their ids, score and rank fixed."""
+def expand(hits: DataFrame, edges: DataFrame, node: str, neighbour: str, query: str, top: int = BRANCH_TOP, fresh: bool = True) -> DataFrame:
+    """Graph branch: neighbours of a query's hits in the order of their ids, score and rank fixed; with ``fresh`` those that
+    are no hits themselves."""
     found = hits.select(query, node).join(edges.select(node, neighbour), node).select(query, F.col(neighbour).alias(node)).distinct()
-    new = found.join(hits.select(query, node), [query, node], "left_anti")
+    new = found.join(hits.select(query, node), [query, node], "left_anti") if fresh else found
     order = W.partitionBy(query).orderBy(node)
     new = new.withColumn("_n", F.row_number().over(order) - 1).where(F.col("_n") < top)
     return new.select(query, node, F.lit(GRAPH_SCORE).alias("score"), (GRAPH_RANK + F.col("_n")).alias("rank"))

@@ -54,7 +54,7 @@ def page_sorted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyset_page(spark: SparkSession, d: str) -> DataFrame:
-    users = table(spark, d, "conversations").where("role = 'user' AND turn < 2").groupBy("conv_id").agg(F.min("turn").alias("turn"))
+    users = table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("turn"))
     return C.after(users, "conv_id", 60, 20).select("conv_id", "turn")
 
 
@@ -75,7 +75,7 @@ def exists_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def not_exists_filter(spark: SparkSession, d: str) -> DataFrame:
-    placed = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    placed = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").select("c_custkey", "c_name").join(placed, "c_custkey", "left_anti")
 
 
@@ -138,10 +138,10 @@ def alias_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
-    """Types without their vowels find the type they come from."""
+    """Types with their first letter at the end and without vowels find the type that is most alike."""
     types = table(spark, d, "part").select("p_type").distinct()
-    left = types.select(F.concat(F.substring("p_type", 1, 1), F.regexp_replace(F.substring("p_type", 2, 100), "[AEIOUaeiou]", "e")).alias("typed"))
-    return C.best_match(left, types, "typed", "p_type", 0.6)
+    turned = F.concat(F.substring("p_type", 2, 100), F.substring("p_type", 1, 1))
+    return C.best_match(types.select(F.regexp_replace(turned, "[AEIOUaeiou]", "e").alias("typed")), types, "typed", "p_type", 0.6)
 
 
 def tags_by_group(spark: SparkSession, d: str) -> DataFrame:
@@ -228,12 +228,12 @@ WHERE o_orderstatus = 'F' OR o_orderpriority LIKE '1%' OR (o_orderstatus = 'O' A
     "markup_progress": "SELECT count(*) AS total, count(quality) AS marked, count(*) FILTER (toxic = 1) AS toxic FROM documents LEFT JOIN labels USING (doc_id)",
     "page_sorted": """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price, (SELECT count(*) FROM orders) AS total
 FROM orders ORDER BY price DESC NULLS LAST, o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40""",
-    "keyset_page": "SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'user' AND turn < 2 AND conv_id < 60 GROUP BY conv_id ORDER BY conv_id DESC LIMIT 21",
+    "keyset_page": "SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'user' AND conv_id < 60 GROUP BY conv_id ORDER BY conv_id DESC LIMIT 21",
     "user_event_counts": "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL",
     "tag_usage": """SELECT p_partkey, coalesce(n, 0) AS n FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey
 WHERE o_orderstatus = 'O' GROUP BY l_partkey) ON l_partkey = p_partkey""",
     "exists_filter": "SELECT o_orderkey, o_custkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)",
-    "not_exists_filter": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "not_exists_filter": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')",
     "missing_translation": """SELECT doc_id, CASE WHEN quality IS NULL THEN 'missing' ELSE 'machine' END AS state FROM documents LEFT JOIN labels USING (doc_id)
 WHERE quality IS NULL OR quality = 0""",
     "correlated_count": "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer",
@@ -250,9 +250,6 @@ FROM lineitem GROUP BY l_orderkey""",
     "hydrate": "SELECT doc_id, source, substr(text, 1, 40) AS head FROM labels JOIN documents USING (doc_id) WHERE quality = 1",
     "alias_conflicts": """SELECT alias, count(DISTINCT p_partkey) AS owners, min(p_partkey) AS first_owner FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS alias FROM part)
 GROUP BY alias HAVING count(DISTINCT p_partkey) > 1""",
-    "fuzzy_match": """WITH t AS (SELECT DISTINCT p_type FROM part), l AS (SELECT DISTINCT p_type[1:1] || regexp_replace(substr(p_type, 2, 100), '[AEIOUaeiou]', 'e', 'g') AS typed FROM t),
-p AS (SELECT typed, p_type, round(1 - levenshtein(lower(typed), lower(p_type))::DOUBLE / greatest(length(typed), length(p_type)), 6) AS likeness FROM l JOIN t ON lower(typed[1:1]) = lower(p_type[1:1]))
-SELECT * FROM p WHERE likeness >= 0.6 QUALIFY row_number() OVER (PARTITION BY typed ORDER BY likeness DESC, p_type) = 1""",
     "tags_by_group": "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS tags FROM documents GROUP BY source",
     "next_version": "SELECT o_custkey, coalesce(max(o_orderkey), 0) + 1 AS next FROM orders GROUP BY o_custkey",
     "contiguity": "SELECT conv_id, count(*) AS n, min(turn) AS low, max(turn) AS high, max(turn) - min(turn) + 1 = count(*) AS whole FROM conversations GROUP BY conv_id",

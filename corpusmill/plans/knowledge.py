@@ -16,7 +16,7 @@ def point_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unique_slugs(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").select("p_partkey", "p_brand", F.replace("p_name", F.lit(" "), F.lit("-")).alias("slug"))
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", F.replace("p_type", F.lit(" "), F.lit("-")).alias("slug"))
     return K.unique_slugs(rows, "p_brand", "slug", "p_partkey")
 
 
@@ -58,10 +58,10 @@ def outbox_due(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose first and last thirds share a run of eight tokens."""
+    """Documents whose halves share a run of eight tokens."""
     t, n = F.col("text"), F.length("text")
-    third = F.floor(n / 3).cast("int")
-    rows = table(spark, d, "documents").select("doc_id", K.longest_run(F.substring(t, 1, third), F.substring(t, n - third + 1, third)).alias("shares"))
+    half = F.floor(n / 2).cast("int")
+    rows = table(spark, d, "documents").select("doc_id", K.longest_run(F.substring(t, 1, half), F.substring(t, half + 1, n)).alias("shares"))
     return rows.where("shares").select("doc_id")
 
 
@@ -80,8 +80,8 @@ _TOK = "regexp_extract_all(replace(lower({s}), chr(775), ''), '[a-zа-яё0-9ß
 ORACLES = {
     "point_ids": """WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || ('doc:' || doc_id)::BLOB) AS x FROM documents)
 SELECT doc_id, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || printf('%02x', (('0x' || x[17:18])::INT & 63) | 128) || x[19:20] || '-' || x[21:32] AS point_id FROM h""",
-    "unique_slugs": """SELECT p_partkey, p_brand, CASE WHEN n > 1 THEN s || '-' || (n - 1) ELSE s END AS slug FROM (SELECT p_partkey, p_brand, replace(p_name, ' ', '-') AS s,
-row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n FROM part)""",
+    "unique_slugs": """SELECT p_partkey, p_brand, CASE WHEN n > 1 THEN s || '-' || (n - 1) ELSE s END AS slug FROM (SELECT p_partkey, p_brand, replace(p_type, ' ', '-') AS s,
+row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS n FROM part)""",
     "inherited_scope": """SELECT 'r' || r_regionkey AS node, 0::BIGINT AS depth, r_regionkey = 2 AS inherited FROM region
 UNION ALL SELECT 'n' || n_nationkey, 1, n_nationkey % 4 = 0 OR n_regionkey = 2 FROM nation
 UNION ALL SELECT 'c' || c_custkey, 2, c_nationkey % 4 = 0 OR n_regionkey = 2 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
@@ -96,8 +96,8 @@ coalesce(event_type = 'error' AND 14 - date_diff('day', ts::DATE, DATE '2024-01-
     "batch_receipts": """SELECT event_id, CASE WHEN row_number() OVER w = 1 THEN 'accepted' WHEN first_value(event_type) OVER w = event_type THEN 'duplicate' ELSE 'conflict' END AS receipt
 FROM events WINDOW w AS (PARTITION BY user_id, ts::DATE ORDER BY event_id)""",
     "outbox_due": """SELECT event_id, least(60, 2 ** (event_id % 9))::BIGINT AS wait FROM events WHERE event_type = 'view' AND ts <= TIMESTAMP '2024-01-15' ORDER BY ts, event_id LIMIT 50""",
-    "token_runs": f"""WITH t AS (SELECT doc_id, {_TOK.format(s="substr(text, 1, length(text) // 3)")} AS a,
-{_TOK.format(s="substr(text, length(text) - length(text) // 3 + 1, length(text) // 3)")} AS b FROM documents)
+    "token_runs": f"""WITH t AS (SELECT doc_id, {_TOK.format(s="substr(text, 1, length(text) // 2)")} AS a,
+{_TOK.format(s="substr(text, length(text) // 2 + 1)")} AS b FROM documents)
 SELECT doc_id FROM t WHERE len(a) >= 8 AND len(b) >= 8 AND list_has_any({_RUN.format(t='a')}, {_RUN.format(t='b')})""",
     "cited": "SELECT p_partkey, 'see [' || p_size || '] and [' || p_size || '] [99]' AS text FROM part",
 }

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import knowledge as K
 from ..operators import retrieval as R
 from ..session import table
 
@@ -35,6 +37,21 @@ _DENSE = """pairs AS (SELECT q.vec_id AS query_id, p.vec_id, p.label, q.label AS
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM pairs QUALIFY rank < 30)"""
 
 
+_VEC = """{name}_terms AS (SELECT {key}, unnest(regexp_extract_all(replace(lower(coalesce(text, '')), chr(775), ''), '[a-zа-яё0-9ßà-öø-ÿā-žșț]+')) AS t FROM {source}),
+{name}_n AS (SELECT {key}, ('0x' || substr(md5(t), 1, 7))::BIGINT % 16 AS i, count(*)::DOUBLE AS n FROM {name}_terms GROUP BY ALL),
+{name} AS (SELECT {key}, i, n / sqrt(sum(n * n) OVER (PARTITION BY {key})) AS x FROM {name}_n)"""
+_FUSED = f"""{_VEC.format(name='dv', key='doc_id', source='documents')}, {_VEC.format(name='qv', key='item_id', source='benchmark')},
+near AS (SELECT item_id, doc_id, round(sum(dv.x * qv.x), 6) AS score FROM qv JOIN dv USING (i) GROUP BY item_id, doc_id),
+all_pairs AS (SELECT item_id, doc_id, coalesce(score, 0) AS score FROM (SELECT DISTINCT item_id FROM qv) CROSS JOIN (SELECT DISTINCT doc_id FROM dv) LEFT JOIN near USING (item_id, doc_id)),
+vec AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) - 1 AS rank FROM all_pairs QUALIFY rank < 30),
+link AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS neighbour FROM documents),
+reached AS (SELECT DISTINCT item_id, neighbour AS doc_id FROM (SELECT item_id, doc_id FROM vec UNION SELECT item_id, doc_id FROM bm25) JOIN link USING (doc_id) WHERE neighbour IS NOT NULL),
+graph AS (SELECT item_id, doc_id, 99 + row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM reached QUALIFY rank < 130),
+hits AS (SELECT 'dense' AS branch, item_id, doc_id, 1.0::DOUBLE / (60 + rank) AS part FROM vec UNION ALL SELECT 'bm25', item_id, doc_id, 1.5::DOUBLE / (60 + rank) FROM bm25
+UNION ALL SELECT 'graph', item_id, doc_id, 0.5::DOUBLE / (60 + rank) FROM graph),
+fused AS (SELECT item_id, doc_id, round(sum(part), 9) AS score FROM hits GROUP BY item_id, doc_id)"""
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25(table(spark, d, "documents"), table(spark, d, "benchmark")).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
@@ -59,14 +76,27 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.dense(table(spark, d, "embeddings"), _asked(spark, d)).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def _branches(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    hits = R.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"))
-    by_id = R.ranked(hits.select("item_id", "doc_id", F.col("doc_id").cast("double").alias("score")), "item_id", "score", "doc_id", R.BRANCH_TOP)
-    return {"bm25": hits, "dense": by_id}
+def _branches(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Word hits and hits by test vectors of the documents for each benchmark item, and links to the next document of a source."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    vector = K.test_vector(F.col("text")).alias("embedding")
+    hits = R.dense(docs.select("doc_id", vector), items.select("item_id", vector), key="doc_id", asking="item_id").withColumnRenamed("query_id", "item_id")
+    after = F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id"))
+    edges = docs.select("doc_id", after.alias("neighbour")).where("neighbour IS NOT NULL")
+    return {"dense": hits, "bm25": R.bm25(docs, items)}, edges
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return R.fuse(_branches(spark, d), "item_id", "doc_id")
+    """All three branches fused."""
+    hits, edges = _branches(spark, d)
+    every = hits["dense"].select("item_id", "doc_id").unionByName(hits["bm25"].select("item_id", "doc_id")).distinct()
+    return R.fuse(hits | {"graph": R.expand(every, edges, "doc_id", "neighbour", "item_id", fresh=False)}, "item_id", "doc_id")
+
+
+def composite_search(spark: SparkSession, d: str) -> DataFrame:
+    hits, edges = _branches(spark, d)
+    out = R.composite(hits, edges, "item_id", "doc_id", top=20)
+    return out.select("item_id", "doc_id", "score", F.col("place").cast("long").alias("place"), "limit_reached")
 
 
 def review_demotion(spark: SparkSession, d: str) -> DataFrame:
@@ -80,16 +110,11 @@ def fragment_leader(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_expansion(spark: SparkSession, d: str) -> DataFrame:
-    """Orders that share a part with the two largest orders of a customer."""
-    orders = table(spark, d, "orders")
-    top = R.ranked(orders.select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_totalprice", "o_orderkey", 2)
-    items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    hits = top.select("o_custkey", F.col("o_orderkey").alias("l_orderkey"))
-    parts = hits.join(items, "l_orderkey").select("o_custkey", "l_partkey").distinct()
-    found = parts.join(items, "l_partkey").select("o_custkey", "l_orderkey").distinct()
-    new = found.join(hits, ["o_custkey", "l_orderkey"], "left_anti")
-    ranked = R.ranked(new.withColumn("score", F.lit(0.0)), "o_custkey", "score", "l_orderkey", R.BRANCH_TOP)
-    return ranked.select("o_custkey", "l_orderkey", (R.GRAPH_RANK + F.col("rank")).cast("long").alias("rank"))
+    """Parts that a customer's orders lead to."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    hits = table(spark, d, "orders").select("o_custkey", name("o", "o_orderkey").alias("node"))
+    edges = table(spark, d, "lineitem").select(name("o", "l_orderkey").alias("node"), name("p", "l_partkey").alias("neighbour"))
+    return R.expand(hits, edges, "node", "neighbour", "o_custkey").select("o_custkey", "node", F.col("rank").cast("long").alias("rank"))
 
 
 def merge_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +155,7 @@ def ndcg_recall(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_topk, token_stats, sparse_vector, dense_topk, rrf_fusion, review_demotion, fragment_leader, graph_expansion, merge_blocks,
+        bm25_topk, token_stats, sparse_vector, dense_topk, rrf_fusion, composite_search, review_demotion, fragment_leader, graph_expansion, merge_blocks,
         context_budget, score_normalise, exact_promotion, unmatched_dropped, ndcg_recall,
     )
 }
@@ -141,16 +166,16 @@ ORACLES = {
 FROM (SELECT lang, {_tokens('text')} AS t FROM documents) GROUP BY lang""",
     "sparse_vector": f"WITH {_postings('d', 'documents', 'doc_id')} SELECT doc_id, slot, round(weight, 6) AS weight FROM d",
     "dense_topk": f"WITH {_DENSE} SELECT query_id, vec_id, score, rank FROM dense",
-    "rrf_fusion": f"""WITH {_BM25}, by_id AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id DESC) - 1 AS rank FROM bm25)
-SELECT item_id, doc_id, round(sum(part), 9) AS score FROM (
-SELECT item_id, doc_id, 1.5::DOUBLE / (60 + rank) AS part FROM bm25 UNION ALL SELECT item_id, doc_id, 1.0::DOUBLE / (60 + rank) FROM by_id) GROUP BY ALL""",
+    "rrf_fusion": f"""WITH {_BM25}, {_FUSED} SELECT item_id, doc_id, score FROM fused""",
+    "composite_search": f"""WITH {_BM25}, {_FUSED},
+cut AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM fused QUALIFY place <= 20),
+most AS (SELECT item_id, max(n) AS n FROM (SELECT item_id, branch, count(*) AS n FROM hits GROUP BY ALL) GROUP BY item_id)
+SELECT item_id, doc_id, score, place, (most.n >= 30 OR count(*) OVER (PARTITION BY item_id) >= 20) AS limit_reached FROM cut JOIN most USING (item_id)""",
     "review_demotion": f"""WITH {_BM25} SELECT item_id, bm25.doc_id, round(1.5::DOUBLE / (60 + rank + CASE WHEN toxic = 1 THEN 10 ELSE 0 END), 9) AS score
 FROM bm25 LEFT JOIN labels USING (doc_id)""",
     "fragment_leader": "SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1",
-    "graph_expansion": """WITH hits AS (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2),
-found AS (SELECT DISTINCT o_custkey, b.l_orderkey FROM hits JOIN lineitem a ON a.l_orderkey = o_orderkey JOIN lineitem b ON a.l_partkey = b.l_partkey),
-fresh AS (SELECT * FROM found WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.o_custkey = found.o_custkey AND hits.o_orderkey = found.l_orderkey))
-SELECT o_custkey, l_orderkey, 99 + row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey) AS rank FROM fresh QUALIFY rank < 130""",
+    "graph_expansion": """SELECT o_custkey, node, 99 + row_number() OVER (PARTITION BY o_custkey ORDER BY node) AS rank
+FROM (SELECT DISTINCT o_custkey, 'p' || l_partkey AS node FROM orders JOIN lineitem ON l_orderkey = o_orderkey) QUALIFY rank < 130""",
     "merge_blocks": """WITH d AS (SELECT source, lang, documents.doc_id, n_chars,
 row_number() OVER (PARTITION BY source, lang ORDER BY CASE WHEN toxic = 1 THEN 1 ELSE 0 END, n_chars DESC, documents.doc_id) AS n FROM documents LEFT JOIN labels USING (doc_id))
 SELECT source, lang, min(doc_id) FILTER (n = 1) AS primary_id, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY n) FILTER (n > 1), '') AS siblings, max(n_chars) AS score

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -25,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables up to so many rows are broadcast.
+MOST_BROADCAST = 200_000
+
+
+def few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Marks a table for broadcast if it has at most ``most`` rows; the count stops there."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def ship(spark: SparkSession) -> None:
     """Gives this package to the session's executors, once; they need not find it on a path of their own."""
     context = spark.sparkContext
@@ -34,3 +45,21 @@ def ship(spark: SparkSession) -> None:
     archive = Path(tempfile.mkdtemp(prefix="spark-")) / root.name
     context.addPyFile(shutil.make_archive(str(archive), "zip", root.parent, root.name))
     context._corpusmill = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that all executors share, spark.checkpoint.dir; where it is unset, a local folder in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/corpusmill-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read again: lineage ends here, lost executors cost nothing."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

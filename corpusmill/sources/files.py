@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import email
 import email.policy
 import io
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 # Limits of archives.
 MOST_MEMBERS, MOST_MEMBER, MOST_TOTAL, MOST_RATIO = 10_000, 128 << 20, 512 << 20, 1000
+MOST_LEVELS = 10
 _DROPPED = {"head", "script", "style", "template", "iframe", "form"}
 _BLOCKS = {"p", "div", "li", "ul", "ol", "tr", "table", "section", "article", "nav", "header", "footer", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "br", "body"}
 
@@ -264,15 +266,24 @@ def xlsx_cells(raw: bytes) -> list[tuple[str, int, str, str | None, str | None]]
     return out
 
 
+def column_index(letters: str) -> int:
+    """Column letters as a number from 0."""
+    n = 0
+    for c in letters:
+        n = n * 26 + ord(c) - 64
+    return n - 1
+
+
 def xlsx_blocks(raw: bytes) -> list[Block]:
-    """A heading and a Markdown table for each sheet."""
-    sheets: dict[str, dict[int, list[str]]] = {}
-    for name, row, _, value, _ in xlsx_cells(raw):
-        sheets.setdefault(name, {}).setdefault(row, []).append((value or "").replace("|", r"\|"))
+    """A heading and a Markdown table for each sheet; absent cells are empty ones."""
+    sheets: dict[str, dict[int, dict[int, str]]] = {}
+    for name, row, letters, value, _ in xlsx_cells(raw):
+        sheets.setdefault(name, {}).setdefault(row, {})[column_index(letters)] = (value or "").replace("|", r"\|")
     out: list[Block] = []
     for name, rows in sheets.items():
-        lines = ["| " + " | ".join(r) + " |" for _, r in sorted(rows.items())]
-        out += [("root", "heading", 1, name), ("root", "table", 0, "\n".join([lines[0], "|" + "---|" * len(next(iter(rows.values()))), *lines[1:]]))]
+        width = 1 + max(c for r in rows.values() for c in r)
+        lines = ["| " + " | ".join(r.get(c, "") for c in range(width)) + " |" for _, r in sorted(rows.items())]
+        out += [("root", "heading", 1, name), ("root", "table", 0, "\n".join([lines[0], "|" + "---|" * width, *lines[1:]]))]
     return out
 
 
@@ -296,13 +307,29 @@ PARSERS = {
 }
 
 
+#: What is left of the limits for everything inside one file: levels of nesting, and bytes in all members.
+_left: contextvars.ContextVar[list[int] | None] = contextvars.ContextVar("left", default=None)
+
+
 def parse(name: str, raw: bytes) -> list[Block]:
-    """Blocks of a file by its extension; an unknown kind has none, a damaged file one warning."""
+    """Blocks of a file by its extension; an unknown kind has none, a damaged file one warning.
+
+    A file inside a file takes from the limits of the outermost one; beyond them it is a warning.
+    """
     parser = PARSERS.get(name.rpartition(".")[2].lower())
+    left = _left.get()
+    token = _left.set(left := [MOST_LEVELS, MOST_TOTAL]) if left is None else None
+    left[0], left[1] = left[0] - 1, left[1] - (0 if token else len(raw))
     try:
+        if left[0] < 0 or left[1] < 0:
+            raise ValueError("files are nested too deep or too large together")
         return parser(raw) if parser else []
     except Exception as e:  # noqa: BLE001  files come from anywhere
         return [("root", "warning", 0, f"{type(e).__name__}: {e}")]
+    finally:
+        left[0] += 1
+        if token:
+            _left.reset(token)
 
 
 SCHEMA = "path string, ordinal int, source string, kind string, level int, text string"

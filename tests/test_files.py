@@ -71,6 +71,22 @@ def test_archives_keep_their_limits():
     assert len(files.safe_members(zipped({"a": "b"}))) == 1
 
 
+def test_absent_cells_keep_their_columns(monkeypatch):
+    monkeypatch.setattr(files, "xlsx_cells", lambda raw: [("s", 1, "A", "a", None), ("s", 1, "B", "b", None), ("s", 1, "C", "c", None), ("s", 2, "A", "4", None), ("s", 2, "C", "6", None)])
+    assert files.xlsx_blocks(b"")[1][3].splitlines() == ["| a | b | c |", "|---|---|---|", "| 4 |  | 6 |"]
+
+
+def test_nested_archives_share_one_limit(monkeypatch):
+    raw = b"hi"
+    for k in range(files.MOST_LEVELS + 1):
+        raw = zipped({f"{k}.zip" if k else "a.txt": raw})
+    assert [b[1] for b in files.parse("x.zip", raw)].count("warning") == 1
+    two = zipped({"a.zip": zipped({"a.txt": "x" * 600}), "b.zip": zipped({"b.txt": "y" * 600})})
+    assert not [b for b in files.parse("x.zip", two) if b[1] == "warning"]
+    monkeypatch.setattr(files, "MOST_TOTAL", 1000)
+    assert [b for b in files.parse("x.zip", two) if b[1] == "warning"] and files._left.get() is None
+
+
 def test_html():
     html = "<head><title>t</title></head><h2>Head</h2><p>a <b>b</b><a href='javascript:x'>c</a> <a href='https://e.org'>d</a></p><script>no</script><ul><li>one</ul>"
     blocks = files.html_blocks(html + "<table><tr><th>x</th><th>y</th></tr><tr><td>1</td></tr></table>")

@@ -15,7 +15,7 @@ def one(spark, expr, **values):
 
 
 def test_stems(spark):
-    for word, want in (("сотрудниками", "сотрудник"), ("отпуска", "отпуск"), ("дома", "дома"), ("таблица", "таблиц")):
+    for word, want in (("сотрудниками", "сотрудник"), ("отпуска", "отпуск"), ("дома", "дома"), ("таблица", "таблиц"), ("табельного", "табельн"), ("табельных", "табельн"), ("номеров", "номер"), ("plans", "plans")):
         assert one(spark, K.stem(F.col("w")), w=word) == want
     assert one(spark, K.mentions(F.col("t"), F.array(F.lit("отпуска"), F.lit("табель"))), t="про отпуск") == ["отпуска"]
 
@@ -38,6 +38,9 @@ def test_maps_and_states(spark):
 def test_slugs_stay_unique(spark):
     rows = spark.createDataFrame([("d", "x", 1), ("d", "x", 2), ("e", "x", 3)], "doc string, slug string, i int")
     assert [r.slug for r in K.unique_slugs(rows, "doc", "slug", "i").orderBy("i").collect()] == ["x", "x-1", "x"]
+    for bases, want in ((["x", "x", "x-1"], ["x", "x-1", "x-1-1"]), (["x-1", "x", "x", "y", "y"], ["x-1", "x", "x-2", "y", "y-1"])):
+        rows = spark.createDataFrame([("d", b, k) for k, b in enumerate(bases)], "doc string, slug string, i int")
+        assert [r.slug for r in K.unique_slugs(rows, "doc", "slug", "i").orderBy("i").collect()] == want
 
 
 def test_trees(spark):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+from difflib import SequenceMatcher
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,7 +43,49 @@ def test_unmatched_hits_go_only_if_some_match(spark):
 
 def test_ancestry_leaves_cycles_out(spark):
     edges = spark.createDataFrame([("r", None), ("a", "r"), ("b", "a"), ("x", "y"), ("y", "x")], "node string, parent string")
-    assert rows(catalogue.ancestry(edges), "node", "depth") == [("a", 1), ("b", 2), ("r", 0)]
+    assert rows(catalogue.ancestry(edges), "node", "depth") == [("a", 1), ("b", 2), ("r", 0), ("x", None), ("y", None)]
+
+
+@pytest.mark.parametrize("length", [32, 33, 40])
+def test_paths_have_at_most_32_nodes(spark, length):
+    edges = spark.createDataFrame([(k, k - 1 if k else None) for k in range(length)], "node int, parent int")
+    got = {r.node: (r.root, r.depth, r.path) for r in catalogue.ancestry(edges).collect()}
+    assert got == {k: (0, k, list(range(k + 1))) if k < 32 else (None, None, []) for k in range(length)}
+
+
+def test_best_match_against_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("abAB ") for _ in range(rng.randint(1, 9)))
+    known, asked = {name() for _ in range(60)}, {name() for _ in range(50)}
+    want = {}
+    for a in asked:
+        found = [(SequenceMatcher(None, b.lower(), a.lower()).ratio(), b) for b in sorted(known)]
+        best = max(r for r, _ in found)
+        if best >= 0.7:
+            want[a] = (round(best, 6), min(b for r, b in found if r >= best - 1e-12))
+    left, right = (spark.createDataFrame([(x,) for x in xs] + [(None,)], f"{c} string") for xs, c in ((asked, "a"), (known, "b")))
+    for size in (1000, 7):
+        monkeypatch.setattr(catalogue, "PASS_NAMES", size)
+        assert {r.a: (r.likeness, r.b) for r in catalogue.best_match(left, right, "a", "b", 0.7).collect()} == want
+
+
+@pytest.mark.parametrize("numbers", [1 << 22, 40])
+def test_dense_against_brute_force(spark, monkeypatch, numbers):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(retrieval, "PASS_NUMBERS", numbers)
+    points = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(60)] + [(60, [0.0] * 4), (61, None)]
+    table = spark.createDataFrame(points, "vec_id long, embedding array<double>").repartition(3)
+    got: dict = {}
+    for r in retrieval.dense(table, table.where("vec_id % 3 = 0"), top=5).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want: dict = {}
+    real = [(i, np.array(v)) for i, v in points if v and any(v)]
+    for q, x in real:
+        if q % 3 == 0:
+            scored = sorted((-round(float(x @ y / np.linalg.norm(x) / np.linalg.norm(y)), 6), i) for i, y in real if i != q)
+            want[q] = [(i, -s) for s, i in scored[:5]]
+    assert got.keys() == want.keys()
+    assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] and np.allclose([s for _, s in got[q]], [s for _, s in want[q]]) for q in want)
 
 
 def test_locales(spark):
