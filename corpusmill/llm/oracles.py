@@ -19,13 +19,13 @@ WITH t AS (
   SELECT doc_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS i FROM t
 ), judged AS (
   SELECT doc_id, s, i, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) AS n,
-         len(regexp_extract_all(s, '[#*$%&|<>]')) AS sym, len(regexp_extract_all(s, '\|')) AS bars, len(regexp_extract_all(s, '!!')) AS shouts,
-         regexp_matches(s, '[.!?…]["''”’»)\]]*([\x20\x09-\x0D]|$)') AS ended,
-         regexp_matches(s, '(?i)(released under the|licensed under|all rights reserved|terms of (use|service)|privacy policy|use cookies|cookie policy|enable javascript|click here|sign up|subscribe now|skip to content)') AS plate
+         len(regexp_extract_all(s, '[#*$%&|<>]')) AS sym, len(regexp_extract_all(s, '[|»›·•→]')) AS bars, len(regexp_extract_all(s, '!!')) AS shouts,
+         regexp_matches(s, '[.!?…]["''”’»)\]]*([\x20\x09-\x0D]|$)|[。！？｡．؟۔।॥։።។៕။]') AS ended,
+         len(regexp_extract_all(s, '(?i)(released under the|licensed under|all rights reserved|terms of (use|service)|privacy policy|use cookies|cookie policy|enable javascript|click here|sign up|subscribe now|skip to content)')) AS plates
   FROM lines
 ), line_sums AS (
   SELECT doc_id, count(*) FILTER (n > 0) - count(DISTINCT s) FILTER (n > 0) AS n_dup_lines,
-         sum(CASE WHEN n > 0 AND (sym * 3 > n OR bars * 4 > n OR shouts * 4 > n OR (n >= 4 AND NOT ended) OR plate) THEN 0 ELSE length(s) + 1 END) AS held
+         sum(CASE WHEN n > 0 AND (sym * 3 > n OR bars * 4 > n OR shouts * 4 > n OR (n >= 4 AND NOT ended) OR (plates > 0 AND plates * 20 >= n)) THEN 0 ELSE length(s) + 1 END) AS held
   FROM judged GROUP BY doc_id
 ), base AS (
   SELECT t.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(s, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,

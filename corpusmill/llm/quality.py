@@ -1,24 +1,36 @@
 """Line-first cleaning: rules judge each line, failing lines go, a document that loses too much text goes too.
 
 Only DataFrame functions run here. Null and empty texts have no words and fail the base rule. Repeated rows get equal
-results; further columns pass through ``judge`` untouched, except that its own result columns win over equal names.
+results, an empty table gives an empty one; texts of any length are judged whole. Further columns pass through ``judge``
+untouched, except that its own result columns win over equal names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, word_array
 
-SYMBOLS = r"[#*$%&|<>]"
-SENTENCE_END = r"""[.!?…]["'”’»)\]]*([\x20\x09-\x0D]|$)"""
+SYMBOLS = "#*$%&|<>"
+#: Full stops and their like of many scripts; those of spaced scripts need white space behind them.
+SENTENCE_END = r"""[.!?…]["'”’»)\]]*([\x20\x09-\x0D]|$)|[。！？｡．؟۔।॥։።។៕။]"""
 BOILERPLATE = (
     r"(?i)(released under the|licensed under|all rights reserved|terms of (use|service)|privacy policy"
     r"|use cookies|cookie policy|enable javascript|click here|sign up|subscribe now|skip to content)"
 )
-#: A line fails with more than one symbol for 3 words, one shout "!!" for 4 words or one separator for 4 words.
-SYMBOL_WORDS, SHOUT_WORDS, SEPARATOR_WORDS = 3, 4, 4
+#: Lower-case pieces, one of which any boilerplate phrase holds; finding them is cheaper than the phrases.
+HINTS = (
+    "released under", "licensed under", "all rights", "terms of", "privacy", "cookie", "enable java", "click here", "sign up", "subscribe", "skip to",
+)
+#: Between the entries of menus and the steps of breadcrumbs.
+SEPARATORS = "|»›·•→"
+#: A line fails with more than one symbol for 3 words, one shout "!!" for 4 words or one separator for 4 words, and with one
+#: boilerplate phrase for 20 words or less, so that a phrase alone fells no long paragraph.
+SYMBOL_WORDS, SHOUT_WORDS, SEPARATOR_WORDS, BOILERPLATE_WORDS = 3, 4, 4, 20
 #: A line of so many words needs the end of a sentence somewhere.
 PROSE_WORDS = 4
 #: A document goes if its failing lines hold more than this share (percent) of its characters.
@@ -30,15 +42,22 @@ def _count(line: Column, pattern: str) -> Column:
     return F.regexp_count(line, F.lit(pattern))
 
 
+def _held(text: Column, characters: str) -> Column:
+    """How many of the characters a text holds."""
+    return F.length(text) - F.length(F.translate(text, characters, ""))
+
+
 def line_fails(line: Column, n: Column) -> Column:
     """True for a line of n words that looks like markup, navigation, shouting, boilerplate or text without sentences."""
-    return (
-        (_count(line, SYMBOLS) * SYMBOL_WORDS > n)
-        | (_count(line, r"\|") * SEPARATOR_WORDS > n)
-        | (_count(line, "!!") * SHOUT_WORDS > n)
+    low = F.lower(line)
+    hinted = reduce(or_, [F.contains(low, F.lit(h)) for h in HINTS])
+    return (n > 0) & (
+        (_held(line, SYMBOLS) * SYMBOL_WORDS > n)
+        | (_held(line, SEPARATORS) * SEPARATOR_WORDS > n)
+        | ((F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))) * SHOUT_WORDS > 2 * n)
         | ((n >= PROSE_WORDS) & ~line.rlike(SENTENCE_END))
-        | line.rlike(BOILERPLATE)
-    ) & (n > 0)
+        | (hinted & (_count(line, BOILERPLATE) * BOILERPLATE_WORDS >= n) & line.rlike(BOILERPLATE))
+    )
 
 
 def _repeated(words: Column, n: Column) -> Column:
@@ -72,9 +91,6 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "_t", "_w", "_l"]
     t = F.col("_t")
     lines, words = F.col("_l"), F.col("_w")
-    blank = t
-    for gap in (" ", "\t", "\n", "\x0b", "\x0c", "\r"):
-        blank = F.replace(blank, F.lit(gap), F.lit(""))
     full = F.filter(lines, lambda x: x.rlike(WORD))
     counted = F.transform(lines, lambda x: F.struct(x.alias("s"), _count(x, WORD).alias("n")))
     good = F.transform(F.filter(counted, lambda x: ~line_fails(x["s"], x["n"])), lambda x: x["s"])
@@ -84,8 +100,8 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumns(
         {
             "n_words": n.cast("long"),
-            "word_chars": F.length(blank).cast("long"),
-            "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
+            "word_chars": (F.length(t) - _held(t, " \t\n\x0b\x0c\r")).cast("long"),
+            "n_symbols": _held(t, SYMBOLS).cast("long"),
             "n_dup_lines": F.element_at(F.transform(F.array(full), lambda x: F.size(x) - F.size(F.array_distinct(x))), 1).cast("long"),
             "n_repeat_words": _repeated(words, n),
             "clean_text": F.array_join(good, "\n"),

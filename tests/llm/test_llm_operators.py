@@ -243,6 +243,21 @@ def test_quality(docs, none):
     assert [(r.doc_id, r.text) for r in quality.clean(rows).orderBy("doc_id").collect()] == [(1, good), (3, good)]
 
 
+def test_lines_of_many_scripts_and_kinds(spark):
+    word = "word"
+    good = [
+        "हम आज घर जाते हैं।", "یہ ایک لمبا سادہ جملہ ہے۔", "هل هذا سؤال طويل واضح؟", "这 是 一个 句子 吗？", "これ は 長い 文 です。", "Ein Satz endet hier.", 'He said "yes, I will." then',
+        f"{' '.join([word] * 60)}. You may click here to read on.", "short menu", "a b c",
+    ]
+    bad = [
+        "Home | About | News | Contact.", "Home › Shop › Shoes › Boots.", "Start » Hilfe » Suche.", "one · two · three.", "four words without end", "Read this!! and this!! now!!",
+        "All rights reserved by the owner.", "click HERE to sign up.", "#### $$$ word.",
+    ]
+    rows = spark.createDataFrame([(x, len(x.split())) for x in good + bad], "x string, n int")
+    got = {r.x: r.f for r in rows.select("x", quality.line_fails(rows.x, rows.n).alias("f")).collect()}
+    assert {x for x in good if got[x]} == set() and {x for x in bad if not got[x]} == set()
+
+
 def base_spans(t: str) -> list[tuple[int, int, int]]:
     assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
     out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
