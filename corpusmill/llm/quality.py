@@ -60,30 +60,53 @@ def line_fails(line: Column, n: Column) -> Column:
     )
 
 
-def _repeated(words: Column, n: Column) -> Column:
-    """Words inside 3-word windows that the text has twice or more."""
-    triples = F.arrays_zip(F.slice(words, 1, n - 2).alias("a"), F.slice(words, 2, n - 2).alias("b"), F.slice(words, 3, n - 2).alias("c"))
-    hashes = F.transform(triples, lambda t: F.xxhash64(t["a"], t["b"], t["c"]))
-    # equal triples become neighbours; the hash only makes the comparisons cheap
-    order = F.sort_array(F.transform(triples, lambda t, i: F.struct(F.xxhash64(t["a"], t["b"], t["c"]).alias("h"), t.alias("t"), i.alias("i"))))
+#: Low bits of a sort key that hold a place; a longer text is sorted by its words.
+PLACE_BITS = 24
 
-    def starts(s: Column) -> Column:
-        pairs = F.zip_with(
-            F.slice(s, 1, F.size(s) - 1),
-            F.slice(s, 2, F.size(s) - 1),
-            lambda x, y: F.when((x["h"] == y["h"]) & (x["t"] == y["t"]), F.array(x["i"], y["i"])).otherwise(F.array().cast("array<int>")),
-        )
-        return F.array_sort(F.array_distinct(F.flatten(pairs)))
-
-    found = F.element_at(F.transform(F.array(order), starts), 1)
-    covered = F.aggregate(
-        found,
+
+def _repeated(words: Column, n: Column) -> Column:
+    """Words inside 3-word windows that the text has twice or more.
+
+    Each window becomes one number, the upper bits of its hash above its place, so equal windows are neighbours once the
+    numbers are sorted. Where unequal windows share those bits the windows themselves are sorted instead.
+    """
+    hash_of = lambda x: F.shiftright(x, PLACE_BITS)
+    place_of = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    window = lambda i: [F.get(words, i + k) for k in range(3)]
+    number = lambda i: F.shiftleft(hash_of(F.xxhash64(*window(i))), PLACE_BITS) + i
+
+    def count(keys: Column) -> Column:
+        after = lambda x, k: F.coalesce(hash_of(x) == hash_of(F.get(keys, k + 1)), F.lit(False))
+        before = lambda x, k: F.coalesce(hash_of(x) == hash_of(F.get(keys, k - 1)), F.lit(False))
+        unequal = lambda x, y: reduce(or_, [a != b for a, b in zip(window(place_of(x)), window(place_of(y)), strict=True)])
+        clash = F.size(F.filter(keys, lambda x, k: after(x, k) & unequal(x, F.get(keys, k + 1)))) > 0
+        found = F.filter(keys, lambda x, k: after(x, k) | before(x, k))
+        return F.when(clash, _covered(_exact_starts(words, n))).otherwise(_covered(F.sort_array(F.transform(found, place_of))))
+
+    fast = F.element_at(F.transform(F.array(F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), number))), count), 1)
+    return F.when(n < 4, F.lit(0).cast("long")).when(n < 1 << PLACE_BITS, fast).otherwise(_covered(_exact_starts(words, n)))
+
+
+def _covered(starts: Column) -> Column:
+    """Words in the windows at the sorted places."""
+    return F.aggregate(
+        starts,
         F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")),
         lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
         lambda acc: acc["n"],
     )
-    some = (n >= 4) & (F.size(F.array_distinct(hashes)) < n - 2)
-    return F.when(some, covered).otherwise(F.lit(0).cast("long"))
+
+
+def _exact_starts(words: Column, n: Column) -> Column:
+    """Sorted places of the windows that occur twice or more, by sorting the windows."""
+    triples = F.arrays_zip(F.slice(words, 1, n - 2).alias("a"), F.slice(words, 2, n - 2).alias("b"), F.slice(words, 3, n - 2).alias("c"))
+    order = F.sort_array(F.transform(triples, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+
+    def starts(s: Column) -> Column:
+        same = lambda x, k: F.coalesce(x["t"] == F.get(s, k)["t"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, lambda x, k: same(x, k + 1) | same(x, k - 1)), lambda x: x["i"]))
+
+    return F.element_at(F.transform(F.array(order), starts), 1)
 
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:

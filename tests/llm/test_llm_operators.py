@@ -14,6 +14,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, graph, mixing, quality, queries, recompress, rollups, secrets, simhash, suffixes, urls, warc
 
@@ -243,6 +244,18 @@ def test_quality(docs, none):
     assert [(r.doc_id, r.text) for r in quality.clean(rows).orderBy("doc_id").collect()] == [(1, good), (3, good)]
 
 
+@pytest.mark.parametrize("bits", [24, 62, 5])
+def test_repeated_words_whatever_the_sort_key(spark, monkeypatch, bits):
+    monkeypatch.setattr(quality, "PLACE_BITS", bits)  # 62: two bits of hash, so windows clash; 5: texts of 32 words are long
+    rng = random.Random(bits)
+    rows = [(i, [rng.choice("abc") for _ in range(rng.choice([0, 1, 3, 4, 9, 20, 60]))]) for i in range(80)]
+    df = spark.createDataFrame(rows, "i int, w array<string>")
+    for r in df.select("i", quality._repeated(df.w, F.size(df.w)).alias("n")).collect():
+        tri = list(zip(rows[r.i][1], rows[r.i][1][1:], rows[r.i][1][2:], strict=False))
+        twice = Counter(tri)
+        assert r.n == len({k + j for k, t in enumerate(tri) if twice[t] > 1 for j in range(3)})
+
+
 def test_lines_of_many_scripts_and_kinds(spark):
     word = "word"
     good = [
