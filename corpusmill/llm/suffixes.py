@@ -2,9 +2,10 @@
 
 Of all suffixes only those at content-defined anchors are sorted: the anchor of a 50-byte window is its 16-byte gram with
 the least hash, so equal windows have equal anchors at equal offsets. The initial buckets hold the anchors with equal
-grams. Within a bucket, suffixes are sorted by what follows and by what precedes; the bucket numbers at each depth come
-from the common lengths of neighbours, once, and are reused for every window: a window is a pair of bucket numbers, one
-``d`` bytes before the anchor and one ``34 - d`` bytes behind it. Bytes are compared, hashes only find candidates.
+grams. Around the anchors of a bucket every offset then has a bucket of its first 8 bytes, and these are refined by sorting
+on pairs of bucket numbers, those at the offset and those as many bytes later as the bucket is deep: 16 bytes from 8, 32
+from 16, and a window of 50 from two of 32. Each round reuses the numbers of the one before for all offsets; what is alone in
+its bucket leaves. Bytes are compared, hashes only find candidates.
 
 A byte goes if a window over it also starts in a document with a smaller doc_id. Null texts are empty. Rows with a null
 doc_id stay whole and remove nothing. Rows with equal doc_id do not remove each other's bytes. Further columns are ignored.
@@ -22,6 +23,8 @@ WINDOW, GRAM = 50, 16
 REACH = WINDOW - GRAM
 #: A longer text is marked in pieces of this many bytes.
 PIECE = 4 << 20
+#: Bytes of the first buckets, and anchors refined at once, about.
+FIRST, SLICE = 8, 1 << 16
 _POSITION = U64((1 << 24) - 1)
 _ROLLING = Rolling()
 
@@ -106,49 +109,60 @@ def _describe(doc, known, texts, shared, g, parts):
     return rows
 
 
-def _common(order: np.ndarray, center: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """How many bytes of ``side`` each row shares with the one before it in ``order``; -1 at the start of a bucket."""
-    s, c = side[order], center[order]
-    same = s[1:] == s[:-1]
-    length = np.where(same.all(axis=1), s.shape[1], np.argmin(same, axis=1))
-    length[(c[1:] != c[:-1]).any(axis=1)] = -1
-    return np.r_[-1, length]
-
-
-def _words(side: np.ndarray) -> list[np.ndarray]:
-    """Byte strings as numbers whose order is theirs."""
-    wide = np.pad(side, ((0, 0), (0, -side.shape[1] % 8)))
-    return list(np.ascontiguousarray(wide).view(">u8").astype(np.uint64).T)
+def _numbers(rows: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """Bucket numbers of n rows: ``rows`` with equal keys share one, -1 for rows that have no other in their bucket."""
+    _, number, size = np.unique(key, return_inverse=True, return_counts=True)
+    many = size[number] > 1
+    out = np.full(n, -1, dtype=np.int32)
+    out[rows[many]] = number[many]
+    return out
+
+
+def _refined(buckets: list[np.ndarray], depth: int) -> list[np.ndarray]:
+    """Buckets of twice the depth at each offset, from the numbers there and of the buckets ``depth`` bytes later."""
+    out = []
+    for here, later in zip(buckets, buckets[depth:]):  # noqa: B905
+        rows = np.flatnonzero((here >= 0) & (later >= 0))
+        out.append(_numbers(rows, here[rows].astype(np.int64) * len(here) + later[rows], len(here)))
+    return out
+
+
+def _repeated(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """For each row the windows that a row of a smaller doc has too, bit d for the one that begins d bytes before the anchor.
+    Rows with equal grams stand in the order of their docs."""
+    n = len(doc)
+    first, last = REACH - hi.astype(np.int64), REACH + WINDOW - lo.astype(np.int64)
+    buckets = []
+    for at in range(WINDOW + REACH - FIRST + 1):
+        rows = np.flatnonzero((first <= at) & (at + FIRST <= last))
+        buckets.append(_numbers(rows, np.ascontiguousarray(around[rows, at : at + FIRST]).view("<u8").ravel(), n))
+    depth = FIRST
+    while 2 * depth <= WINDOW:
+        buckets, depth = _refined(buckets, depth), 2 * depth
+    mask = np.zeros(n, dtype=np.uint64)
+    for start in range(REACH + 1):
+        here, later = buckets[start], buckets[start + WINDOW - depth]
+        rows = np.flatnonzero((here >= 0) & (later >= 0))
+        _, least, number = np.unique(here[rows].astype(np.int64) * n + later[rows], return_index=True, return_inverse=True)
+        mask[rows[doc[rows] > doc[rows[least[number]]]]] |= U64(1 << (REACH - start))
+    return mask
 
 
 def _resolve(todo):
     parts = [thaw(d) for _, d in todo]
     g = np.repeat([g for g, _ in todo], [len(p[0]) for p in parts])
     doc, row, at, lo, hi, around = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(doc, kind="stable")
-    g, doc, row, at, lo, hi, around = (x[order] for x in (g, doc, row, at, lo, hi, around))
-    before, center, behind = around[:, REACH - 1 :: -1], around[:, REACH : REACH + GRAM], around[:, REACH + GRAM :]
-    bucket = _words(center)
-    sides = []
-    for side in (before, behind):
-        by = np.lexsort([*_words(side)[::-1], *bucket[::-1]])
-        sides.append((by, _common(by, center, side)))
-
-    def number(side: int, depth: int) -> np.ndarray:
-        """Bucket numbers after refinement by ``depth`` bytes of that side."""
-        by, common = sides[side]
-        out = np.empty(len(by), dtype=np.int64)
-        out[by] = np.cumsum(common < depth)
-        return out
-
+    gram = np.ascontiguousarray(around[:, REACH : REACH + GRAM]).view("<u8")
+    order = np.lexsort((doc, gram[:, 0], gram[:, 1]))
+    g, doc, row, at, lo, hi, around, gram = (x[order] for x in (g, doc, row, at, lo, hi, around, gram))
+    starts = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]).any(axis=1)])
     mask = np.zeros(len(doc), dtype=np.uint64)
-    for d in range(REACH + 1):
-        has = np.flatnonzero((lo <= d) & (d <= hi))
-        key = number(0, d)[has] * (len(doc) + 1) + number(1, REACH - d)[has]
-        by = np.argsort(key, kind="stable")
-        starts = runs(key[by])
-        first = np.repeat(doc[has[by[starts]]], np.diff(np.r_[starts, len(by)]))
-        mask[has[by[doc[has[by]] > first]]] |= U64(1 << d)
+    a = 0
+    while a < len(doc):  # whole buckets of the initial grams, SLICE rows at a time
+        k = np.searchsorted(starts, a + SLICE, side="right") - 1
+        b = len(doc) if a + SLICE >= len(doc) else int(starts[k]) if starts[k] > a else int(np.r_[starts, len(doc)][k + 1])
+        mask[a:b] = _repeated(doc[a:b], lo[a:b], hi[a:b], around[a:b])
+        a = b
     hit = np.flatnonzero(mask)
     return [(x, freeze(*arrays)) for x, arrays in split_by(g[hit], [row[hit], at[hit], mask[hit]])]
 
