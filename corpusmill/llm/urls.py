@@ -1,6 +1,6 @@
 """URL filter: lists decide first, mined association rules the rest.
 
-A URL becomes a set of typed tokens. Spark's FP-growth mines token combinations that go with a label; rules under a support
+A URL becomes a set of typed tokens; tokens that always stand together are mined as one. Spark's FP-growth mines token combinations that go with a label; rules under a support
 or a confidence are dropped, and so are rules that a shorter rule with at least their confidence makes needless. An inverted
 index from token to rules finds the rules whose tokens a URL has in full; the surest of them gives the verdict.
 
@@ -61,6 +61,15 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(F.transform(words, lambda x: F.concat(F.lit("w:"), x)), F.transform(pieces, lambda x: F.concat(F.lit("p:"), x))))
 
 
+def _alike(rows: DataFrame, least: float) -> DataFrame:
+    """(item, tokens): the tokens of (row, tokens) that ``least`` rows or more have; those that stand in the same rows are one
+    item, so that a long constant part of many URLs gives one item instead of the combinations of its tokens."""
+    marks = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(20,0)")).alias(f"mark{k}") for k in (0, 1)]
+    places = rows.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *marks).where(F.col("n") >= least)
+    alike = places.groupBy("n", "mark0", "mark1").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return alike.select(F.element_at("tokens", 1).alias("item"), "tokens")
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, most: int = MOST_LABELLED) -> DataFrame:
     """(rule_id, tokens, verdict, confidence, support) from (url, tokens, label)."""
     n = labelled.count()
@@ -70,15 +79,21 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         return spark.createDataFrame([], schema)
     share = min(1.0, most / n)
     rows = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else labelled
-    items = rows.select(F.concat("tokens", F.array(F.concat(F.lit("="), "label"))).alias("items"))
     min_support = max(min_support, LEAST_ROWS / max(1.0, n * share))
     if min_support > 1:
         return spark.createDataFrame([], schema)
+    rows = materialize(rows.select("tokens", "label", F.monotonically_increasing_id().alias("row")))
+    alike = materialize(_alike(rows, min_support * rows.count()))
+    members = alike.select("item", F.explode("tokens").alias("token"))
+    named = rows.select("row", F.explode("tokens").alias("token")).join(members, "token").groupBy("row").agg(F.collect_set("item").alias("items"))
+    labels = F.array(F.concat(F.lit("="), "label"))
+    items = rows.join(named, "row", "left").select(F.concat(F.coalesce("items", F.array().cast("array<string>")), labels).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     label = F.element_at("consequent", 1)
     found = model.associationRules.where(label.startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
-    found = found.select(F.array_sort("antecedent").alias("tokens"), F.substring(label, 2, 100).alias("verdict"), "confidence", "support")
-    found = materialize(found.withColumn("rule_id", F.xxhash64("tokens", "verdict")))
+    found = found.select(F.explode("antecedent").alias("item"), F.xxhash64(F.array_sort("antecedent"), label).alias("rule_id"), F.substring(label, 2, 100).alias("verdict"), "confidence", "support")
+    whole = found.join(alike, "item").groupBy("rule_id", "verdict", "confidence", "support").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    found = materialize(whole)
     # a shorter rule with the same verdict and no less confidence makes a rule needless
     inner = found.select("rule_id", F.explode("tokens").alias("token"), F.col("verdict").alias("of"), F.col("confidence").alias("sure"), F.size("tokens").alias("size"))
     post = found.select(F.col("rule_id").alias("short_id"), F.explode("tokens").alias("token"), "verdict", "confidence", F.size("tokens").alias("need"))
