@@ -28,11 +28,13 @@ def word_array(text: Column) -> Column:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share: spark.checkpoint.dir, or a local folder where it is unset (tests)."""
+    """A new folder in the one that all executors share: spark.checkpoint.dir, or a local folder where it is unset in local mode (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir names no shared folder")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/corpusmill-{uuid.uuid4().hex}"

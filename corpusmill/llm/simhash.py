@@ -32,6 +32,8 @@ SEED = 42
 BLOCK = 4096
 #: Fingerprint words of the pairs that are compared at once.
 STEP = 1 << 21
+#: Tasks that count bits: each sends one row for each bit, whatever it has read.
+STATISTICS_TASKS = 1024
 #: Cost of a probe and of a candidate, in the same unit.
 PROBE_COST, CANDIDATE_COST = 1.0, 0.01
 
@@ -100,7 +102,7 @@ def bit_statistics(nodes: DataFrame, words: int) -> tuple[int, np.ndarray]:
         total = sum(np.frombuffer(r, np.float64) for r in column(table, "row"))
         return pa.table({"bit": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([sum(column(table, "n"))], pa.int64()), "row": pa.array([total.tobytes()], pa.binary())})
 
-    rows = nodes.select("fp").mapInArrow(count, "bit int, n long, row binary").groupBy("bit").applyInArrow(add, "bit int, n long, row binary").collect()
+    rows = nodes.select("fp").coalesce(STATISTICS_TASKS).mapInArrow(count, "bit int, n long, row binary").groupBy("bit").applyInArrow(add, "bit int, n long, row binary").collect()
     if not rows:
         return 0, np.zeros((size, size))
     rows.sort(key=lambda r: r["bit"])

@@ -1,8 +1,11 @@
-"""Near duplicates by the Jaccard similarity of shingle sets, decided exactly.
+"""Near duplicates by SimHash, decided by the Jaccard similarity of shingle sets.
 
-MinHash bands find candidates: texts that share all minima of a band meet, and those with too few equal minima in all part
-again. Neither depends on the number of texts. Candidates are only joined to groups that may hold near duplicates; within a
-group the shingle sets themselves are compared, every pair that is not linked already, and those links decide.
+SimHash finds candidates by the generalised pigeonhole principle: all pairs within REACH bits, and most up to MOST_BITS.
+Pairs of similarity 0.8 differ in 78 of 512 bits on average, and no pigeonhole that reaches so far can be probed, so bands
+of MinHash values find what lies beyond the reach: texts that share all minima of a band meet, and those with too few equal
+minima in all part again. Neither search depends on the number of texts. Candidates are only joined to groups that may hold near
+duplicates; within a group the shingle sets themselves are compared, every pair that is not linked already, and those links
+decide.
 
 Texts with equal sets are one node. Null texts are empty; texts without words are one node. Rows with a null doc_id get no
 component. Rows of one doc_id with different texts are judged each by its own set; ``same`` tells them apart. Repeated rows
@@ -22,8 +25,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .graph import components, least_ids, numbered
 from .repeats import U64, column, mix, runs
-from .simhash import meet, shingle_hashes
+from .simhash import fingerprint, links, meet, shingle_hashes
 
+#: 64-bit words of a fingerprint, its partitions, the distance within which all pairs are found, and the most that a candidate has:
+#: 0.8 is 78 bits with a deviation of 8.
+WORDS, PARTS, REACH, MOST_BITS = 8, (24,), 47, 114
 #: A pair of similarity s shares no band in (1 - s ** ROWS) ** BANDS of all cases, 0.8 in 0.0003 %.
 BANDS, ROWS = 24, 4
 MINIMA = BANDS * ROWS
@@ -57,25 +63,32 @@ def minima(h: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, same: a hash of the text, digest of the set, fp: a byte of each minimum, bands: a hash of each band, size of the set)."""
+    """(doc_id, same: a hash of the text, digest of the set, bits: its fingerprint, fp: a byte of each minimum, bands: a hash of each band, size of the set)."""
 
     def run(batches):
         for batch in batches:
-            digests, fps, bands, sizes = [], [], [], []
+            digests, bits, fps, bands, sizes = [], [], [], [], []
             for t in batch.column("text").cast(pa.binary()).to_pylist():
                 h = shingle_set(t, shingle)
                 m = mix(minima(h))
                 digests.append(xxhash.xxh128_digest(h.tobytes()))
+                bits.append(fingerprint(h, WORDS).tobytes())
                 fps.append((m >> U64(56)).astype(np.uint8).tobytes())
                 bands.append(mix((m.reshape(BANDS, ROWS) * U64(0x9E3779B97F4A7C15) ** np.arange(1, ROWS + 1, dtype=np.uint64)).sum(axis=1, dtype=np.uint64) + _PLACE).tobytes())
                 sizes.append(len(h))
-            columns = [batch.column("doc_id").cast(pa.int64()), batch.column("same"), pa.array(digests, pa.binary()), pa.array(fps, pa.binary()), pa.array(bands, pa.binary()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "digest", "fp", "bands", "size"])
+            columns = [batch.column("doc_id").cast(pa.int64()), batch.column("same"), *[pa.array(x, pa.binary()) for x in (digests, bits, fps, bands)], pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "same", "digest", "bits", "fp", "bands", "size"])
 
-    return docs.select("doc_id", "text", same().alias("same")).mapInArrow(run, "doc_id long, same long, digest binary, fp binary, bands binary, size long")
+    return docs.select("doc_id", "text", same().alias("same")).mapInArrow(run, "doc_id long, same long, digest binary, bits binary, fp binary, bands binary, size long")
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v): edges that join all nodes (node, bits, fp, bands) whose fingerprints or minima are near."""
+    by_bits = links(nodes.select("node", F.col("bits").alias("fp")), REACH, MOST_BITS, PARTS, WORDS)
+    return by_bits.unionByName(by_bands(nodes))
+
+
+def by_bands(nodes: DataFrame) -> DataFrame:
     """(u, v): edges that join all nodes (fp, node, bands) that share a band and LEAST_EQUAL minima."""
 
     def own_keys(batch):
@@ -169,10 +182,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int, least: tuple[int, int]) ->
     to, and whether the row is the one of its group that stays (its equals, if any, have the same mark)."""
     marked = materialize(_signed(docs, shingle))
     known = marked.where("doc_id IS NOT NULL")
-    first = [F.first(c).alias(c) for c in ("fp", "bands", "size")]
+    first = [F.first(c).alias(c) for c in ("bits", "fp", "bands", "size")]
     least_row = F.min(F.struct("doc_id", "same")).alias("row")
     nodes = known.groupBy("digest").agg(least_row, *first)
-    nodes = materialize(numbered(nodes.select("digest", F.col("row.doc_id").alias("rep"), F.col("row.same").alias("same"), "fp", "bands", "size")))
+    nodes = materialize(numbered(nodes.select("digest", F.col("row.doc_id").alias("rep"), F.col("row.same").alias("same"), "bits", "fp", "bands", "size")))
     maybe = components(candidates(nodes.where("size > 0")))
     maybe = materialize(maybe.unionByName(maybe.select(F.col("component").alias("node"), "component").distinct()))
     members = nodes.select("node", "digest", "rep", "same", "size").join(maybe, "node").where("size > 0")
