@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -91,6 +92,29 @@ def test_suffixes(docs, none):
     assert suffixes.cut_repeats(none).count() == 0
 
 
+def test_suffixes_in_slices(monkeypatch):
+    """Whole buckets whatever the slice; every window against a plain comparison."""
+    rng = np.random.default_rng(3)
+    pool = rng.integers(97, 99, (6, 84), dtype=np.uint8)
+    around = pool[rng.integers(0, 6, 200)]
+    around[rng.random(around.shape) < 0.004] = 99
+    doc, lo, hi = np.sort(rng.integers(0, 40, 200)), rng.integers(0, 15, 200).astype(np.uint8), rng.integers(15, 35, 200).astype(np.uint8)
+    data = suffixes.freeze(doc, np.arange(200, dtype=np.int32), np.zeros(200, np.int32), lo, hi, around)
+    want = np.zeros(200, dtype=np.uint64)
+    for i in range(200):
+        for d in range(lo[i], hi[i] + 1):
+            window = around[i, 34 - d : 84 - d]
+            if any(doc[j] < doc[i] and lo[j] <= d <= hi[j] and (around[j, 34 - d : 84 - d] == window).all() for j in range(200)):
+                want[i] |= np.uint64(1 << d)
+    for size in (1, 50, 1 << 16):
+        monkeypatch.setattr(suffixes, "SLICE", size)
+        got = np.zeros(200, dtype=np.uint64)
+        for _, frame in suffixes._resolve([(0, data)]):
+            row, _, mask = suffixes.thaw(frame)
+            got[row] = mask
+        assert (got == want).all() and want.any()
+
+
 def test_suffixes_of_long_texts(monkeypatch):
     text = ("".join(random.Random(2).choice("ab ") for _ in range(3000)) + "z" * 500).encode()
     whole = {(int(n), int(a + d)) for n, _, a, lo, hi in zip(*suffixes.mark([text]), strict=True) for d in range(-int(hi), -int(lo) + 1)}
@@ -574,6 +598,53 @@ def test_urls_mined(spark):
     assert blocked == sum(1 for _, v in rows if v == "block")
 
 
+def mined_by_hand(rows, least, sure):
+    """Rules over all combinations of the items that occur, without those that a shorter rule makes needless."""
+    where = {}
+    for k, (_, tokens, _) in enumerate(rows):
+        for t in tokens:
+            where.setdefault(t, set()).add(k)
+    classes = {}
+    for t, places in where.items():
+        if len(places) >= least * len(rows):
+            classes.setdefault(frozenset(places), set()).add(t)
+    found = {}
+    items = list(classes.items())
+    for size in range(1, 5):
+        for some in itertools.combinations(items, size):
+            places = frozenset.intersection(*[p for p, _ in some])
+            for label in ("allow", "block"):
+                n = sum(rows[k][2] == label for k in places)
+                if n and n >= least * len(rows) and n >= sure * len(places):
+                    found[frozenset().union(*[t for _, t in some]), label] = n / len(places)
+    return {k: v for k, v in found.items() if not any(t < k[0] and of == k[1] and c >= v for (t, of), c in found.items())}
+
+
+def test_rules_equal_all_combinations(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(300):
+        tokens = {t for t in "abcdef" if rng.random() < 0.45} | ({"g", "h"} if k % 3 else set())
+        bad = {"a", "b"} <= tokens or {"c", "g"} <= tokens
+        rows.append((f"u{k}", sorted(tokens), "block" if bad and rng.random() < 0.97 else "allow"))
+    table = spark.createDataFrame(rows, "url string, tokens array<string>, label string")
+    found = urls.mine(table, min_support=0.05, min_confidence=0.9)
+    got = {(frozenset(r.tokens), r.verdict): r.confidence for r in found.collect()}
+    want = mined_by_hand(rows, 0.05, 0.9)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) > 3
+    matched = {r.url: r.mined for r in urls.match(table.select("url", "tokens"), found).collect()}
+    for url, tokens, _ in rows:
+        fits = [(c, len(t), v) for (t, v), c in got.items() if t <= set(tokens)]
+        assert matched.get(url) == (max(fits)[2] if fits else None)
+
+
+def test_a_long_template_gives_one_item(spark):
+    parts = [f"p:part{k}" for k in range(40)]
+    rows = [(f"u{k}", parts + [f"w:h{k % 3}"], "block" if k % 3 else "allow") for k in range(60)]
+    found = urls.mine(spark.createDataFrame(rows, "url string, tokens array<string>, label string"))
+    assert {(tuple(r.tokens), r.verdict) for r in found.collect()} == {(("w:h0",), "allow"), (("w:h1",), "block"), (("w:h2",), "block")}
+
+
 @pytest.mark.parametrize("n", [400, 1500])
 def test_seed_words_block_at_every_size(spark, n):
     hosts = [f"http://{'pills' if k % 100 == 0 else 'shop'}.h{k % 7}.net/a/{k}" for k in range(n)]

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as P
-from corpusmill.llm import mixing
+from corpusmill.llm import mixing, simhash, similar
 
 ITEM = "what is the tall zebra said to carry over the frozen river at night answer eleven copper lanterns"
 
@@ -75,6 +75,25 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept == {i for i in least if least[i] == i} | {None, 1000}
 
 
+def test_fingerprints_alone_find_nine_in_ten(spark):
+    """Recall of the SimHash search before the bands add the rest, on pairs of similarity 0.8 to 0.9."""
+    rng = random.Random(9)
+    rows, pairs = [], []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        copy = list(words)
+        for at in rng.sample(range(10, 290), rng.randrange(3, 7)):
+            copy[at] = "changed"
+        a, b = ({tuple(x[i : i + 5]) for i in range(296)} for x in (words, copy))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.9:
+            pairs.append((2 * k, 2 * k + 1))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    nodes = similar._signed(spark.createDataFrame(rows, "doc_id long, text string"), 5).withColumnRenamed("doc_id", "node")
+    found = simhash.links(nodes.selectExpr("bits AS fp", "node"), similar.REACH, similar.MOST_BITS, similar.PARTS, similar.WORDS)
+    got = {tuple(sorted((r.u, r.v))) for r in found.collect()}
+    assert len(pairs) > 100 and sum(p in got for p in pairs) >= 0.95 * len(pairs)
+
+
 def test_no_text_is_lost_to_repeated_ids(spark):
     rng = random.Random(3)
     a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3))
