@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,11 +46,15 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each copy that the mix takes, numbered from 1. Rows that are equal in id, text and source share what they
     are taken together, in equal parts."""
-    keys = {"doc_id": F.col("doc_id"), "same": F.xxhash64("text"), "source": F.col("source")}
-    drawn = mixing.mix(docs).groupBy(*keys).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows")).where("_n > 0")
-    drawn = drawn.select("_n", "_rows", *[F.col(k).alias(f"_{k}") for k in keys]).hint("merge")
-    out = docs.join(drawn, reduce(and_, [c.eqNullSafe(F.col(f"_{k}")) for k, c in keys.items()]))
-    at = F.row_number().over(W.partitionBy(*[f"_{k}" for k in keys]).orderBy(F.lit(0)))
+    keys = {
+        "_id": F.coalesce("doc_id", F.lit(0)), "_no_id": F.col("doc_id").isNull(), "_same": F.xxhash64("text"),
+        "_src": F.coalesce("source", F.lit("")), "_no_src": F.col("source").isNull(),
+    }
+    drawn = mixing.mix(docs).withColumns({k: F.col("same") if k == "_same" else c for k, c in keys.items()})
+    drawn = drawn.groupBy(*keys).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows")).where("_n > 0")
+    # plain keys, so that the window below finds its rows together as the join left them
+    out = docs.withColumns(keys).join(drawn.hint("merge"), list(keys))
+    at = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))
     upto = lambda k: F.floor(F.col("_n") * k / F.col("_rows"))
     times = (upto(F.col("_at")) - upto(F.col("_at") - 1)).cast("int")
     out = out.withColumn("_at", F.when(F.col("_rows") > 1, at).otherwise(1)).withColumn("_times", times).where("_times > 0")

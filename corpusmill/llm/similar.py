@@ -1,7 +1,7 @@
 """Near duplicates by SimHash, decided by the Jaccard similarity of shingle sets.
 
 SimHash finds candidates by the generalised pigeonhole principle: all pairs within REACH bits, and many up to MOST_BITS.
-Pairs of similarity 0.8 differ in 19 of 128 bits on average, more than can be probed for, so bands of MinHash values find
+Pairs of similarity 0.8 differ in 10 of 64 bits on average, more than can be probed for, so bands of MinHash values find
 what lies beyond the reach: texts that share all minima of a band meet, and those with too few equal minima in all part
 again. Neither search depends on the number of texts. Candidates are only joined to groups that may hold near
 duplicates; within a group the shingle sets themselves are compared, every pair that is not linked already, and those links
@@ -28,8 +28,8 @@ from .repeats import U64, column, mix, runs
 from .simhash import fingerprint, links, meet, shingle_hashes
 
 #: 64-bit words of a fingerprint, its partitions, the distance within which all pairs are found, and the most that a candidate has:
-#: 0.8 is 19 bits with a deviation of 4.
-WORDS, PARTS, REACH, MOST_BITS = 2, (6,), 11, 38
+#: 0.8 is 10 bits with a deviation of 3.
+WORDS, PARTS, REACH, MOST_BITS = 1, (3,), 5, 16
 #: A pair of similarity s shares no band in (1 - s ** ROWS) ** BANDS of all cases, 0.8 in 0.0003 %.
 BANDS, ROWS = 24, 4
 MINIMA = BANDS * ROWS
