@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, mixing, quality, secrets, similar
-from corpusmill.llm.common import materialize
+from corpusmill.llm.common import materialize, sieved
 
 #: Near duplicates: sets of five-word shingles with a Jaccard similarity of LEAST (over, under) or more.
 SHINGLE, LEAST = 5, (4, 5)
@@ -24,13 +24,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     marks = found.groupBy("doc_id", "same").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
     marks = materialize(marks.select(F.col("doc_id").alias("_dup_id"), F.col("same").alias("_dup_hash"), "kept"))
     is_marked = (F.col("doc_id") == F.col("_dup_id")) & (similar.same() == F.col("_dup_hash"))
-    rest = docs.where("doc_id IS NOT NULL")
+    rest, clear = sieved(docs, marks.withColumnRenamed("_dup_id", "doc_id"), "doc_id")
     out = rest.join(marks.hint("merge"), is_marked, "left_anti")
     repeated = marks.where("kept")
     if not repeated.isEmpty():
         once = rest.join(repeated.hint("merge"), is_marked, "left_semi").withColumn("_dup_text", similar.same()).dropDuplicates(["doc_id", "_dup_text"])
         out = out.unionByName(once.drop("_dup_text"))
-    return out.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    return out.unionByName(clear).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

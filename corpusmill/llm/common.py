@@ -53,3 +53,23 @@ def parts_for(df: DataFrame, size: Column, target: int, least: int | None = None
     total = int(df.agg(F.sum(size)).first()[0] or 0)
     least = least or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-total // target)), total
+
+
+#: 64-bit words of a sieve: 2 MB of bits, whatever the number of ids.
+SIEVE_WORDS = 1 << 18
+
+
+def sieved(docs: DataFrame, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the ids, rows that have none): each row of ``docs`` with a key is in one of the two.
+
+    A bit is set for each id and looked up for each row; a row without the bit has no id of them, so a join on the ids can leave it
+    where it is. What is broadcast has SIEVE_WORDS rows at most. The more ids, the more rows the first part has besides those
+    that it must have; with millions of ids and more it holds nearly all of them and the join moves what it would move without.
+    """
+    where = lambda c: F.xxhash64(F.col(c).cast("long"))
+    word, bit = (lambda h: F.pmod(h, F.lit(SIEVE_WORDS))), (lambda h: F.shiftrightunsigned(h, 58).cast("int"))
+    bits = ids.select(where(key).alias("h")).groupBy(word(F.col("h")).alias("_sieve_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("h")))).alias("_sieve_bits"))
+    rows = docs.where(F.col(key).isNotNull()).withColumn("_sieve_hash", where(key))
+    rows = rows.join(F.broadcast(bits), word(F.col("_sieve_hash")) == F.col("_sieve_word"), "left")
+    has = F.coalesce(F.call_function("shiftright", "_sieve_bits", bit(F.col("_sieve_hash"))).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return rows.where(has).select(*docs.columns), rows.where(~has).select(*docs.columns)

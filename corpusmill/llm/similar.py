@@ -11,7 +11,8 @@ Texts with equal sets are one node. Null texts are empty; texts without words ar
 component. Rows of one doc_id with different texts are judged each by its own set; ``same`` tells them apart. Repeated rows
 get equal results, an empty table an empty one; further columns are ignored.
 
-Texts of candidates are fetched by a merge join at every size, so the plan does not change with the input.
+Texts of candidates are fetched by a merge join at every size, so the plan does not change with the input; texts that a sieve of
+fixed size shows to be no candidate's are not moved for it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sieved
 from .graph import components, least_ids, numbered
 from .repeats import U64, column, mix, runs
 from .simhash import fingerprint, links, meet, shingle_hashes
@@ -172,7 +173,8 @@ def _verified(docs: DataFrame, members: DataFrame, shingle: int, least: tuple[in
         return pa.table({"u": pa.array(np.concatenate(u), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64())})
 
     wanted = members.select("node", "digest", "component", "blocks", F.col("rep").alias("doc_id"), "same").hint("merge")
-    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text", same().alias("same")).join(wanted, ["doc_id", "same"])
+    maybe, _ = sieved(docs.select("doc_id", "text"), wanted, "doc_id")
+    texts = maybe.select("doc_id", "text", same().alias("same")).join(wanted, ["doc_id", "same"])
     texts = texts.select("node", "digest", "component", "blocks", "text")
     return texts.mapInArrow(send, "p long, g long, rep long, data binary").groupBy("p").applyInArrow(verify, "u long, v long")
 

@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontaminate, graph, mixing, quality, queries, recompress, rollups, secrets, simhash, suffixes, urls, warc
+from corpusmill.llm import common, decontaminate, graph, mixing, quality, queries, recompress, rollups, secrets, simhash, suffixes, urls, warc
 
 EXTRA = "size long, fp string, g long, p long, kept string, spans string, copies long, n_words string, rule string, digest string"
 SCHEMA = f"doc_id long, text string, lang string, source string, n_chars long, {EXTRA}"
@@ -730,3 +730,15 @@ def test_long_pages_are_filed_apart(spark, tmp_path, monkeypatch):
 def test_every_operator_has_its_query():
     assert {re.match(r"op(\d+)_", name)[1] for name in queries.queries()} == {str(n) for n in range(1, 11)}
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_sieve_parts_all_rows(spark):
+    docs = spark.range(20_000).selectExpr("if(id % 1000 = 7, null, cast(id AS int)) AS doc_id", "id % 3 AS `key`")
+    ids = spark.range(0, 20_000, 9).withColumnRenamed("id", "doc_id")
+    maybe, clear = common.sieved(docs, ids, "doc_id")
+    held, rest = ({tuple(r) for r in x.collect()} for x in (maybe, clear))
+    known = {tuple(r) for r in docs.where("doc_id IS NOT NULL").collect()}
+    assert held | rest == known and not held & rest
+    assert {r for r in known if r[0] % 9 == 0} <= held and len(held) < 2 * ids.count()
+    none, everything = common.sieved(docs, ids.limit(0), "doc_id")
+    assert none.isEmpty() and everything.count() == len(known) and none.columns == docs.columns
