@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, quality, recompress, rollups, secrets, simhash, suffixes, urls, warc
+from . import decontaminate, mixing, periodic, quality, recompress, rollups, secrets, simhash, suffixes, urls, warc
 from .common import materialize, work_dir
 from .oracles import ORACLES
 
@@ -91,7 +91,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_url_rules, op4_simhash, op5_decontamination, op6_quality_rules, op7_secrets, op8_recompression, op9_token_rollups, op10_warc)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    top = F.col("best")
+    return periodic.collapse(docs.select("doc_id", periodic.looped(F.col("doc_id"), F.col("text")).alias("text"))).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[top[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(1000 * top["length"] / top["period"]).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_url_rules, op4_simhash, op5_decontamination, op6_quality_rules, op7_secrets, op8_recompression, op9_token_rollups, op10_warc, op13_periodic_runs)}
 
 
 def queries() -> dict:
