@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, periodic, quality, recompress, rollups, secrets, simhash, suffixes, urls, warc
+from . import alignment, decontaminate, mixing, periodic, quality, recompress, rollups, secrets, simhash, suffixes, urls, warc
 from .common import materialize, work_dir
 from .oracles import ORACLES
 
@@ -91,6 +91,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256)).alias("groups_sha256")
+    counts = ("doc_id", "n_a", "n_b", F.col("n_links").alias("n_groups"), "n_links", "n_best", "count_sum")
+    return alignment.tokens(_table(spark, sf_dir, "documents")).select(*counts, groups)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
@@ -105,7 +111,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_url_rules, op4_simhash, op5_decontamination, op6_quality_rules, op7_secrets, op8_recompression, op9_token_rollups, op10_warc, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_url_rules, op4_simhash, op5_decontamination, op6_quality_rules, op7_secrets, op8_recompression, op9_token_rollups, op10_warc, op11_alignment, op13_periodic_runs)}
 
 
 def queries() -> dict:
