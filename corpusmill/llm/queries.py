@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, mixing, periodic, quality, recompress, rollups, secrets, simhash, suffixes, urls, warc
+from . import alignment, decontaminate, mixing, periodic, personal, quality, recompress, rollups, secrets, simhash, suffixes, urls, warc
 from .common import materialize, work_dir
 from .oracles import ORACLES
 
@@ -97,6 +97,13 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.tokens(_table(spark, sf_dir, "documents")).select(*counts, groups)
 
 
+def op12_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*personal.BASE_KINDS))
+    return personal.scan(_table(spark, sf_dir, "documents")).select("doc_id", *map(count, personal.BASE_KINDS), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
@@ -111,7 +118,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_url_rules, op4_simhash, op5_decontamination, op6_quality_rules, op7_secrets, op8_recompression, op9_token_rollups, op10_warc, op11_alignment, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_url_rules, op4_simhash, op5_decontamination, op6_quality_rules, op7_secrets, op8_recompression, op9_token_rollups, op10_warc, op11_alignment, op12_personal, op13_periodic_runs)}
 
 
 def queries() -> dict:
