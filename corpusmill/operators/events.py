@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .folds import admitted  # noqa: F401
 
 #: Upper bounds of histogram cells, themselves included; what lies above has a cell of its own.
 EDGES = (10_000, 50_000, 250_000, 1_000_000, 5_000_000, 30_000_000)
@@ -42,30 +42,6 @@ def trailing(rows: DataFrame, keys: list[str], seconds: Column, window: int, cos
     return rows.withColumn("used", F.sum(cost).over(w))
 
 
-def admitted(rows: DataFrame, key: str, seconds: str, order: str, limit: int, window: int) -> DataFrame:
-    """Adds ``admitted``: an event passes if fewer than ``limit`` admitted ones of its key are younger than ``window``.
-
-    Each decision depends on the ones before it, so a key is folded in order; Arrow carries a key's batches in turn.
-    """
-    schema = T.StructType([*rows.schema.fields, T.StructField("admitted", T.BooleanType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([seconds, order], kind="stable")
-        passed: list[int] = []
-        out = []
-        first = 0
-        for t in pdf[seconds]:
-            while first < len(passed) and t - passed[first] >= window:
-                first += 1
-            ok = len(passed) - first < limit
-            if ok:
-                passed.append(t)
-            out.append(ok)
-        return pdf.assign(admitted=out)
-
-    return rows.groupBy(key).applyInPandas(fold, schema)
-
-
 def latest(rows: DataFrame, key: str, order: Column, *columns: str) -> DataFrame:
     """The last row of each key, as a maximum of structs: partial aggregates, no sort."""
     return rows.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_r")).select(key, "_r.*")

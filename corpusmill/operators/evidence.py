@@ -30,7 +30,7 @@ def form_pattern(form: str, mode: str = "phrase") -> str:
     key = re.sub(r"\s+", " ", form).strip().lower()
     body = r"\Q" + key.replace(r"\E", r"\E\\E\Q") + r"\E"
     if mode == "identifier":
-        return rf"(?U)(?<![\w/]{_JOINT}{{0,32}}){body}(?!{_JOINT}{{0,32}}[\w/])"
+        return rf"(?U)(?:^|[^\w/.:-]){_JOINT}*{body}(?!{_JOINT}*[\w/])"
     return "(?U)" + (r"(?<!\w)" if key[0].isalnum() or key[0] == "_" else "") + body + (r"(?!\w)" if key[-1].isalnum() or key[-1] == "_" else "")
 
 

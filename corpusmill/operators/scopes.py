@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import glob
+from ..session import settled
 from .catalogue import all_of, any_of, any_tag, in_locales
 
 #: What a search does with mail.
@@ -170,3 +172,46 @@ def first_seen(lists: list[DataFrame], key: str, score: str, most: int) -> DataF
     firsts = ranked.groupBy(key).agg(F.min(place).alias("_p")).orderBy("_p").limit(most)
     at = F.row_number().over(W.orderBy("_p")) - 1  # of ``most`` rows
     return firsts.select(key, at.alias("place"), (-F.col("_p._s")).alias(score))
+
+
+def ancestor_least(nodes: DataFrame, keys: list[str], node: str, parent: str, value: str) -> DataFrame:
+    """(keys, node, least): the least value of each node and all above it; null for a node that hangs in or under a circle.
+
+    Pointers are doubled: each round a node takes the least of where it points and points twice as far, so a tree takes as many
+    rounds as its depth has bits. A parent that is not there ends the way.
+    """
+    known = nodes.select(*keys, F.col(node).alias("_n"))
+    linked = nodes.select(*keys, F.col(node).alias("node"), F.col(value).alias("least"), F.col(parent).alias("_n")).join(known.withColumn("_is", F.lit(True)), [*keys, "_n"], "left")
+    state = settled(linked.select(*keys, "node", "least", F.when(F.col("_is"), F.col("_n")).alias("to")))
+    most, reach = state.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0, 1
+    while reach < most and not state.where("to IS NOT NULL").isEmpty():
+        above = state.select(*keys, F.col("node").alias("to"), F.col("least").alias("_l"), F.col("to").alias("_t"))
+        state = settled(state.join(above, [*keys, "to"], "left").select(*keys, "node", F.least("least", "_l").alias("least"), F.col("_t").alias("to")))
+        reach *= 2
+    return state.select(*keys, "node", F.when(F.col("to").isNull(), F.col("least")).alias("least"))
+
+
+def recommended(nodes: DataFrame, keys: list[str], node: str, parent: str, barred: str, metrics: dict[str, int]) -> DataFrame:
+    """(keys, node, included, reason): a scope whose totals all stay below their limits. metrics: limit by column.
+
+    A node with a reason in ``barred`` goes with all below it. While a total reaches its limit, the node that holds the largest share
+    of a limit goes (ties: the least node), with all below it: "aggregate_budget". Others that go are "ancestor_excluded", those that stay
+    "small". The order of going does not depend on what went before, so a node goes in the turn of the earliest of itself and those
+    above, totals after each turn are sums over all later turns, and the first turn after which all fit ends it.
+    """
+    share = F.greatest(F.lit(0.0), *[F.coalesce(F.col(c), F.lit(0)) / limit for c, limit in metrics.items()])
+    marked = settled(nodes.select(*keys, F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(barred).alias("_why"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in metrics], share.alias("_share")))
+    open_ = ancestor_least(marked.withColumn("_open", F.when(F.col("_why").isNull(), 1).otherwise(0)), keys, "node", "parent", "_open").where("least = 1").select(*keys, "node")
+    candidates = marked.join(open_, [*keys, "node"])
+    ranked = settled(candidates.withColumn("turn", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("_share"), "node"))))
+    turns = ancestor_least(ranked, keys, "node", "parent", "turn").withColumnRenamed("least", "goes")
+    placed = ranked.join(turns, [*keys, "node"])
+    each = placed.groupBy(*keys, "goes").agg(*[F.sum(c).alias(c) for c in metrics])
+    later = W.partitionBy(*keys).orderBy("goes").rowsBetween(1, W.unboundedFollowing)
+    fits = reduce(and_, [F.coalesce(F.sum(c).over(later), F.lit(0)) < limit for c, limit in metrics.items()])
+    whole = reduce(and_, [F.sum(c) < limit for c, limit in metrics.items()])
+    last = each.withColumn("fits", fits).groupBy(*keys).agg(F.min(F.when(F.col("fits"), F.col("goes"))).alias("last"), F.when(whole, 0).alias("none"))
+    judged = placed.join(last.select(*keys, F.coalesce("none", "last").alias("last")), keys).select(*keys, "node", "turn", "goes", "last")
+    reason = F.when(F.col("_why").isNotNull(), F.col("_why")).when(F.col("goes").isNull(), "ancestor_excluded").when(F.col("goes") > F.col("last"), "small")
+    reason = reason.when(F.col("turn") == F.col("goes"), "aggregate_budget").otherwise("ancestor_excluded")
+    return marked.join(judged, [*keys, "node"], "left").select(*keys, "node", F.coalesce(F.col("goes") > F.col("last"), F.lit(False)).alias("included"), reason.alias("reason"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as E
 from ..operators import scopes as S
+from ..operators.areas import subtracted
 from ..session import table
 
 _SCOPE = "CASE WHEN {0} % 3 = 0 THEN 'mail' WHEN {0} % 3 = 1 THEN 'document' WHEN {0} % 5 = 2 THEN 'unknown' END"
@@ -106,17 +107,40 @@ def displayed_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 def active_stop_words(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").selectExpr("explode(slice(split(text, ' '), 1, 3)) AS word", "lang AS locale")
+    words = table(spark, d, "documents").selectExpr("explode(split(text, ' ')) AS word", "lang AS locale")
     locales = spark.createDataFrame([("de", True), ("fr", False), ("es", True)], "locale string, is_active boolean")
     return S.stop_words(words, locales)
 
 
 def merged_cells(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "lineitem").selectExpr("l_suppkey % 5 AS sheet", "l_orderkey % 40 AS row", "l_linenumber AS col", "l_orderkey", "l_linenumber")
-    merges = table(spark, d, "part").where("p_partkey <= 60").selectExpr("p_partkey % 5 AS sheet", "p_size % 30 AS top", "p_size % 30 + 2 AS bottom", "p_partkey % 6 AS left", "p_partkey % 6 + 1 AS right", "p_partkey AS merge_id")
+    merges = table(spark, d, "part").selectExpr("p_partkey % 5 AS sheet", "p_size % 30 AS top", "p_size % 30 + 2 AS bottom", "p_partkey % 6 AS left", "p_partkey % 6 + 1 AS right", "p_partkey AS merge_id")
     return S.merged(cells, merges).select("l_orderkey", "l_linenumber", "merge_id")
 
 
+def recommended_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Regions as inventories: nations under none, customers under their nation, customers under other customers by number."""
+    nations = table(spark, d, "nation").selectExpr("n_regionkey AS region", "concat('n', n_nationkey) AS node", "cast(null AS string) AS parent", "CASE WHEN n_nationkey % 7 = 3 THEN 'unsupported' END AS why", "cast(0 AS bigint) AS rows", "cast(10 AS bigint) AS cells")
+    joined = table(spark, d, "customer").join(table(spark, d, "nation"), F.expr("n_nationkey = c_nationkey"))
+    customers = joined.selectExpr(
+        "n_regionkey AS region", "concat('c', c_custkey) AS node", "concat('n', c_nationkey) AS parent", "CASE WHEN c_custkey % 13 = 5 THEN 'unknown' END AS why",
+        "cast(abs(c_acctbal) AS bigint) AS rows", "c_custkey % 40 AS cells",
+    )
+    orders = table(spark, d, "orders").join(joined, F.expr("o_custkey = c_custkey")).groupBy("n_regionkey", "o_custkey").agg(F.count("*").alias("n"), F.max("o_totalprice").cast("long").alias("most"))
+    under = orders.selectExpr("n_regionkey AS region", "concat('o', o_custkey) AS node", "concat('c', o_custkey) AS parent", "cast(null AS string) AS why", "most % 5000 AS rows", "n AS cells")
+    nodes = nations.unionByName(customers).unionByName(under)
+    return S.recommended(nodes, ["region"], "node", "parent", "why", {"rows": 90_000, "cells": 900})
+
+
+def subtracted_areas(spark: SparkSession, d: str) -> DataFrame:
+    """The cells that are left of small areas."""
+    parts = table(spark, d, "part")
+    areas = parts.selectExpr("p_partkey AS area", "p_partkey % 50 AS sheet", "p_size AS top", "p_partkey % 9 AS left", "p_size + p_partkey % 6 AS bottom", "p_partkey % 9 + p_partkey % 5 AS right")
+    cuts = parts.selectExpr("p_partkey % 50 AS sheet", "p_size + 1 AS top", "p_partkey % 7 + 1 AS left", "p_size + p_partkey % 4 AS bottom", "p_partkey % 7 + p_partkey % 3 AS right")
+    left = subtracted(areas, cuts, "area", "sheet")
+    return left.select("area", F.explode(F.sequence("top", "bottom")).alias("row"), "left", "right").select("area", "row", F.explode(F.sequence("left", "right")).alias("col"))
+
+
 def depth_first_order(spark: SparkSession, d: str) -> DataFrame:
     nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("source_id"), F.array(F.struct(F.col("n_regionkey").cast("long").alias("o"), F.lit("").alias("k")), F.struct((F.col("n_nationkey") % 3).cast("long").alias("o"), F.col("n_name").alias("k"))).alias("path"))
     chunks = table(spark, d, "customer").selectExpr("c_mktsegment AS doc_id", "c_nationkey AS source_id", "c_custkey AS chunk_index", "CASE WHEN c_custkey % 2 = 0 THEN -c_custkey END AS local_order")
@@ -154,7 +178,7 @@ def best_paragraphs(spark: SparkSession, d: str) -> DataFrame:
 
 _QUERIES = (
     scope_prefilter, shown_points, current_hits, proven_blocks, published_ids, versions_listed, multi_field_search, trash_listing, development_search, event_log,
-    day_bounds, resolved_tags, displayed_names, active_stop_words, merged_cells, depth_first_order, first_seen, complete_forms, line_spans, unique_quotes, best_paragraphs,
+    day_bounds, resolved_tags, displayed_names, active_stop_words, merged_cells, recommended_scope, subtracted_areas, depth_first_order, first_seen, complete_forms, line_spans, unique_quotes, best_paragraphs,
 )
 QUERIES = {f.__name__: f for f in _QUERIES}
 ORACLES = {
@@ -200,10 +224,37 @@ SELECT text, locale, coalesce(
     "displayed_names": """
 SELECT p_partkey AS term_id, CASE WHEN t THEN upper(p_name) ELSE p_name END AS name, CASE WHEN t OR p_size < 5 THEN 'de' ELSE 'en' END AS locale, p_size >= 5 AND NOT t AS is_fallback
 FROM (SELECT *, p_size >= 5 AND p_partkey % 2 = 0 AND p_partkey % 4 = p_size % 4 AS t FROM part)""",
-    "active_stop_words": "SELECT DISTINCT unnest(string_split(text, ' ')[1:3]) AS word FROM documents WHERE lang IN ('de', 'es')",
+    "active_stop_words": "SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents WHERE lang IN ('de', 'es')",
     "merged_cells": """
-SELECT l_orderkey, l_linenumber, p_partkey AS merge_id FROM lineitem JOIN part ON p_partkey <= 60 AND p_partkey % 5 = l_suppkey % 5
+SELECT l_orderkey, l_linenumber, p_partkey AS merge_id FROM lineitem JOIN part ON p_partkey % 5 = l_suppkey % 5
 AND l_orderkey % 40 BETWEEN p_size % 30 AND p_size % 30 + 2 AND l_linenumber BETWEEN p_partkey % 6 AND p_partkey % 6 + 1""",
+    "recommended_scope": """
+WITH RECURSIVE nodes AS (
+  SELECT n_regionkey AS region, 'n' || n_nationkey AS node, NULL AS parent, CASE WHEN n_nationkey % 7 = 3 THEN 'unsupported' END AS why, 0::BIGINT AS rows, 10::BIGINT AS cells FROM nation
+  UNION ALL SELECT n_regionkey, 'c' || c_custkey, 'n' || c_nationkey, CASE WHEN c_custkey % 13 = 5 THEN 'unknown' END, trunc(abs(c_acctbal))::BIGINT, c_custkey % 40 FROM customer JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT n_regionkey, 'o' || o_custkey, 'c' || o_custkey, NULL, trunc(max(o_totalprice))::BIGINT % 5000, count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_regionkey, o_custkey
+), walk AS (
+  SELECT region, node, why IS NULL AS open FROM nodes WHERE parent IS NULL
+  UNION ALL SELECT n.region, n.node, w.open AND n.why IS NULL FROM nodes n JOIN walk w ON n.region = w.region AND n.parent = w.node
+), ranked AS (
+  SELECT n.*, row_number() OVER (PARTITION BY region ORDER BY greatest(rows / 90000, cells / 900) DESC, node) AS turn FROM nodes n JOIN walk USING (region, node) WHERE open
+), turns AS (
+  SELECT region, node, turn AS goes FROM ranked WHERE parent IS NULL
+  UNION ALL SELECT r.region, r.node, least(r.turn, t.goes) FROM ranked r JOIN turns t ON r.region = t.region AND r.parent = t.node
+), each AS (SELECT region, goes, sum(rows) AS rows, sum(cells) AS cells FROM ranked JOIN turns USING (region, node) GROUP BY region, goes),
+steps AS (SELECT region, 0 AS k FROM each UNION SELECT region, goes FROM each),
+done AS (
+  SELECT region, min(k) AS k FROM steps s WHERE coalesce((SELECT sum(rows) FROM each e WHERE e.region = s.region AND e.goes > s.k), 0) < 90000
+  AND coalesce((SELECT sum(cells) FROM each e WHERE e.region = s.region AND e.goes > s.k), 0) < 900 GROUP BY region
+)
+SELECT n.region, n.node, coalesce(t.goes > d.k, false) AS included,
+CASE WHEN n.why IS NOT NULL THEN n.why WHEN t.goes > d.k THEN 'small' WHEN t.goes = r.turn THEN 'aggregate_budget' ELSE 'ancestor_excluded' END AS reason
+FROM nodes n LEFT JOIN turns t USING (region, node) LEFT JOIN ranked r USING (region, node) LEFT JOIN done d ON d.region = n.region""",
+    "subtracted_areas": """
+WITH a AS (SELECT p_partkey AS area, p_partkey % 50 AS sheet, p_size AS t, p_partkey % 9 AS l, p_size + p_partkey % 6 AS b, p_partkey % 9 + p_partkey % 5 AS r FROM part),
+c AS (SELECT p_partkey % 50 AS sheet, p_size + 1 AS t, p_partkey % 7 + 1 AS l, p_size + p_partkey % 4 AS b, p_partkey % 7 + p_partkey % 3 AS r FROM part),
+x AS (SELECT area, sheet, row, unnest(range(l, r + 1)) AS col FROM (SELECT *, unnest(range(t, b + 1)) AS row FROM a))
+SELECT area, row, col FROM x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.sheet = x.sheet AND row BETWEEN c.t AND c.b AND col BETWEEN c.l AND c.r)""",
     "depth_first_order": """
 SELECT c_custkey AS chunk_index, (row_number() OVER (PARTITION BY c_mktsegment ORDER BY n_regionkey, n_nationkey % 3, n_name,
 CASE WHEN c_custkey % 2 = 0 THEN -c_custkey ELSE c_custkey END) - 1)::INT AS display_order FROM customer JOIN nation ON n_nationkey = c_nationkey""",

@@ -39,7 +39,7 @@ def table_previews(spark: SparkSession, d: str) -> DataFrame:
 
 def header_paths(spark: SparkSession, d: str) -> DataFrame:
     """Seven customers as a sheet: a merged title over all, a group over each two, a name under it."""
-    lines = table(spark, d, "customer").where("c_custkey >= 7").selectExpr("c_custkey div 7 AS sheet", "cast(c_custkey % 7 AS int) + 1 AS col", "c_name")
+    lines = table(spark, d, "customer").selectExpr("c_custkey div 7 AS sheet", "cast(c_custkey % 7 AS int) + 1 AS col", "c_name")
     heads = [lines.where("col = 1").selectExpr("sheet", "1 AS row", "1 AS col", "'order' AS value"), lines.where("col % 2 = 1").selectExpr("sheet", "2 AS row", "col", "concat('group ', col) AS value")]
     cells = heads[0].unionByName(heads[1]).unionByName(lines.selectExpr("sheet", "3 AS row", "col", "CASE WHEN col = 3 THEN 'group 3' ELSE c_name END AS value"))
     merges = lines.groupBy("sheet").agg(F.max("col").alias("right")).selectExpr("sheet", "1 AS top", "1 AS bottom", "1 AS left", "right")
@@ -93,10 +93,10 @@ SELECT p_brand, 'No|Field name|Data type|Length|Cardinality|Description|No|Field
 string_agg(array_to_string(c || c, '|'), chr(10) ORDER BY k) AS shown FROM r WHERE k <= 3 GROUP BY p_brand""",
     "header_paths": """
 SELECT sheet, col, 'order / group ' || (col - (col + 1) % 2) || CASE WHEN col = 3 THEN '' ELSE ' / ' || c_name END AS path
-FROM (SELECT c_custkey // 7 AS sheet, (c_custkey % 7 + 1)::INT AS col, c_name FROM customer WHERE c_custkey >= 7)""",
+FROM (SELECT c_custkey // 7 AS sheet, (c_custkey % 7 + 1)::INT AS col, c_name FROM customer)""",
     "cell_page": "SELECT p_partkey, array_to_string(list_sort([p_type, p_brand]), '|') AS cells FROM part WHERE p_partkey BETWEEN 20 AND 60",
     "requested_cells": """
-WITH o AS (SELECT *, p_size % 4 <> 0 AND p_size % 7 <> 0 AND p_partkey * 900 <= 1048576 AS ok FROM part)
+WITH o AS (SELECT *, p_size % 4 <> 0 AND p_size % 7 <> 0 AND p_partkey * 900 BETWEEN 1 AND 1048576 AS ok FROM part)
 SELECT p_partkey, CASE WHEN ok THEN p_brand END AS sheet, CASE WHEN ok THEN p_name END AS field, CASE WHEN ok THEN p_partkey * 900 END::INT AS row, CASE WHEN ok THEN 28 END::INT AS col FROM o""",
     "qualified_rows": f"""
 WITH {_LINES} SELECT q.l_orderkey * 10 + q.l_linenumber AS q, r.l_orderkey, r.l_linenumber FROM l q JOIN l r

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunks as C
+from ..operators import folds
 from ..operators import glossary as G
-from ..session import table
+from ..operators import spans as N
+from ..session import settled, table
 from ..sources import files, sinks
 
 
@@ -60,12 +62,75 @@ def glossary_numbers(spark: SparkSession, d: str) -> DataFrame:
     return G.numbered(asked, rules, "p_partkey", "q")
 
 
+def _claimed(spark: SparkSession, d: str) -> DataFrame:
+    """Words of the benchmark as forms of the items that have them."""
+    words = table(spark, d, "benchmark").select(F.col("item_id").alias("term_id"), F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("form")).where(F.col("form").rlike("^[A-Za-z]{4,}$"))
+    return words.distinct().withColumns({"mode": F.when(F.length("form") % 2 == 0, "phrase").otherwise("identifier"), "can_trigger": F.lit(True), "can_search": F.length("form") > 5})
+
+
+def glossary_spans(spark: SparkSession, d: str) -> DataFrame:
+    known = settled(N.keyed(_claimed(spark, d)))
+    places = settled(N.occurrences(table(spark, d, "documents"), known, "doc_id", "text"))
+    return N.spans(places, known, "doc_id").select("doc_id", "term_id", F.lower("form").alias("form"), "start", "end", "matched").distinct()
+
+
+def glossary_refusals(spark: SparkSession, d: str) -> DataFrame:
+    known = settled(N.keyed(_claimed(spark, d)))
+    places = N.occurrences(table(spark, d, "documents"), known, "doc_id", "text")
+    return N.refused(places, known, "doc_id").groupBy("doc_id").agg(F.count_distinct(F.lower("form")).alias("forms"), F.count_distinct("term_id").alias("terms"))
+
+
+def glossary_plans(spark: SparkSession, d: str) -> DataFrame:
+    """First turns of conversations and benchmark items as queries."""
+    asked = table(spark, d, "benchmark").selectExpr("item_id AS q", "text").unionByName(table(spark, d, "documents").selectExpr("-1 - doc_id AS q", "text"))
+    got = N.plans(asked, _claimed(spark, d), "q", "text")
+    return got.select("q", "status", F.size("added").cast("long").alias("added"), F.md5(F.col("expanded").cast("binary")).alias("digest"), F.size("skipped").cast("long").alias("skipped"))
+
+
+def packed_evidence(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.max(F.translate("text", "\n\r\x0b\x0c", "    ")).alias("text"))
+    return folds.packed(turns, "conv_id", "turn", "text", mode="full", limit=600, head=20, between=2).select("conv_id", "turn", "batch", F.length("shown").cast("long").alias("size"))
+
+
+def first_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """What fits one answer, across a source's documents."""
+    docs = table(spark, d, "documents").select("source", "doc_id", F.translate("text", "\n\r\x0b\x0c", "    ").alias("text"))
+    return folds.packed(docs, "source", "doc_id", "text", mode="fast", limit=5000, head=20, between=2).select("doc_id", "batch")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (chunk_text, projection_fragments, html_to_text, export_parts, column_regions, glossary_mentions, glossary_numbers)
+    for f in (chunk_text, projection_fragments, html_to_text, export_parts, column_regions, glossary_mentions, glossary_numbers, glossary_spans, glossary_refusals, glossary_plans, packed_evidence, first_evidence)
 }
 
+# texts in pieces that are words or lie between words, each with the characters before it
+_PIECES = r"""pieces AS (
+  SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) - length(p) AS start, lag(p) OVER w AS before, lead(p) OVER w AS after, lag(p, 2) OVER w AS word_before, lead(p, 2) OVER w AS word_after
+  FROM (SELECT doc_id, unnest(x) AS p, unnest(range(len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS x FROM documents))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), f AS (SELECT DISTINCT term_id, form FROM (SELECT item_id AS term_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS form FROM benchmark) WHERE regexp_matches(form, '^[A-Za-z]{4,}$')),
+k AS (SELECT lower(form) AS norm, count(DISTINCT term_id) AS terms, bool_or(length(form) % 2 = 0) AS phrase FROM f GROUP BY 1),
+met AS (
+  SELECT doc_id, norm, start, p, terms, NOT phrase AND (regexp_matches(coalesce(before, ''), '/[.:-]*$') OR regexp_matches(coalesce(after, ''), '^[.:-]*/')
+    OR (word_before IS NOT NULL AND regexp_matches(before, '^[.:-]+$')) OR (word_after IS NOT NULL AND regexp_matches(after, '^[.:-]+$'))) AS within
+  FROM pieces JOIN k ON lower(p) = norm
+)"""
 ORACLES = {
+    "glossary_spans": f"""WITH {_PIECES}
+SELECT DISTINCT doc_id, term_id, norm AS form, start::BIGINT AS start, (start + length(p))::BIGINT AS "end", p AS matched FROM met JOIN f ON lower(form) = norm WHERE terms = 1 AND NOT within""",
+    "glossary_refusals": f"""WITH {_PIECES}
+SELECT doc_id, count(DISTINCT norm) AS forms, count(DISTINCT term_id) AS terms FROM met JOIN f ON lower(form) = norm WHERE terms > 1 GROUP BY doc_id""",
+    "packed_evidence": """WITH RECURSIVE o AS (SELECT conv_id, turn, max(text) AS text, length(coalesce(max(text), '')) AS size FROM conversations GROUP BY conv_id, turn),
+l AS (SELECT conv_id, turn, size, 1 AS k, size AS piece FROM o WHERE size + 20 <= 600),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM l),
+w AS (SELECT conv_id, turn, i, size, size + 20 AS held, 0::BIGINT AS batch FROM n WHERE i = 1 UNION ALL
+SELECT n.conv_id, n.turn, n.i, n.size, CASE WHEN held + 22 + n.size <= 600 THEN held + 22 + n.size ELSE n.size + 20 END, CASE WHEN held + 22 + n.size <= 600 THEN batch ELSE batch + 1 END
+FROM w JOIN n ON n.conv_id = w.conv_id AND n.i = w.i + 1)
+SELECT conv_id, turn, batch, size FROM w UNION ALL SELECT conv_id, turn, NULL, NULL FROM o WHERE size + 20 > 600""",
+    "first_evidence": """WITH RECURSIVE o AS (SELECT source, doc_id, length(text) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents WHERE length(text) + 20 <= 5000),
+w AS (SELECT source, doc_id, i, true AS taken, size + 20 AS held FROM o WHERE i = 1 UNION ALL
+SELECT o.source, o.doc_id, o.i, held + 22 + size <= 5000, CASE WHEN held + 22 + size <= 5000 THEN held + 22 + size ELSE held END FROM w JOIN o ON o.source = w.source AND o.i = w.i + 1)
+SELECT doc_id, 0::BIGINT AS batch FROM w WHERE taken""",
     # the test documents have no blank lines, so each is one unit and one chunk
     "chunk_text": r"""SELECT doc_id, 0 AS chunk_index, length(t)::INT AS size, md5(t) AS digest
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents)""",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.folds import with_parts  # noqa: F401
+
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Old rows whose key is not among the new ones, and the new rows."""
@@ -42,23 +43,6 @@ def publish(pointers: DataFrame, doc_id: int, generation: str, base: str | None)
     return pointers.withColumn("status", status)
 
 
-def with_parts(rows: DataFrame, group: str, order: str, size: str, limit: int) -> DataFrame:
-    """Adds ``part``: rows in order fill a part until the next would cross the limit; a larger row has a part of its own."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        part, held, out = 0, 0, []
-        for n in pdf[size]:
-            if out and held + n > limit:
-                part, held = part + 1, 0
-            held += n
-            out.append(part)
-        return pdf.assign(part=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", part long"
-    return rows.groupBy(group).applyInPandas(fold, schema)
-
-
 def digest(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(n, digest) of a table, whatever its order or partitions: the sum of row hashes."""
     return rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(key, value).cast("decimal(38,0)")).alias("digest"))
