@@ -55,6 +55,19 @@ def parts_for(df: DataFrame, size: Column, target: int, least: int | None = None
     return max(least, -(-total // target)), total
 
 
+def packed(docs: DataFrame, *own: Column) -> DataFrame:
+    """(row: all columns of ``docs``, own...): a table whose other names no table can clash with; ``select("row.*")`` gives it back."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *own)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with underscores in front if a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: 64-bit words of a sieve: 2 MB of bits, whatever the number of ids.
 SIEVE_WORDS = 1 << 18
 

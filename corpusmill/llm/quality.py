@@ -13,7 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, word_array
+from .common import WORD, free_name, packed, word_array
 
 SYMBOLS = "#*$%&|<>"
 #: Full stops and their like of many scripts; those of spaced scripts need white space behind them.
@@ -111,15 +111,15 @@ def _exact_starts(words: Column, n: Column) -> Column:
 
 def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and the cleaned text ``clean_text``."""
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "_t", "_w", "_l"]
-    t = F.col("_t")
-    lines, words = F.col("_l"), F.col("_w")
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
+    held_text, held_words, held_lines = (free_name(c, docs.columns) for c in ("_t", "_w", "_l"))
+    t, lines, words = F.col(held_text), F.col(held_lines), F.col(held_words)
     full = F.filter(lines, lambda x: x.rlike(WORD))
     counted = F.transform(lines, lambda x: F.struct(x.alias("s"), _count(x, WORD).alias("n")))
     good = F.transform(F.filter(counted, lambda x: ~line_fails(x["s"], x["n"])), lambda x: x["s"])
     n = F.size(words)
     base = docs.drop(*[c for c in own if c != text])
-    out = base.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumns({"_w": word_array(t), "_l": F.split(t, "\n")})
+    out = base.withColumn(held_text, F.coalesce(F.col(text), F.lit(""))).withColumns({held_words: word_array(t), held_lines: F.split(t, "\n")})
     out = out.withColumns(
         {
             "n_words": n.cast("long"),
@@ -132,15 +132,16 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     lost = F.length(t) - F.length("clean_text")
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * lost <= MOST_LOST * F.length(t))).drop("_t", "_w", "_l")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * lost <= MOST_LOST * F.length(t))).drop(held_text, held_words, held_lines)
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Kept documents with their failing lines removed; the columns of ``docs``."""
-    cols = docs.columns
+    """Kept documents with their failing lines removed; the columns of ``docs``, whatever their names. Null and empty texts go, repeated rows
+    have equal fates, an empty table stays empty, long texts are judged whole."""
+    judged = judge(packed(docs, F.col("text").alias("text")))
     # a filter would be pushed down and work the rules out a second time; a generator takes what is there
     some = F.when(F.col("kept"), F.array("clean_text")).otherwise(F.array().cast("array<string>"))
-    out = judge(docs).drop("text").withColumn("text", F.explode(some))
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*cols)
+    out = judged.select("row", F.explode(some).alias("clean"))
+    kind = {"n_chars": F.length("clean").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    given = {"text": F.col("clean"), **kind}
+    return out.select(*[given.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -89,20 +89,37 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return by_bits.unionByName(by_bands(nodes))
 
 
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """(node, fp, keys) for the nodes (node, fp, bands) that share a band, with the keys of the bands that they share."""
+
+    def each(batches):
+        for batch in batches:
+            key = np.frombuffer(b"".join(column(batch, "bands")), "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("node").to_numpy(), BANDS), pa.int64()), pa.array(key, pa.int64())], names=["node", "key"])
+
+    keys = nodes.select("node", "bands").mapInArrow(each, "node long, key long")
+    met = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    own = keys.join(met.hint("merge"), "key").groupBy("node").agg(F.collect_list("key").alias("keys"))  # BANDS at most
+    return nodes.select("node", "fp").join(own.hint("merge"), "node")
+
+
 def by_bands(nodes: DataFrame) -> DataFrame:
-    """(u, v): edges that join all nodes (fp, node, bands) that share a band and LEAST_EQUAL minima."""
+    """(u, v): edges that join all nodes (fp, node, bands) that share a band and LEAST_EQUAL minima. Only what shares a band sends its
+    minima, and only to the bands that it shares."""
 
     def own_keys(batch):
-        return list(np.frombuffer(b"".join(column(batch, "bands")), "<u8").reshape(-1, BANDS).T)
+        return [batch.column("keys").flatten().to_numpy().view(np.uint64)]
 
     def dealt(batch):
-        return [(k, np.arange(len(k)), 0) for k in own_keys(batch)]
+        n = batch.column("keys").value_lengths().to_numpy()
+        return [(own_keys(batch)[0], np.repeat(np.arange(len(n)), n), 0)]
 
     def near(differing):
         return (differing.view(np.uint8).reshape(-1, MINIMA) == 0).sum(axis=1) >= LEAST_EQUAL
 
-    n = nodes.count()
-    return meet(nodes.select("fp", "node", "bands"), n, n * BANDS, MINIMA // 8, own_keys, dealt, near)
+    found = materialize(shared_bands(nodes))
+    entries = int(found.agg(F.sum(F.size("keys"))).first()[0] or 0)
+    return meet(found, nodes.count(), entries, MINIMA // 8, own_keys, dealt, near)
 
 
 def linked(sets: list[np.ndarray], least: tuple[int, int]) -> np.ndarray:

@@ -113,3 +113,17 @@ def test_mixing_takes_equal_rows_together(spark):
         taken[r.source] += r.copies
     out = P.mix(spark, docs, "").collect()
     assert Counter(r.source for r in out) == taken and {r.copy for r in out} <= {1, 2}
+
+
+def test_stages_keep_columns_of_any_name(spark, planted):
+    names = (
+        "_t _w _l n_words kept clean_text word_chars _dup_id _dup_hash row same copy _copy _at _id _src _n _rows id src n rows at times no_id no_src copies"
+        " size source_size _s _p place _sieve_word _sieve_bits _sieve_hash component_id fp node h spans score item_id"
+    ).split()
+    docs = spark.read.parquet(f"{planted}/documents.parquet").selectExpr("*", *[f"concat('mine ', doc_id, ' {c}') AS `{c}`" for c in names])
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, planted)
+        assert out.columns[: len(docs.columns)] == docs.columns, name
+        assert out.columns[len(docs.columns) :] == (["__copy"] if stage is P.mix else []), name
+        for r in out.collect():
+            assert all(r[c] == f"mine {r.doc_id} {c}" for c in names), name
