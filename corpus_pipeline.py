@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontaminate, mixing, quality, secrets, similar
-from corpusmill.llm.common import materialize, sieved
+from corpusmill.llm.common import free_name, materialize, packed, sieved
 
 #: Near duplicates: sets of five-word shingles with a Jaccard similarity of LEAST (over, under) or more.
 SHINGLE, LEAST = 5, (4, 5)
@@ -19,46 +19,48 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group stays; rows that are equal in id and text are one row of it, those without an id all stay."""
+    """The row with the smallest id of each group stays; rows that are equal in id and text are one row of it, those without an id all
+    stay. Null and empty texts are one group, long ones are compared whole, an empty table stays empty; columns may have any names."""
     found = similar.near_duplicates(docs, shingle=SHINGLE, least=LEAST).where("doc_id IS NOT NULL")
     marks = found.groupBy("doc_id", "same").agg(F.min("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1")
-    marks = materialize(marks.select(F.col("doc_id").alias("_dup_id"), F.col("same").alias("_dup_hash"), "kept"))
-    is_marked = (F.col("doc_id") == F.col("_dup_id")) & (similar.same() == F.col("_dup_hash"))
-    rest, clear = sieved(docs, marks.withColumnRenamed("_dup_id", "doc_id"), "doc_id")
-    out = rest.join(marks.hint("merge"), is_marked, "left_anti")
+    marks = materialize(marks.select("doc_id", "same", "kept"))
+    held = packed(docs, F.col("doc_id").alias("doc_id"), similar.same().alias("same"))
+    rest, clear = sieved(held, marks, "doc_id")
+    out = rest.join(marks.hint("merge"), ["doc_id", "same"], "left_anti")
     repeated = marks.where("kept")
     if not repeated.isEmpty():
-        once = rest.join(repeated.hint("merge"), is_marked, "left_semi").withColumn("_dup_text", similar.same()).dropDuplicates(["doc_id", "_dup_text"])
-        out = out.unionByName(once.drop("_dup_text"))
-    return out.unionByName(clear).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+        once = rest.join(repeated.hint("merge"), ["doc_id", "same"], "left_semi").dropDuplicates(["doc_id", "same"])
+        out = out.unionByName(once)
+    return out.unionByName(clear).unionByName(held.where("doc_id IS NULL")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none, repeated rows go together, other columns stay as they are."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked."""
+    """Secrets are masked; null texts stay null, all rows and other columns stay as they are."""
     return secrets.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each copy that the mix takes, numbered from 1. Rows that are equal in id, text and source share what they
-    are taken together, in equal parts."""
+    are taken together, in equal parts. Null texts and sources count as mixing.mix says, an empty table stays empty; a table's own column
+    "copy" stays and the number is then called "_copy"."""
     keys = {
-        "_id": F.coalesce("doc_id", F.lit(0)), "_no_id": F.col("doc_id").isNull(), "_same": F.xxhash64("text"),
-        "_src": F.coalesce("source", F.lit("")), "_no_src": F.col("source").isNull(),
+        "id": F.coalesce("doc_id", F.lit(0)), "no_id": F.col("doc_id").isNull(), "same": F.xxhash64("text"),
+        "src": F.coalesce("source", F.lit("")), "no_src": F.col("source").isNull(),
     }
-    drawn = mixing.mix(docs).withColumns({k: F.col("same") if k == "_same" else c for k, c in keys.items()})
-    drawn = drawn.groupBy(*keys).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows")).where("_n > 0")
+    drawn = mixing.mix(docs).select(*[(F.col("same") if k == "same" else c).alias(k) for k, c in keys.items()], "copies")
+    drawn = drawn.groupBy(*keys).agg(F.sum("copies").alias("n"), F.count("*").alias("rows")).where("n > 0")
     # plain keys, so that the window below finds its rows together as the join left them
-    out = docs.withColumns(keys).join(drawn.hint("merge"), list(keys))
+    out = packed(docs, *[c.alias(k) for k, c in keys.items()]).join(drawn.hint("merge"), list(keys))
     at = F.row_number().over(W.partitionBy(*keys).orderBy(F.lit(0)))
-    upto = lambda k: F.floor(F.col("_n") * k / F.col("_rows"))
-    times = (upto(F.col("_at")) - upto(F.col("_at") - 1)).cast("int")
-    out = out.withColumn("_at", F.when(F.col("_rows") > 1, at).otherwise(1)).withColumn("_times", times).where("_times > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_times")).alias("copy"))
+    upto = lambda k: F.floor(F.col("n") * k / F.col("rows"))
+    times = (upto(F.col("at")) - upto(F.col("at") - 1)).cast("int")
+    out = out.withColumn("at", F.when(F.col("rows") > 1, at).otherwise(1)).withColumn("times", times).where("times > 0")
+    return out.select("row.*", F.explode(F.sequence(F.lit(1), "times")).alias(free_name("copy", docs.columns)))
 
 
 STAGES = [
