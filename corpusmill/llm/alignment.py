@@ -36,7 +36,7 @@ from .common import work_dir
 
 FOLDER = "/opt/tokenizers"
 #: Characters of a block, and blocks whose places one row may list.
-BLOCK, MOST_PLACES = 24_000_000, 4096
+BLOCK, MOST_PLACES = 16_000_000, 4096
 #: Larger files are refused, as they are broadcast.
 MOST_BYTES = 64_000_000
 SPACE = "▁"
@@ -151,12 +151,12 @@ def align(segments: list[str], ids_a: list[list[int]], ids_b: list[list[int]], p
 
 
 def _pack(docs: DataFrame, files, size: int) -> DataFrame:
-    """Rows of two kinds: the distinct segments of blocks, and the documents of blocks as numbers of them."""
+    """Rows of two kinds: the distinct segments of blocks, and the documents of blocks (ids and sizes as an Arrow stream) as numbers of them."""
     import zstandard
 
     fields = [
         ("kind", pa.string()), ("block", pa.int64()), ("place", pa.int32()), ("segment", pa.string()), ("n", pa.int64()),
-        ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()),
+        ("docs", pa.binary()), ("codes", pa.binary()),
     ]
     form = pa.schema(fields)
 
@@ -178,10 +178,14 @@ def _pack(docs: DataFrame, files, size: int) -> DataFrame:
                 part = min(20_000, len(numbers) - at)
                 yield rows("segments", part, block=pa.array([key] * part, pa.int64()), place=pa.array(range(at, at + part), pa.int32()), segment=segments.slice(at, part), n=n.slice(at, part))
             packed = zstandard.ZstdCompressor(level=3).compress(flat.astype("<i4").tobytes())
-            yield rows("texts", 1, block=pa.array([key], pa.int64()), doc_ids=pa.array([ids], pa.list_(pa.int64())), sizes=pa.array([sizes], pa.list_(pa.int32())), codes=pa.array([packed], pa.binary()))
+            table = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32())], names=["doc_id", "size"])
+            with pa.BufferOutputStream() as sink:
+                with pa.ipc.new_stream(sink, table.schema) as stream:
+                    stream.write_batch(table)
+                yield rows("texts", 1, block=pa.array([key], pa.int64()), docs=pa.array([sink.getvalue().to_pybytes()], pa.binary()), codes=pa.array([packed], pa.binary()))
 
         chars = 0
-        for batch in batches:
+        for batch in (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200)):
             for doc, text in zip(batch.column("doc_id").cast(pa.int64()).to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids.append(doc)
                 if text and pair.faithful(text):
@@ -194,10 +198,11 @@ def _pack(docs: DataFrame, files, size: int) -> DataFrame:
                 if chars >= size:
                     yield from block()
                     held, chars, numbers, ids, sizes, codes = held + 1, 0, {}, [], [], []
+                    pa.default_memory_pool().release_unused()
         if ids:
             yield from block()
 
-    schema = "kind string, block long, place int, segment string, n long, doc_ids array<long>, sizes array<int>, codes binary"
+    schema = "kind string, block long, place int, segment string, n long, docs binary, codes binary"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -242,13 +247,15 @@ COUNTS = ("n_a", "n_b", "n_links", "n_best", "count_sum")
 
 
 def _compose(rows: DataFrame) -> DataFrame:
-    """Documents from rows by block: the alignments by place, then the documents as their numbers."""
+    """Documents from rows by block: the alignments by place, then the documents as their numbers. No column is a list: Spark's
+    Arrow writer goes back over all empty lists of a batch for each row."""
     import zstandard
 
     def run(batches):
         groups, numbers, of = [], {c: [] for c in COUNTS}, None
 
-        def documents(ids, sizes, codes):
+        def documents(docs, codes):
+            ids, sizes = (c.to_pylist() for c in pa.ipc.open_stream(docs).read_all().columns)
             flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(codes), dtype="<i4")
             table = {c: np.concatenate(v) if v else np.empty(0, dtype=np.int64) for c, v in numbers.items()}
             at, out = 0, []
@@ -276,7 +283,7 @@ def _compose(rows: DataFrame) -> DataFrame:
                     numbers[c].append(part.column(c).slice(0, n).to_numpy(zero_copy_only=False))
                 if n < len(ends):
                     last = part.slice(n, 1).to_pylist()[0]
-                    for out in documents(last["doc_ids"], last["sizes"], last["codes"]):
+                    for out in documents(last["docs"], last["codes"]):
                         ids, *counts, texts = zip(*out, strict=True)
                         columns = [pa.array(x, pa.int64()) for x in (ids, *counts)] + [pa.array(texts, pa.string())]
                         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *COUNTS, "groups"])
@@ -301,7 +308,7 @@ def tokens(docs: DataFrame, a: str = f"{FOLDER}/byte_bpe_50k.json", b: str = f"{
     packed = _pack(docs, files, block)
     packed.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/packed")
     held = spark.read.schema(packed.schema).parquet(f"{folder}/packed")
-    texts = held.where("kind = 'texts'").select("block", "doc_ids", "sizes", "codes")
+    texts = held.where("kind = 'texts'").select("block", "docs", "codes")
     blocks = texts.count()
     part = F.pmod(F.xxhash64("block"), F.lit(-(-blocks // most_places) or 1))
     segments = held.where("kind = 'segments'").groupBy("segment", part.alias("part")).agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "place")).alias("places"))
