@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.text import STOP_WORDS, slot, tokens
 from ..session import MOST_BROADCAST, settled
 
+#: Numbers in the query vectors that one pass holds.
+PASS_NUMBERS = 4 << 20
 RRF_K = 60
 WEIGHTS = {"dense": 1.0, "bm25": 1.5, "graph": 0.5}
 BRANCH_TOP, REVIEW_PENALTY, GRAPH_SCORE, GRAPH_RANK = 30, 10, 0.5, 100
@@ -34,26 +36,65 @@ def ranked(hits: DataFrame, query: str, score: str, tie: str, top: int) -> DataF
 
 
 def bm25(docs: DataFrame, queries: DataFrame, doc_key: str = "doc_id", query_key: str = "item_id", text: str = "text", top: int = BRANCH_TOP) -> DataFrame:
-    """(query, doc, score, rank): dot product of log1p frequencies times ln(1 + (N - df + 0.5) / (df + 0.5))."""
+    """(query, doc, score, rank): dot product of log1p frequencies times ln(1 + (N - df + 0.5) / (df + 0.5)).
+
+    Up to MOST_BROADCAST weighed terms of queries go to all tasks, which multiply blocks of documents with all queries and give back each
+    query's best of the block; more are joined by slot instead.
+    """
     asked = settled(postings(queries, query_key, text).withColumnRenamed("weight", "q"))
     # what comes from the queries has at most as many rows as their postings: one count settles all joins
-    small = F.broadcast if asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else (lambda df: df)
+    few = asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    small = F.broadcast if few else (lambda df: df)
     hit = settled(postings(docs, doc_key, text, only=small(asked.select("slot").distinct())))
     n = docs.count()
     idf = hit.groupBy("slot").agg(F.count("*").alias("df")).select("slot", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighed = small(asked.join(small(idf), "slot"))
-    scored = hit.join(weighed, "slot").groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("q") * F.col("weight") * F.col("idf")), 6).alias("score"))
+    weighed = asked.join(small(idf), "slot").select(query_key, "slot", (F.col("q") * F.col("idf")).alias("v"))
+    if few:
+        own = hit.where(F.col(doc_key).isNotNull()).groupBy(doc_key).agg(F.collect_list("slot").alias("slots"), F.collect_list("weight").alias("weights"))
+        kinds = tuple(f.dataType.simpleString() for f in (asked.schema[query_key], docs.schema[doc_key]))
+        keys = docs.sparkSession.sparkContext.broadcast(tuple(map(tuple, weighed.where(F.col(query_key).isNotNull()).collect())))
+        scored = own.mapInArrow(_products(keys, query_key, doc_key, top), f"`{query_key}` {kinds[0]}, `{doc_key}` {kinds[1]}, score double")
+        return ranked(scored.withColumn("score", F.round("score", 6)), query_key, "score", doc_key, top)
+    scored = hit.join(weighed, "slot").groupBy(query_key, doc_key).agg(F.round(F.sum(F.col("v") * F.col("weight")), 6).alias("score"))
     return ranked(scored, query_key, "score", doc_key, top)
 
 
+def _products(terms, query_key: str, doc_key: str, top: int):
+    """A task's work in ``bm25``: from (doc, slots, weights) the products with all queries, of which a query's ``top`` of a block and what is
+    equal to the last of them but for rounding goes on."""
+
+    def run(batches):
+        queries = sorted({q for q, _, _ in terms.value})
+        number = {q: i for i, q in enumerate(queries)}
+        rows = sorted((s, number[q], v) for q, s, v in terms.value)
+        slots, owner, value = (np.array([r[k] for r in rows], dtype=t) for k, t in ((0, np.int64), (1, np.int64), (2, np.float64)))
+        size = max(1, PASS_NUMBERS // max(len(queries), 1))
+        keys = pa.array(queries)
+        for batch in batches:
+            for part in (batch.slice(at, size) for at in range(0, batch.num_rows, size)):
+                own = part.column("slots")
+                doc = np.repeat(np.arange(part.num_rows), own.value_lengths().to_numpy())
+                slot, weight = own.flatten().to_numpy(), part.column("weights").flatten().to_numpy()
+                first, last = np.searchsorted(slots, slot), np.searchsorted(slots, slot, side="right")
+                n = last - first
+                score = np.zeros(part.num_rows * len(queries))
+                for a in range(0, len(slot), 1 << 16):  # so many terms of documents at a time
+                    m = n[a : a + (1 << 16)]
+                    at = np.repeat(first[a : a + (1 << 16)] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                    score += np.bincount(np.repeat(doc[a : a + (1 << 16)], m) * len(queries) + owner[at], np.repeat(weight[a : a + (1 << 16)], m) * value[at], len(score))
+                table = score.reshape(part.num_rows, len(queries))
+                least = np.partition(table, -top, axis=0)[-top] - 1e-6 if part.num_rows > top else np.full(len(queries), -1.0)
+                d, q = np.nonzero((table > 0) & (table >= least))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(q)), part.column(doc_key).take(pa.array(d)), pa.array(table[d, q])], names=[query_key, doc_key, "score"])
+
+    return run
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-#: Numbers in the query vectors that one pass holds.
-PASS_NUMBERS = 4 << 20
-
 
 def _unit(vectors: list) -> np.ndarray:
     x = np.array(vectors, dtype=np.float64)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup as D
-from ..session import table
+from ..session import settled, table
 
 _NORM = r"trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))"
 _TOKENS = "regexp_extract_all(replace(lower(coalesce(text, '')), chr(775), ''), '[a-zа-яё0-9ßà-öø-ÿā-žșț]+')"
@@ -33,7 +33,8 @@ near AS (SELECT a, b, list_sum(list_transform(range(1, 129), lambda i: (p.sig[i]
 
 
 def _signed(spark: SparkSession, d: str) -> DataFrame:
-    return D.signatures(table(spark, d, "documents"))
+    """Signatures, worked out once for all that follows."""
+    return settled(D.signatures(table(spark, d, "documents")))
 
 
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +57,7 @@ def shingles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
-    return _signed(spark, d).where(F.size("sig") > 0).select("doc_id", F.array_join("sig", ",").alias("sig"))
+    return D.signatures(table(spark, d, "documents")).where(F.size("sig") > 0).select("doc_id", F.array_join("sig", ",").alias("sig"))
 
 
 def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
