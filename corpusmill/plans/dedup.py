@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup as D
-from ..session import settled, table
+from ..operators.signatures import grown
+from ..session import settled, shared_folder, table
 
 _NORM = r"trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g'))"
 _TOKENS = "regexp_extract_all(replace(lower(coalesce(text, '')), chr(775), ''), '[a-zа-яё0-9ßà-öø-ÿā-žșț]+')"
@@ -60,6 +61,13 @@ def minhash_signature(spark: SparkSession, d: str) -> DataFrame:
     return D.signatures(table(spark, d, "documents")).where(F.size("sig") > 0).select("doc_id", F.array_join("sig", ",").alias("sig"))
 
 
+def grown_signatures(spark: SparkSession, d: str) -> DataFrame:
+    """Signatures of a table that came in two deliveries, the second with all of the first in it."""
+    docs, folder = table(spark, d, "documents"), shared_folder(spark)
+    grown(docs.where("lang = 'en'"), folder)
+    return grown(docs, folder)[0].where(F.size("sig") > 0).select("doc_id", F.array_join("sig", ",").alias("sig"))
+
+
 def lsh_candidates(spark: SparkSession, d: str) -> DataFrame:
     return D.candidates(D.classes(_signed(spark, d)))
 
@@ -83,7 +91,7 @@ def duplicate_flags(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        exact_duplicates, exact_classes, normalise_text_hash, shingles, minhash_signature, lsh_candidates, near_duplicates, duplicate_classes,
+        exact_duplicates, exact_classes, normalise_text_hash, shingles, minhash_signature, grown_signatures, lsh_candidates, near_duplicates, duplicate_classes,
         duplicate_flags,
     )
 }
@@ -96,6 +104,7 @@ ORACLES = {
     "shingles": f"""WITH tok AS (SELECT doc_id, {_TOKENS} AS t FROM documents), s AS (SELECT doc_id, {_SHINGLES} AS s FROM tok)
 SELECT doc_id, len(s) AS n, len(list_distinct(s)) AS n_distinct, md5(array_to_string(s, '|')) AS digest FROM s""",
     "minhash_signature": f"WITH {_sig(128)} SELECT doc_id, array_to_string(sig, ',') AS sig FROM sig",
+    "grown_signatures": f"WITH {_sig(128)} SELECT doc_id, array_to_string(sig, ',') AS sig FROM sig",
     "lsh_candidates": f"WITH {_PAIRS} SELECT a, b, strict, loose FROM cand",
     "near_duplicates": f"WITH {_PAIRS} SELECT a, b, round(jaccard, 6) AS jaccard, CASE WHEN jaccard >= 0.88 THEN 2 ELSE 3 END AS level FROM near WHERE jaccard >= 0.71",
     "duplicate_flags": f"""WITH {_PAIRS}, hits AS (SELECT * FROM near WHERE jaccard >= 0.71),

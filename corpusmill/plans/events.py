@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events as E
+from ..operators.resampling import POISSON, bootstrap_mean
 from ..session import table
 
 
@@ -57,6 +58,11 @@ def rate_window(spark: SparkSession, d: str) -> DataFrame:
     return E.trailing(_events(spark, d), ["user_id"], F.col("s"), 21600, cost).select("event_id", F.col("used").cast("long").alias("used"))
 
 
+def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
+    got = bootstrap_mean(table(spark, d, "orders"), ["o_orderpriority"], "o_orderkey", "o_totalprice", replicates=100)
+    return got.select("o_orderpriority", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
+
+
 def rate_admitted(spark: SparkSession, d: str) -> DataFrame:
     rows = _events(spark, d).select("event_id", "user_id", "s")
     return E.admitted(rows, "user_id", "s", "event_id", 3, 86400).select("event_id", "admitted")
@@ -108,7 +114,7 @@ def interval_join(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        queue_metrics, duration_histogram, conversation_turns, cell_projection, json_extract, span_union, section_islands, rate_window, rate_admitted,
+        queue_metrics, duration_histogram, conversation_turns, cell_projection, json_extract, span_union, section_islands, rate_window, bootstrap_interval, rate_admitted,
         tumbling_window, sliding_window, session_window, event_guard, dedup_events, latest_state, asof_join, interval_join,
     )
 }
@@ -134,6 +140,13 @@ SELECT user_id, min(s) AS s, max(e) AS e FROM k GROUP BY user_id, k""",
     "section_islands": """SELECT event_id, user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS island
 FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS fresh FROM events)""",
     "rate_window": """SELECT event_id, sum(CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT RANGE BETWEEN 21599 PRECEDING AND CURRENT ROW)::BIGINT AS used FROM events""",
+    "bootstrap_interval": f"""
+WITH m AS (SELECT o_orderpriority, o_totalprice AS x, q, md5('7:' || o_orderkey || ':' || q) AS h FROM orders, (SELECT unnest(range(25)) AS q)),
+u AS (SELECT o_orderpriority, x, q * 4 + k AS rep, ('0x' || substr(h, k::INT * 8 + 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM m, (SELECT unnest(range(4)) AS k)),
+w AS (SELECT *, {' + '.join(f'(u >= {p}::DOUBLE)::INT' for p in POISSON)} AS n FROM u),
+r AS (SELECT o_orderpriority, rep, sum(n * x) / sum(n) AS m FROM w GROUP BY o_orderpriority, rep),
+e AS (SELECT o_orderpriority, list(m ORDER BY m) AS l FROM r GROUP BY o_orderpriority)
+SELECT o_orderpriority, round(mean, 4) AS mean, round(l[3], 4) AS low, round(l[98], 4) AS high FROM e JOIN (SELECT o_orderpriority, avg(o_totalprice) AS mean FROM orders GROUP BY 1) USING (o_orderpriority)""",
     "rate_admitted": """WITH RECURSIVE o AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS s, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))::BIGINT, event_id) AS n FROM events),
 w AS (SELECT event_id, user_id, s, n, true AS admitted, [s] AS passed FROM o WHERE n = 1
 UNION ALL SELECT o.event_id, o.user_id, o.s, o.n, len(list_filter(w.passed, lambda x: o.s - x < 86400)) < 3,

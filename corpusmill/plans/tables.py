@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tables as T
+from ..operators.regions import stacked
 from ..session import table
 
 _HEADER = ["No", "Field name", "Data type", "Length", "Cardinality", "Description"]
@@ -48,6 +49,16 @@ def header_paths(spark: SparkSession, d: str) -> DataFrame:
     return out.select("sheet", "col", F.array_join("path", " / ").alias("path"))
 
 
+def stacked_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Forty parts to a sheet, a name and a type or a size in each row; rows of some sizes are missing, so tables begin behind gaps."""
+    parts = table(spark, d, "part").selectExpr("cast(p_partkey div 40 AS int) AS sheet", "cast(p_partkey % 40 AS int) + 1 AS row", "*").where("p_size % 5 <> 0")
+    cells = parts.selectExpr("sheet", "row", "1 AS col", "p_name AS text", "'string' AS kind", "false AS formula", "p_size % 2 = 0 AS bold")
+    cells = cells.unionByName(parts.selectExpr("sheet", "row", "2 AS col", "CASE WHEN p_size % 3 = 0 THEN p_type ELSE cast(p_size AS string) END AS text", "CASE WHEN p_size % 3 = 0 THEN 'string' ELSE 'number' END AS kind", "false AS formula", "p_size % 2 = 0 AS bold"))
+    areas = parts.select("sheet").distinct().selectExpr("sheet AS area", "sheet", "1 AS top", "1 AS left", "40 AS bottom", "3 AS right")
+    merges = parts.where("p_size % 7 = 1").selectExpr("sheet", "row AS top", "2 AS left", "row AS bottom", "3 AS right")
+    return stacked(areas, cells, merges, "area", "sheet").selectExpr("area", "cast(top AS bigint) AS top", "cast(left AS bigint) AS left", "cast(bottom AS bigint) AS bottom", "cast(right AS bigint) AS right")
+
+
 def cell_page(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", F.create_map(F.lit(1), "p_name", F.lit(2), "p_type", F.lit(3), "p_brand").alias("cells"))
     return T.cell_page(rows, "p_partkey", "cells", 20, 60, [2, 3, 9]).select("p_partkey", F.array_join(F.array_sort(F.map_values("cells")), "|").alias("cells"))
@@ -77,7 +88,7 @@ def promoted_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LINES = "l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, max(l_quantity) AS l_quantity, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_orderkey, l_linenumber)"
-QUERIES = {f.__name__: f for f in (field_records, table_fragments, table_projection, table_previews, header_paths, cell_page, requested_cells, qualified_rows, promoted_blocks)}
+QUERIES = {f.__name__: f for f in (field_records, table_fragments, table_projection, table_previews, header_paths, stacked_tables, cell_page, requested_cells, qualified_rows, promoted_blocks)}
 ORACLES = {
     "field_records": """
 SELECT p_partkey, replace(p_name, ' ', '_') AS name, p_type AS type, p_size::VARCHAR AS length, CASE WHEN p_size > 25 THEN '1' ELSE '' END AS cardinality, 'about ' || p_name AS description FROM part""",
@@ -94,6 +105,12 @@ string_agg(array_to_string(c || c, '|'), chr(10) ORDER BY k) AS shown FROM r WHE
     "header_paths": """
 SELECT sheet, col, 'order / group ' || (col - (col + 1) % 2) || CASE WHEN col = 3 THEN '' ELSE ' / ' || c_name END AS path
 FROM (SELECT c_custkey // 7 AS sheet, (c_custkey % 7 + 1)::INT AS col, c_name FROM customer)""",
+    "stacked_tables": """
+WITH p AS (SELECT p_partkey // 40 AS area, p_partkey % 40 + 1 AS row, p_size % 3 = 0 AS head, p_size % 2 = 0 AS bold, p_size % 7 = 1 AS merged FROM part WHERE p_size % 5 <> 0),
+s AS (SELECT *, coalesce(row > lag(row) OVER w + 1, false) AND head AND (merged OR bold AND NOT coalesce(lead(head) OVER w, true)) AS starts FROM p WINDOW w AS (PARTITION BY area ORDER BY row)),
+k AS (SELECT *, count(*) FILTER (starts) OVER (PARTITION BY area ORDER BY row) AS t FROM s),
+g AS (SELECT area, t, CASE WHEN t = 0 THEN 1 ELSE min(row) END AS top, CASE WHEN bool_or(merged) THEN 3 ELSE 2 END AS "right" FROM k GROUP BY area, t)
+SELECT area, top::BIGINT AS top, 1::BIGINT AS "left", coalesce(lead(top) OVER (PARTITION BY area ORDER BY top) - 1, 40)::BIGINT AS bottom, "right"::BIGINT AS "right" FROM g""",
     "cell_page": "SELECT p_partkey, array_to_string(list_sort([p_type, p_brand]), '|') AS cells FROM part WHERE p_partkey BETWEEN 20 AND 60",
     "requested_cells": """
 WITH o AS (SELECT *, p_size % 4 <> 0 AND p_size % 7 <> 0 AND p_partkey * 900 BETWEEN 1 AND 1048576 AS ok FROM part)
