@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import knowledge as K
-from ..session import table
+from ..operators import located
+from ..session import settled, table
+from ..sources import sinks
 
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
 
@@ -70,9 +72,35 @@ def cited(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", K.citations(said).alias("text"))
 
 
+def verified_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Each document as a chunk, with hits on all its fragments; the first of German fragments points elsewhere, French documents changed since."""
+    docs = table(spark, d, "documents").groupBy("doc_id").agg(F.max_by("text", "text").alias("text"), F.max("lang").alias("lang"))
+    index, contents = located.indexed(docs, ["doc_id"], "text", 900)
+    german = docs.where("lang = 'de'").select("doc_id", F.lit(True).alias("bad"))
+    index = settled(index.join(german, "doc_id", "left").withColumn("hash", F.when(F.col("bad") & (F.col("ordinal") == 0), F.reverse("hash")).otherwise(F.col("hash"))).drop("bad"))
+    contents = settled(contents)
+    now = docs.select("doc_id", F.when(F.col("lang") == "fr", F.concat(F.lit("new "), "text")).otherwise(F.col("text")).alias("text"))
+    shown = located.hydrated(index.select("doc_id", "ordinal"), index, contents, now, ["doc_id"], "text")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "shown"))), lambda x: x["shown"]), "")
+    return shown.groupBy("doc_id", "basis").agg(F.md5(F.when(F.col("basis") == "fragment", whole).otherwise(F.max("shown")).cast("binary")).alias("digest"))
+
+
+def conditional_purge(spark: SparkSession, d: str) -> DataFrame:
+    """Errors were listed for purging; those of some users were restored meanwhile."""
+    rows = table(spark, d, "events").select("event_id", F.when((F.col("event_type") == "error") & (F.col("user_id") % 3 > 0), F.col("ts")).alias("deleted"))
+    listed = table(spark, d, "events").where("event_type = 'error' AND value > 10").select("event_id")
+    return sinks.purged(rows, listed, "event_id", "deleted").select("event_id")
+
+
+def cloned_sources(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", "source", F.lit("g1").alias("generation"))
+    chosen = table(spark, d, "documents").where("lang = 'es'").select("source")
+    return sinks.cloned(rows, "g1", "g2", "source", chosen)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (point_ids, unique_slugs, inherited_scope, tree_faults, proven_quotes, trash_retention, batch_receipts, outbox_due, token_runs, cited)
+    for f in (point_ids, unique_slugs, inherited_scope, tree_faults, proven_quotes, trash_retention, batch_receipts, outbox_due, token_runs, cited, verified_fragments, conditional_purge, cloned_sources)
 }
 
 _RUN = """list_transform(range(1, len({t}) - 6), lambda i: array_to_string({t}[i:i + 7], ' '))"""
@@ -99,5 +127,11 @@ FROM events WINDOW w AS (PARTITION BY user_id, ts::DATE ORDER BY event_id)""",
     "token_runs": f"""WITH t AS (SELECT doc_id, {_TOK.format(s="substr(text, 1, length(text) // 2)")} AS a,
 {_TOK.format(s="substr(text, length(text) // 2 + 1)")} AS b FROM documents)
 SELECT doc_id FROM t WHERE len(a) >= 8 AND len(b) >= 8 AND list_has_any({_RUN.format(t='a')}, {_RUN.format(t='b')})""",
+    "verified_fragments": """WITH d AS (SELECT doc_id, coalesce(max(text), '') AS text, max(lang) AS lang FROM documents GROUP BY doc_id),
+h AS (SELECT *, lang NOT IN ('de', 'fr') AS sound FROM d)
+SELECT doc_id, CASE WHEN sound THEN 'fragment' ELSE 'chunk' END AS basis, md5(CASE WHEN lang = 'fr' THEN 'new ' ELSE '' END || text) AS digest FROM h""",
+    "conditional_purge": "SELECT event_id FROM events WHERE NOT (event_type = 'error' AND user_id % 3 > 0 AND value > 10)",
+    "cloned_sources": """SELECT doc_id, source, 'g1' AS generation FROM documents
+UNION ALL SELECT doc_id, source, 'g2' FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'es')""",
     "cited": "SELECT p_partkey, 'see [' || p_size || '] and [' || p_size || '] [99]' AS text FROM part",
 }

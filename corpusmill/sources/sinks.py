@@ -56,3 +56,19 @@ def latest_of(spark: SparkSession, path: str, by: str = "version") -> DataFrame:
     """The rows of a partitioned table's greatest version."""
     table = spark.read.parquet(path)
     return table.where(F.col(by) == table.agg(F.max(by)).first()[0])
+
+
+def purged(rows: DataFrame, doomed: DataFrame, key: str, deleted: str) -> DataFrame:
+    """Rows without those of the doomed keys that are still deleted now: what was restored since the list was made stays, and so does
+    what isn't there. A null key dooms nothing."""
+    gone = doomed.select(F.col(key).alias("_doomed")).where("_doomed IS NOT NULL").distinct()
+    return rows.join(gone, (F.col(key) == F.col("_doomed")) & F.col(deleted).isNotNull(), "left_anti")
+
+
+def cloned(rows: DataFrame, base: str, generation: str, source: str, sources: DataFrame) -> DataFrame:
+    """All rows, and those of the base generation whose source is selected once more under the new generation; a generation that has rows
+    already gets none."""
+    chosen = sources.select(F.col(source).alias("_s")).distinct()
+    fresh = rows.where(F.col("generation") == base).join(chosen, F.col(source).eqNullSafe(F.col("_s")), "left_semi").withColumn("generation", F.lit(generation))
+    there = rows.where(F.col("generation") == generation).select("generation").limit(1)
+    return rows.unionByName(fresh.join(there, "generation", "left_anti"))
