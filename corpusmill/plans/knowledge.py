@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import knowledge as K
 from ..operators import located
+from ..operators.answers import answers
 from ..session import settled, table
 from ..sources import sinks
 
@@ -98,9 +99,15 @@ def cloned_sources(spark: SparkSession, d: str) -> DataFrame:
     return sinks.cloned(rows, "g1", "g2", "source", chosen)
 
 
+def recovered_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of an event's properties that break off in the third."""
+    cut = F.expr("concat('Answer: [', props, ', ', props, ', ', substring(props, 1, event_id % length(props)))")
+    return answers(table(spark, d, "events").select("event_id", cut.alias("said")), "event_id", "said")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (point_ids, unique_slugs, inherited_scope, tree_faults, proven_quotes, trash_retention, batch_receipts, outbox_due, token_runs, cited, verified_fragments, conditional_purge, cloned_sources)
+    for f in (point_ids, unique_slugs, inherited_scope, tree_faults, proven_quotes, trash_retention, batch_receipts, outbox_due, token_runs, cited, verified_fragments, conditional_purge, cloned_sources, recovered_answers)
 }
 
 _RUN = """list_transform(range(1, len({t}) - 6), lambda i: array_to_string({t}[i:i + 7], ' '))"""
@@ -130,6 +137,7 @@ SELECT doc_id FROM t WHERE len(a) >= 8 AND len(b) >= 8 AND list_has_any({_RUN.fo
     "verified_fragments": """WITH d AS (SELECT doc_id, coalesce(max(text), '') AS text, max(lang) AS lang FROM documents GROUP BY doc_id),
 h AS (SELECT *, lang NOT IN ('de', 'fr') AS sound FROM d)
 SELECT doc_id, CASE WHEN sound THEN 'fragment' ELSE 'chunk' END AS basis, md5(CASE WHEN lang = 'fr' THEN 'new ' ELSE '' END || text) AS digest FROM h""",
+    "recovered_answers": r"""SELECT event_id, 'recovered' AS status, '[' || p || ',' || p || ']' AS value FROM (SELECT event_id, regexp_replace(props, '\s', '', 'g') AS p FROM events)""",
     "conditional_purge": "SELECT event_id FROM events WHERE NOT (event_type = 'error' AND user_id % 3 > 0 AND value > 10)",
     "cloned_sources": """SELECT doc_id, source, 'g1' AS generation FROM documents
 UNION ALL SELECT doc_id, source, 'g2' FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'es')""",
