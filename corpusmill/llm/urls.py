@@ -4,7 +4,8 @@ A URL becomes a set of typed tokens; tokens that always stand together are mined
 or a confidence are dropped, and so are rules that a shorter rule with at least their confidence makes needless. An inverted
 index from token to rules finds the rules whose tokens a URL has in full; the surest of them gives the verdict.
 
-Null URLs and those without ``://`` have an empty host and path and no tokens, so they are allowed. Repeated URLs get
+The support is a share of the labelled rows at every size: of a few hundred rows one alone can make a rule. URLs of any length are read
+whole. Null URLs and those without ``://`` have an empty host and path and no tokens, so they are allowed. Repeated URLs get
 equal verdicts. Without labels, or without rules, all that no list decides is allowed. Columns of the result win over
 equal names.
 """
@@ -28,8 +29,6 @@ LIST = (
 #: Words of host names that label a page "block" where no list does.
 SEEDS = ("casino", "pills", "bets", "adult", "spam", "ads")
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.9
-#: MIN_SUPPORT of fewer than 1500 rows is less than this; what one or two rows alone have is no rule.
-LEAST_ROWS = 3
 #: At most about so many labelled rows are mined; which ones depends on the URL's hash alone.
 MOST_LABELLED = 500_000
 #: So many postings are broadcast at most; more are joined by shuffling.
@@ -79,9 +78,6 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         return spark.createDataFrame([], schema)
     share = min(1.0, most / n)
     rows = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else labelled
-    min_support = max(min_support, LEAST_ROWS / max(1.0, n * share))
-    if min_support > 1:
-        return spark.createDataFrame([], schema)
     rows = materialize(rows.select("tokens", "label", F.monotonically_increasing_id().alias("row")))
     alike = materialize(_alike(rows, min_support * rows.count()))
     members = alike.select("item", F.explode("tokens").alias("token"))

@@ -566,7 +566,7 @@ def test_one_version_with_two_vocabularies(spark, docs, tmp_path):
 
 URLS = [
     "https://A.Example.ORG/es/x", "http://example.org/en/12?q", "http://sub.example.org/en/2", "http://x.com/fr/1", "http://x.com/de/", "http://x.com/de", "http://org/",
-    "http://x.org", "http://notexample.org/es/", "nothing", "", None, "ftp://casino.net/a#b/c", "a://b://c.org/d", "http://x.com/fr/?a=/de/", "http://x.com:80/fr/", "http://ORG?x",
+    "http://x.org", "http://notexample.org/es/", "nothing", "", None, "ftp://cosine.net/a#b/c", "a://b://c.org/d", "http://x.com/fr/?a=/de/", "http://x.com:80/fr/", "http://ORG?x",
 ]
 
 
