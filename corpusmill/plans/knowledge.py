@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import knowledge as K
-from ..operators import located
+from ..operators import located, merges
 from ..operators.answers import answers
 from ..session import settled, table
 from ..sources import sinks
@@ -99,6 +99,18 @@ def cloned_sources(spark: SparkSession, d: str) -> DataFrame:
     return sinks.cloned(rows, "g1", "g2", "source", chosen)
 
 
+def merged_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Each part as a term that merges into the next one; the kind is chosen, small parts leave their description open."""
+    term = "named_struct('original_name', p_name, 'original_description', CASE WHEN p_size > 9 THEN p_type END, 'canonical_locale', 'en', 'kind', p_brand, 'infotype_number', cast(null AS string), 'enabled', p_size % 2 = 0, 'source_revision', 1L, 'version', p_partkey, 'aliases', array(named_struct('alias', upper(p_brand), 'locale', 'en', 'auto_expand', p_size % 2 = 0, 'search_enabled', true)))"
+    parts = table(spark, d, "part").selectExpr("p_partkey", f"{term} AS s")
+    pairs = parts.join(parts.selectExpr("p_partkey - 1 AS p_partkey", "s AS t"), "p_partkey").selectExpr("*", "map('kind', 'source') AS c", "cast(map() AS map<string,struct<locale:string,auto_expand:boolean,search_enabled:boolean>>) AS a")
+    got = merges.merged(pairs, "s", "t", "c", "a")
+    return got.select(
+        "p_partkey", "merged.original_name", "merged.original_description", "merged.kind", "merged.source_revision", "merged.version",
+        F.array_join(F.transform("merged.aliases", lambda x: x["alias"]), "|").alias("aliases"), F.array_join("unresolved", "|").alias("unresolved"),
+    )
+
+
 def recovered_answers(spark: SparkSession, d: str) -> DataFrame:
     """Lists of an event's properties that break off in the third."""
     cut = F.expr("concat('Answer: [', props, ', ', props, ', ', substring(props, 1, event_id % length(props)))")
@@ -107,7 +119,7 @@ def recovered_answers(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (point_ids, unique_slugs, inherited_scope, tree_faults, proven_quotes, trash_retention, batch_receipts, outbox_due, token_runs, cited, verified_fragments, conditional_purge, cloned_sources, recovered_answers)
+    for f in (point_ids, unique_slugs, inherited_scope, tree_faults, proven_quotes, trash_retention, batch_receipts, outbox_due, token_runs, cited, verified_fragments, conditional_purge, cloned_sources, recovered_answers, merged_terms)
 }
 
 _RUN = """list_transform(range(1, len({t}) - 6), lambda i: array_to_string({t}[i:i + 7], ' '))"""
@@ -138,6 +150,11 @@ SELECT doc_id FROM t WHERE len(a) >= 8 AND len(b) >= 8 AND list_has_any({_RUN.fo
 h AS (SELECT *, lang NOT IN ('de', 'fr') AS sound FROM d)
 SELECT doc_id, CASE WHEN sound THEN 'fragment' ELSE 'chunk' END AS basis, md5(CASE WHEN lang = 'fr' THEN 'new ' ELSE '' END || text) AS digest FROM h""",
     "recovered_answers": r"""SELECT event_id, 'recovered' AS status, '[' || p || ',' || p || ']' AS value FROM (SELECT event_id, regexp_replace(props, '\s', '', 'g') AS p FROM events)""",
+    "merged_terms": """WITH p AS (SELECT p_partkey AS k, p_name AS n, CASE WHEN p_size > 9 THEN p_type END AS d, p_brand AS b, p_size % 2 = 0 AS e, lower(p_brand) AS f FROM part)
+SELECT s.k AS p_partkey, t.n AS original_name, coalesce(t.d, s.d) AS original_description, s.b AS kind, (1 + (t.d IS NULL AND s.d IS NOT NULL)::INT)::BIGINT AS source_revision, t.k + 1 AS version,
+upper(t.b) || CASE WHEN s.f <> t.f THEN '|' || upper(s.b) ELSE '' END || CASE WHEN lower(s.n) <> lower(t.n) THEN '|' || s.n ELSE '' END AS aliases,
+concat_ws('|', CASE WHEN s.n <> t.n THEN 'original_name' END, CASE WHEN s.d <> t.d THEN 'original_description' END, CASE WHEN s.e <> t.e THEN 'enabled' END,
+CASE WHEN s.f = t.f AND s.e <> t.e THEN 'aliases[' || t.f || ']' END) AS unresolved FROM p s JOIN p t ON t.k = s.k + 1""",
     "conditional_purge": "SELECT event_id FROM events WHERE NOT (event_type = 'error' AND user_id % 3 > 0 AND value > 10)",
     "cloned_sources": """SELECT doc_id, source, 'g1' AS generation FROM documents
 UNION ALL SELECT doc_id, source, 'g2' FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'es')""",
