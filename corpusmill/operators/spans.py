@@ -11,6 +11,7 @@ import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import TOKEN
@@ -130,7 +131,11 @@ def spans(places: DataFrame, known: DataFrame, key: str) -> DataFrame:
     own = few(claims(known).where("can_trigger AND NOT shared").select("norm", "term_id", "form", "mode"))
     met = places.join(own, "norm").where((F.col("mode") == "identifier") & F.col("code") | (F.col("mode") == "phrase") & F.col("phrase"))
     row = F.struct((F.col("start") - F.col("end")).alias("o"), "start", "term_id", "norm", "form", "end", "matched")
-    gathered = met.groupBy(key).agg(F.array_sort(F.collect_set(row)).alias("c"))
+    # places that no chain of overlaps joins can't bar each other
+    along = W.partitionBy(key).orderBy("start", "end")
+    apart = F.col("start") >= F.coalesce(F.max("end").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    chained = met.withColumn("_apart", apart.cast("int")).withColumn("_chain", F.sum("_apart").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    gathered = chained.groupBy(key, "_chain").agg(F.array_sort(F.collect_set(row)).alias("c"))
     clear = lambda acc, x: ~F.exists(acc, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"]))
     taken = F.aggregate("c", F.filter("c", lambda x: F.lit(False)), lambda acc, x: F.when(clear(acc, x), F.concat(acc, F.array(x))).otherwise(acc))
     return gathered.select(key, F.inline(taken)).select(key, "term_id", "form", "start", "end", "matched")
