@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, column_number, for_tokens
+from ..functions.text import bound, column_number
 
 # Words of header cells that name a column, and the shape of names and row numbers.
 NAME_KEYS = ("поле", "элемент", "атрибут", "field", "element", "attribute", "feld", "имя", "наименован", "тег", "tag", "name")
@@ -17,7 +17,7 @@ TEXT_KEYS = ("описан", "description", "comment")
 FIELD_NAME = r"^[A-Za-zÀ-ÖØ-öø-žА-Яа-яЁё_][A-Za-zÀ-ÖØ-öø-žА-Яа-яЁё0-9_\-.]*$"
 ROW_NUMBER = r"^\d+(\.\d+)*$"
 QUOTE = r'\s*(?:«([^»]+)»|“([^”]+)”|"([^"]+)")'
-IDENTIFIER = r"(?U)([^\W\d_]{2,64})\s*(?:[:=#]\s*)?(?<![\w.,+-])([0-9]{3,12})(?!\w|[.,][0-9])"
+ROW_ASKED = r"(?iU)(?:строк[аеуи]|row)\s+([0-9]{1,7})(?![\w.,])"
 ROWS, COLUMNS = 1_048_576, 16_384
 PREVIEW_COLUMNS, PREVIEW_ROWS, PREVIEW_CHARS = 12, 3, 160
 
@@ -129,26 +129,12 @@ def requested_cell(asked: Column) -> Column:
     once = lambda pattern: F.regexp_count(asked, F.lit(pattern)) == 1
     first = lambda pattern, groups: F.coalesce(*[F.nullif(F.regexp_extract(asked, pattern, g), F.lit("")) for g in range(1, groups + 1)])
     sheet, named = r"(?iU)(?:лист(?:е|а)?|sheet)" + QUOTE, r"(?iU)(?:пол(?:е|я)|field)" + QUOTE
-    row, col = r"(?iU)(?:строк[аеуи]|row)\s+([0-9]{1,7})(?![\w.,])", r"(?iU)(?:колонк[аеуи]|столб(?:ец|це|ца)|column)\s+([A-Z]{1,3})(?!\w)"
+    row, col = ROW_ASKED, r"(?iU)(?:колонк[аеуи]|столб(?:ец|це|ца)|column)\s+([A-Z]{1,3})(?!\w)"
     n, c = first(row, 1).try_cast("int"), column_number(first(col, 1))
     whole = F.struct(first(sheet, 3).alias("sheet"), first(named, 3).alias("field"), n.alias("row"), c.alias("col"))
     return F.when(once(sheet) & once(named) & once(row) & once(col) & n.between(1, ROWS) & c.between(1, COLUMNS), whole)
 
 
-def qualifiers(queries: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, label, identifier): the numbers of a question, each behind the word that names its field; quoted text says nothing."""
-    plain = for_tokens(F.regexp_replace(F.coalesce(text, F.lit("")), r'«[^»]*»|“[^”]*”|"[^"]*"', " "))
-    pairs = F.arrays_zip(F.regexp_extract_all(plain, F.lit(IDENTIFIER), F.lit(1)).alias("label"), F.regexp_extract_all(plain, F.lit(IDENTIFIER), F.lit(2)).alias("identifier"))
-    return queries.select(key, F.explode(pairs).alias("_q")).select(key, "_q.label", "_q.identifier").distinct()
-
-
-def qualified_rows(asked: DataFrame, cells: DataFrame, key: str, row: list[str]) -> DataFrame:
-    """(key, row): rows of cells (row..., label, value) that hold every (label, identifier) of a question."""
-    need = asked.groupBy(key).agg(F.count("*").alias("_need"))
-    hits = asked.join(cells.withColumnRenamed("value", "identifier"), ["label", "identifier"]).select(key, *row, "label", "identifier").distinct()
-    return hits.groupBy(key, *row).agg(F.count("*").alias("_have")).join(need, key).where("_have = _need").select(key, *row)
-
-
 def promoted(blocks: DataFrame, key: str, place: str, complete: Column, has_table: Column) -> DataFrame:
     """Blocks with their new place: among the places of table blocks the complete ones come first, each group in its old order."""
     old = W.partitionBy(key, has_table).orderBy(place)

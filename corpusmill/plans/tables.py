@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import asked as A
 from ..operators import tables as T
 from ..operators.regions import stacked
 from ..session import table
@@ -77,10 +78,52 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qualified_rows(spark: SparkSession, d: str) -> DataFrame:
-    lines = _lines(spark, d)
-    queries = lines.where("l_orderkey % 20 = 0").selectExpr("l_orderkey * 10 + l_linenumber AS q", "concat('which ORDER ', l_orderkey + 1000, ' has part: ', l_partkey + 1000, ' and \"code 555\"') AS text")
-    cells = lines.select("l_orderkey", "l_linenumber", F.explode(F.map_from_arrays(F.array(F.lit("order"), F.lit("part")), F.array((F.col("l_orderkey") + 1000).cast("string"), (F.col("l_partkey") + 1000).cast("string")))).alias("label", "value"))
-    return T.qualified_rows(T.qualifiers(queries, "q", "text"), cells, "q", ["l_orderkey", "l_linenumber"])
+    """Orders as tables of the columns Order and Part; every twentieth asks for its lines by both numbers."""
+    lines = _lines(spark, d).withColumnRenamed("l_orderkey", "table").withColumnRenamed("l_linenumber", "row")
+    queries = lines.where("table % 20 = 0").selectExpr("table * 10 + row AS q", "0 AS scope", "concat('which ORDER ', table + 1000, ' has part: ', l_partkey + 1000, ' and \"code 555\"') AS text")
+    cells = lines.select("table", "row", F.posexplode(F.array((F.col("table") + 1000).cast("string"), (F.col("l_partkey") + 1000).cast("string"))).alias("index", "shown"))
+    tables = lines.select("table").distinct().selectExpr("table", "0 AS scope")
+    columns = tables.select("table", F.posexplode(F.array(F.array(F.lit("Order")), F.array(F.lit("Part")))).alias("index", "path"))
+    return A.identified_rows(queries, tables, columns, cells).selectExpr("q", "table AS l_orderkey", "row AS l_linenumber")
+
+
+def _sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as rows of two sheets for each brand."""
+    names = ["p_brand AS scope", "concat(p_brand, '/', p_size % 2) AS table", "concat(p_brand, ' s', p_size % 2) AS sheet"]
+    return table(spark, d, "part").selectExpr("p_partkey AS k", "p_name", "p_size", "p_partkey + 1 AS row", *names)
+
+
+def _columns(rows: DataFrame, *paths: list[str]) -> DataFrame:
+    listed = F.array(*[F.array(*map(F.lit, p)) for p in paths])
+    return rows.select("table").distinct().select("table", F.posexplode(listed).alias("index", "path")).withColumn("index", F.col("index") + 1)
+
+
+def field_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with labels that siblings, case endings, quotes and stray numbers change; the twin knows which are refused."""
+    rows = _sheets(spark, d)
+    codes = F.array((F.col("k") + 1000).cast("string"), (F.col("k") % 100 + 500).cast("string"), (F.col("k") + 3000).cast("string"))
+    cells = rows.select("table", "row", F.posexplode(codes).alias("index", "shown")).withColumn("index", F.col("index") + 1)
+    said = """CASE k % 8 WHEN 0 THEN concat('which part has Code ', k + 1000, '?') WHEN 1 THEN concat('что у кода: ', k + 3000)
+        WHEN 2 THEN concat('all with BE=', k % 100 + 500) WHEN 3 THEN concat('code ', k % 100 + 500) WHEN 4 THEN concat('total 555 for code ', k + 1000)
+        WHEN 5 THEN concat('code ', k + 1000, ' and 12.5 more') WHEN 6 THEN concat('code ', k + 1000, ' be # ', k % 100 + 500)
+        ELSE concat('code «total 999» ', k + 1000, ', be: ', k % 100 + 501) END AS text"""
+    tables = rows.select("table", "scope").distinct()
+    return A.identified_rows(rows.selectExpr("k AS q", "scope", said), tables, _columns(rows, ["Part", "Code"], ["Part", "Code BE"], ["Код"]), cells)
+
+
+def proven_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Each part's name asked for by sheet, field, row, column and code; some questions err, some cells are merged, missing or not stored."""
+    rows = _sheets(spark, d)
+    empty = F.col("k") % 10 == 3
+    name = F.struct(F.when(empty, "").otherwise(F.col("p_name")).alias("shown"), F.when(empty, "formula_missing").otherwise("value").alias("state"), F.when(empty, "=A1").alias("formula"))
+    plain = lambda c: F.struct(c.cast("string").alias("shown"), F.lit("value").alias("state"), F.lit(None).cast("string").alias("formula"))
+    cells = rows.select("table", "row", "k", F.posexplode(F.array(plain(F.col("k") + 1000), name, plain(F.col("p_size")))).alias("i", "c")).where("NOT (i = 1 AND k % 5 = 2)")
+    cells = cells.selectExpr("table", "row", "i + 1 AS index", "c.shown", "c.state", "nullif(c.shown, '') AS raw", "c.formula", "cast(null AS string) AS cached")
+    tables = rows.select("table", "scope", "sheet").distinct().selectExpr("*", "NOT table LIKE '%1/0' AS complete", "array(1) AS header_rows", "1 AS top", "1048576 AS bottom", "1 AS left", "3 AS right")
+    merges = rows.where("p_size % 7 = 0").selectExpr("table", "row AS top", "row AS bottom", "1 AS left", "2 AS right")
+    said = """concat('sheet "', lower(scope), '  S', p_size % 2, '" field «', CASE WHEN k % 5 = 1 THEN 'Size' ELSE 'name' END, '», row ', row, ' column B, code ', CASE WHEN k % 5 = 0 THEN k + 1001 ELSE k + 1000 END) AS text"""
+    columns = _columns(rows, ["Part", "Code"], ["Part", "Name"], ["Size"])
+    return A.proven_cells(rows.selectExpr("k AS q", "scope", said), tables, columns, cells, merges).select("q", "table", "row", "state", "shown")
 
 
 def promoted_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +131,7 @@ def promoted_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LINES = "l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, max(l_quantity) AS l_quantity, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY l_orderkey, l_linenumber)"
-QUERIES = {f.__name__: f for f in (field_records, table_fragments, table_projection, table_previews, header_paths, stacked_tables, cell_page, requested_cells, qualified_rows, promoted_blocks)}
+QUERIES = {f.__name__: f for f in (field_records, table_fragments, table_projection, table_previews, header_paths, stacked_tables, cell_page, requested_cells, qualified_rows, field_identifiers, proven_cells, promoted_blocks)}
 ORACLES = {
     "field_records": """
 SELECT p_partkey, replace(p_name, ' ', '_') AS name, p_type AS type, p_size::VARCHAR AS length, CASE WHEN p_size > 25 THEN '1' ELSE '' END AS cardinality, 'about ' || p_name AS description FROM part""",
@@ -118,6 +161,14 @@ SELECT p_partkey, CASE WHEN ok THEN p_brand END AS sheet, CASE WHEN ok THEN p_na
     "qualified_rows": f"""
 WITH {_LINES} SELECT q.l_orderkey * 10 + q.l_linenumber AS q, r.l_orderkey, r.l_linenumber FROM l q JOIN l r
 ON r.l_orderkey = q.l_orderkey AND r.l_partkey = q.l_partkey WHERE q.l_orderkey % 20 = 0""",
+    "field_identifiers": """
+WITH p AS (SELECT p_partkey AS k, p_brand AS s, p_brand || '/' || (p_size % 2) AS t, p_partkey % 100 AS be FROM part)
+SELECT k AS q, t AS "table", k + 1 AS row FROM p WHERE k % 8 IN (0, 1, 6)
+UNION ALL SELECT a.k, b.t, b.k + 1 FROM p a JOIN p b ON b.s = a.s AND b.be = a.be WHERE a.k % 8 = 2""",
+    "proven_cells": """
+SELECT p_partkey AS q, p_brand || '/' || (p_size % 2) AS "table", p_partkey + 1 AS row, CASE WHEN p_partkey % 5 = 2 THEN 'blank' WHEN p_partkey % 10 = 3 THEN 'formula_missing' ELSE 'value' END AS state,
+CASE WHEN p_partkey % 5 = 2 OR p_partkey % 10 = 3 THEN '' ELSE p_name END AS shown
+FROM part WHERE p_partkey % 5 > 1 AND p_size % 7 <> 0 AND NOT (p_brand LIKE '%1' AND p_size % 2 = 0) AND p_partkey + 1 > 1""",
     "promoted_blocks": f"""
 WITH {_LINES}, r AS (SELECT l_orderkey, l_linenumber, l_returnflag <> 'N' AS t,
   row_number() OVER (PARTITION BY l_orderkey, l_returnflag <> 'N' ORDER BY l_linenumber) AS old,
