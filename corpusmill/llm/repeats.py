@@ -336,8 +336,10 @@ def remove_repeats(docs: DataFrame, *, per_name: int, anchors: Anchors, describe
 
     describe(doc, texts, shared, g, parts) gives rows of PAYLOAD: kind 0 for resolve, kind 1 a verdict on g already.
     resolve(list of (g, data)) gives (g, verdict) pairs. cut(doc, known, texts, verdicts) gives the result as a table.
+    Rows without a doc_id take no part and are cut where they are, by no verdict.
     """
-    docs = docs.select("doc_id", "text")
+    unnamed = docs.where(F.col("doc_id").isNull()).select("doc_id", "text")
+    docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     groups, parts = sizes_for(docs, per_name)
     frames = packed(docs, groups)
     shared = shared_names(docs, anchors, groups, parts)
@@ -360,6 +362,11 @@ def remove_repeats(docs: DataFrame, *, per_name: int, anchors: Anchors, describe
         doc, known, texts = gathered(column(left, "frame"))
         return cut(doc, known, texts, [thaw(x) for x in column(right, "data")])
 
+    def pass_by(batches):
+        for batch in batches:
+            yield from cut(*texts_of(batch), []).to_batches()
+
     met = frames.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(meet, PAYLOAD)
     verdicts = met.groupBy("p").applyInArrow(judge, "g long, data binary")
-    return frames.groupBy("g").cogroup(verdicts.groupBy("g")).applyInArrow(finish, schema)
+    done = frames.groupBy("g").cogroup(verdicts.groupBy("g")).applyInArrow(finish, schema)
+    return done.unionByName(unnamed.mapInArrow(pass_by, schema))
