@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import all_tokens, bound
 from .catalogue import MOST_DEPTH, ancestry
+from .folds import folded
 
 TRASH_DAYS, CHAT_DAYS = 14, 90
 # Endings that the stem of a Russian word loses, the longest that fits, and the least that stays.
@@ -51,28 +53,33 @@ def set_entry(m: Column, key: str, value: Column) -> Column:
 
 
 def unique_slugs(rows: DataFrame, group: str, slug: str, order: str) -> DataFrame:
-    """In the order of a group, a slug that is taken gets the first free of ``-1``, ``-2``... behind it.
+    """In the order of a group, a slug that is taken gets the first free of ``-1``, ``-2``... behind it. Null slugs stay null.
 
-    A repeat's place among its equals is that number unless the name it makes is another row's; only groups where that
-    happens are gone through row by row.
+    A repeat's place among its equals is that number unless the name it makes is another row's. Such names differ in numbers at their
+    end alone, so only families of slugs that are equal without those, and where that happens, are gone through in order. The state is
+    the next number of each slug of a family.
     """
-    n = F.row_number().over(W.partitionBy(group, slug).orderBy(order)) - 1
-    numbered = rows.withColumn("_made", F.when(n > 0, F.concat_ws("-", F.col(slug), n.cast("string"))).otherwise(F.col(slug)))
-    clash = numbered.groupBy(group).agg((F.count_distinct("_made") < F.count("_made")).alias("_clash")).where("_clash").select(group)
     out = rows.columns
-
-    def walk(pdf):
-        used, made = set(), []
-        for base in pdf.sort_values(order, kind="stable")[slug]:
-            name, k = base, 1
-            while name in used:
-                name, k = f"{base}-{k}", k + 1
-            used.add(name)
-            made.append(name)
-        return pdf.sort_values(order, kind="stable").assign(**{slug: made})[out]
-
-    easy = numbered.join(clash, group, "left_anti").withColumn(slug, F.col("_made")).select(*out)
-    return easy.unionByName(rows.join(clash, group, "left_semi").select(*out).groupBy(group).applyInPandas(walk, rows.select(*out).schema))
+    family = F.struct(F.col(group).alias("g"), F.regexp_replace(slug, "(-[0-9]+)+$", "").alias("f"))
+    n = F.row_number().over(W.partitionBy(group, slug).orderBy(order)) - 1
+    made = F.when((n > 0) & F.col(slug).isNotNull(), F.concat_ws("-", F.col(slug), n.cast("string"))).otherwise(F.col(slug))
+    numbered = rows.withColumns({"_family": family, "_made": made})
+    clash = numbered.groupBy("_family").agg((F.count_distinct("_made") < F.count("_made")).alias("_clash")).where("_clash").select("_family")
+
+    def step(following: dict[str, int], base: str) -> list[tuple]:
+        before, _, number = base.rpartition("-")
+        taken = base in following or number.isdecimal() and number[0] != "0" and int(number) < following.get(before, 0)
+        k = following.setdefault(base, 1)
+        if not taken:
+            return [(base,)]
+        while f"{base}-{k}" in following:
+            k += 1
+        following[base] = k + 1
+        return [(f"{base}-{k}",)]
+
+    easy = numbered.join(clash, "_family", "left_anti").withColumn(slug, F.col("_made")).select(*out)
+    hard = folded(rows.withColumn("_family", family).join(clash, "_family", "left_semi"), "_family", [order, slug], [slug], [("_made", "string", pa.string())], dict, step)
+    return easy.unionByName(hard.withColumn(slug, F.col("_made")).select(*out))
 
 
 def tree_faults(edges: DataFrame, group: str, node: str, parent: str) -> DataFrame:

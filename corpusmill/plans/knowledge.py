@@ -23,6 +23,13 @@ def unique_slugs(spark: SparkSession, d: str) -> DataFrame:
     return K.unique_slugs(rows, "p_brand", "slug", "p_partkey")
 
 
+def slug_families(spark: SparkSession, d: str) -> DataFrame:
+    """Slugs of which some carry the numbers that repeats of others would get."""
+    end = "CASE p_size % 6 WHEN 0 THEN '-1' WHEN 1 THEN '-1-1' WHEN 2 THEN '-2' WHEN 3 THEN '-01' ELSE '' END"
+    rows = table(spark, d, "part").selectExpr("p_partkey", "p_brand", f"concat(substring_index(p_type, ' ', 1), {end}) AS slug")
+    return K.unique_slugs(rows, "p_brand", "slug", "p_partkey")
+
+
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     nations = table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), (F.col("n_nationkey") % 4 == 0).alias("flag"))
     regions = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent"), (F.col("r_regionkey") == 2).alias("flag"))
@@ -119,7 +126,7 @@ def recovered_answers(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (point_ids, unique_slugs, inherited_scope, tree_faults, proven_quotes, trash_retention, batch_receipts, outbox_due, token_runs, cited, verified_fragments, conditional_purge, cloned_sources, recovered_answers, merged_terms)
+    for f in (point_ids, unique_slugs, slug_families, inherited_scope, tree_faults, proven_quotes, trash_retention, batch_receipts, outbox_due, token_runs, cited, verified_fragments, conditional_purge, cloned_sources, recovered_answers, merged_terms)
 }
 
 _RUN = """list_transform(range(1, len({t}) - 6), lambda i: array_to_string({t}[i:i + 7], ' '))"""
@@ -129,6 +136,14 @@ ORACLES = {
 SELECT doc_id, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || printf('%02x', (('0x' || x[17:18])::INT & 63) | 128) || x[19:20] || '-' || x[21:32] AS point_id FROM h""",
     "unique_slugs": """SELECT p_partkey, p_brand, CASE WHEN n > 1 THEN s || '-' || (n - 1) ELSE s END AS slug FROM (SELECT p_partkey, p_brand, replace(p_type, ' ', '-') AS s,
 row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS n FROM part)""",
+    "slug_families": """
+WITH RECURSIVE b AS (SELECT p_partkey, p_brand, split_part(p_type, ' ', 1) AS f, split_part(p_type, ' ', 1) || CASE p_size % 6 WHEN 0 THEN '-1' WHEN 1 THEN '-1-1' WHEN 2 THEN '-2' WHEN 3 THEN '-01' ELSE '' END AS s FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, f ORDER BY p_partkey) AS i FROM b),
+w AS (SELECT p_partkey, p_brand, f, i, s AS slug, [s] AS used FROM r WHERE i = 1
+  UNION ALL SELECT p_partkey, p_brand, f, i, slug, list_append(used, slug) FROM (SELECT r.*, w.used,
+    list_filter(list_concat([r.s], list_transform(range(1, len(w.used) + 2), lambda k: r.s || '-' || k)), lambda n: NOT list_contains(w.used, n))[1] AS slug
+    FROM w JOIN r ON r.p_brand = w.p_brand AND r.f = w.f AND r.i = w.i + 1))
+SELECT p_partkey, p_brand, slug FROM w""",
     "inherited_scope": """SELECT 'r' || r_regionkey AS node, 0::BIGINT AS depth, r_regionkey = 2 AS inherited FROM region
 UNION ALL SELECT 'n' || n_nationkey, 1, n_nationkey % 4 = 0 OR n_regionkey = 2 FROM nation
 UNION ALL SELECT 'c' || c_custkey, 2, c_nationkey % 4 = 0 OR n_regionkey = 2 FROM customer JOIN nation ON c_nationkey = n_nationkey""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import uuid
 
 from pyspark.sql import functions as F
@@ -43,6 +44,22 @@ def test_slugs_stay_unique(spark):
         assert [r.slug for r in K.unique_slugs(rows, "doc", "slug", "i").orderBy("i").collect()] == want
 
 
+def test_slugs_against_brute_force(spark):
+    parts = ["a", "a-1", "a-2", "a-1-1", "a-01", "a-0", "-1", "", "b", "a-", "a--1", None]
+    rng = random.Random(3)
+    rows = [(g, rng.choice(parts), k) for k, g in enumerate(rng.choices(["d", "e", None], k=600))]
+    want, used = {}, {}
+    for g, base, k in rows:
+        seen, name, n = used.setdefault(g, set()), base, 1
+        while base is not None and name in seen:
+            name, n = f"{base}-{n}", n + 1
+        seen.add(name)
+        want[k] = name
+    df = spark.createDataFrame(rows, "doc string, slug string, i int")
+    assert {r.i: r.slug for r in K.unique_slugs(df.repartition(5), "doc", "slug", "i").collect()} == want
+    assert K.unique_slugs(df.limit(0), "doc", "slug", "i").count() == 0
+
+
 def test_trees(spark):
     edges = spark.createDataFrame([(1, "r", None, True), (1, "a", "r", None), (1, "b", "zz", False)], "g int, node string, parent string, flag boolean")
     assert tuple(K.tree_faults(edges, "g", "node", "parent").first()) == (1, 3, 0, 1, 1)
