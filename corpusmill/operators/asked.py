@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import all_tokens, for_tokens, normalise
-from ..session import few
+from ..session import few, settled
 from .tables import ROW_ASKED, requested_cell
 
 # Identifiers have 3 to 12 digits; a label of four letters or more may carry one of these vowels as a case ending.
@@ -112,7 +112,8 @@ def proven_cells(queries: DataFrame, tables: DataFrame, columns: DataFrame, cell
     (its own are tried against each table's). A cell that is not stored is blank. Where two tables, or two differing rows for one
     cell, answer alike, nothing is proven.
     """
-    told = queries.select("q", "scope", requested_cell(F.col("text")).alias("r"), F.regexp_replace("text", ROW_ASKED, " ").alias("text")).where("r IS NOT NULL")
+    told = queries.select("q", "scope", requested_cell(F.col("text")).alias("r"), F.regexp_replace("text", ROW_ASKED, " ").alias("text"))
+    told = settled(told).where("r IS NOT NULL")  # else each use of r computes it anew
     told = told.select("q", "scope", "text", normalise(F.col("r.sheet")).alias("_sheet"), normalise(F.col("r.field")).alias("_field"), F.col("r.row").alias("row"), F.col("r.col").alias("index"))
     fit = tables.where("complete AND size(header_rows) > 0").withColumn("_sheet", normalise(F.col("sheet")))
     inside = F.col("row").between(F.col("top"), F.col("bottom")) & F.col("index").between(F.col("left"), F.col("right")) & ~F.array_contains("header_rows", F.col("row"))
@@ -123,7 +124,7 @@ def proven_cells(queries: DataFrame, tables: DataFrame, columns: DataFrame, cell
     spans = merges.where("top <= bottom").select(F.col("table").alias("_table"), "top", "bottom", "left", "right", blocks).withColumnRenamed("_block", "_b")
     hidden = (F.col("table") == F.col("_table")) & (F.col("_block") == F.col("_b")) & F.col("row").between(F.col("top"), F.col("bottom")) & F.col("index").between(F.col("left"), F.col("right"))
     hidden &= (F.col("row") != F.col("top")) | (F.col("index") != F.col("left"))
-    placed = placed.join(spans, hidden, "left_anti").select("q", "table", "row", "index", "text")
+    placed = settled(placed.join(spans, hidden, "left_anti").select("q", "table", "row", "index", "text"))
 
     fields = field_tokens(columns)
     each = placed.select(F.struct("q", "table").alias("q"), F.col("table").alias("scope"), "text")

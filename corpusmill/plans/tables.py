@@ -123,7 +123,7 @@ def proven_cells(spark: SparkSession, d: str) -> DataFrame:
     merges = rows.where("p_size % 7 = 0").selectExpr("table", "row AS top", "row AS bottom", "1 AS left", "2 AS right")
     said = """concat('sheet "', lower(scope), '  S', p_size % 2, '" field «', CASE WHEN k % 5 = 1 THEN 'Size' ELSE 'name' END, '», row ', row, ' column B, code ', CASE WHEN k % 5 = 0 THEN k + 1001 ELSE k + 1000 END) AS text"""
     columns = _columns(rows, ["Part", "Code"], ["Part", "Name"], ["Size"])
-    return A.proven_cells(rows.selectExpr("k AS q", "scope", said), tables, columns, cells, merges).select("q", "table", "row", "state", "shown")
+    return A.proven_cells(rows.selectExpr("k AS q", "scope", said), tables, columns, cells, merges).select("q", "table", F.col("row").cast("long").alias("row"), "state", "shown")
 
 
 def promoted_blocks(spark: SparkSession, d: str) -> DataFrame:
