@@ -17,7 +17,7 @@ TEXT_KEYS = ("описан", "description", "comment")
 FIELD_NAME = r"^[A-Za-zÀ-ÖØ-öø-žА-Яа-яЁё_][A-Za-zÀ-ÖØ-öø-žА-Яа-яЁё0-9_\-.]*$"
 ROW_NUMBER = r"^\d+(\.\d+)*$"
 QUOTE = r'\s*(?:«([^»]+)»|“([^”]+)”|"([^"]+)")'
-ROW_ASKED = r"(?iU)(?:строк[аеуи]|row)\s+([0-9]{1,7})(?![\w.,])"
+ROW_ASKED = r"(?iU)(?:строк[аеуи]|row)\s+([0-9]+)(?![\w.,])"
 ROWS, COLUMNS = 1_048_576, 16_384
 PREVIEW_COLUMNS, PREVIEW_ROWS, PREVIEW_CHARS = 12, 3, 160
 

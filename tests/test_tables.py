@@ -57,3 +57,9 @@ def test_requested_cells_name_one_of_each(spark):
     ]
     df = spark.createDataFrame([(q,) for q, _ in cases], "q string").select(T.requested_cell(F.col("q")))
     assert [tuple(r[0]) if r[0] else None for r in df.collect()] == [want for _, want in cases]
+
+
+def test_rows_of_any_number_of_digits_are_asked_for(spark):
+    cases = ['sheet "S" field "F" row 18000000 column A row 5', 'sheet "S" field "F" row 99999999999 column A', 'sheet "S" field "F" row 1048577 column A']
+    df = spark.createDataFrame([(q,) for q in cases], "q string").select(T.requested_cell(F.col("q")))
+    assert [r[0] for r in df.collect()] == [None] * 3
