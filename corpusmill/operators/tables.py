@@ -124,15 +124,16 @@ def cell_page(rows: DataFrame, number: str, cells: str, first: int, last: int, c
     return rows.where(F.col(number).between(first, last)).withColumn(cells, F.map_filter(cells, lambda k, _: k.isin(*columns)))
 
 
-def requested_cell(asked: Column) -> Column:
-    """(sheet, field, row, col) of a question that names exactly one of each, with a row and a column that a sheet has; else null."""
+def requested_cell(asked: Column, rows: int | None = ROWS) -> Column:
+    """(sheet, field, row, col) of a question that names exactly one of each, with a row and a column that a sheet has; else null.
+    ``rows``: the last row of a sheet; None if the reader bounds rows by tables."""
     once = lambda pattern: F.regexp_count(asked, F.lit(pattern)) == 1
     first = lambda pattern, groups: F.coalesce(*[F.nullif(F.regexp_extract(asked, pattern, g), F.lit("")) for g in range(1, groups + 1)])
     sheet, named = r"(?iU)(?:лист(?:е|а)?|sheet)" + QUOTE, r"(?iU)(?:пол(?:е|я)|field)" + QUOTE
     row, col = ROW_ASKED, r"(?iU)(?:колонк[аеуи]|столб(?:ец|це|ца)|column)\s+([A-Z]{1,3})(?!\w)"
     n, c = first(row, 1).try_cast("int"), column_number(first(col, 1))
     whole = F.struct(first(sheet, 3).alias("sheet"), first(named, 3).alias("field"), n.alias("row"), c.alias("col"))
-    return F.when(once(sheet) & once(named) & once(row) & once(col) & n.between(1, ROWS) & c.between(1, COLUMNS), whole)
+    return F.when(once(sheet) & once(named) & once(row) & once(col) & (n.between(1, rows) if rows else n >= 1) & c.between(1, COLUMNS), whole)
 
 
 def promoted(blocks: DataFrame, key: str, place: str, complete: Column, has_table: Column) -> DataFrame:

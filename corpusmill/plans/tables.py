@@ -119,7 +119,7 @@ def proven_cells(spark: SparkSession, d: str) -> DataFrame:
     plain = lambda c: F.struct(c.cast("string").alias("shown"), F.lit("value").alias("state"), F.lit(None).cast("string").alias("formula"))
     cells = rows.select("table", "row", "k", F.posexplode(F.array(plain(F.col("k") + 1000), name, plain(F.col("p_size")))).alias("i", "c")).where("NOT (i = 1 AND k % 5 = 2)")
     cells = cells.selectExpr("table", "row", "i + 1 AS index", "c.shown", "c.state", "nullif(c.shown, '') AS raw", "c.formula", "cast(null AS string) AS cached")
-    tables = rows.select("table", "scope", "sheet").distinct().selectExpr("*", "NOT table LIKE '%1/0' AS complete", "array(1) AS header_rows", "1 AS top", "1048576 AS bottom", "1 AS left", "3 AS right")
+    tables = rows.groupBy("table", "scope", "sheet").agg(F.max("row").alias("bottom")).selectExpr("*", "NOT table LIKE '%1/0' AS complete", "array(1) AS header_rows", "1 AS top", "1 AS left", "3 AS right")
     merges = rows.where("p_size % 7 = 0").selectExpr("table", "row AS top", "row AS bottom", "1 AS left", "2 AS right")
     said = """concat('sheet "', lower(scope), '  S', p_size % 2, '" field «', CASE WHEN k % 5 = 1 THEN 'Size' ELSE 'name' END, '», row ', row, ' column B, code ', CASE WHEN k % 5 = 0 THEN k + 1001 ELSE k + 1000 END) AS text"""
     columns = _columns(rows, ["Part", "Code"], ["Part", "Name"], ["Size"])
