@@ -131,7 +131,7 @@ def requested_cell(asked: Column, rows: int | None = ROWS) -> Column:
     first = lambda pattern, groups: F.coalesce(*[F.nullif(F.regexp_extract(asked, pattern, g), F.lit("")) for g in range(1, groups + 1)])
     sheet, named = r"(?iU)(?:лист(?:е|а)?|sheet)" + QUOTE, r"(?iU)(?:пол(?:е|я)|field)" + QUOTE
     row, col = ROW_ASKED, r"(?iU)(?:колонк[аеуи]|столб(?:ец|це|ца)|column)\s+([A-Z]{1,3})(?!\w)"
-    n, c = first(row, 1).try_cast("int"), column_number(first(col, 1))
+    n, c = first(row, 1).try_cast("int"), column_number(F.upper(first(col, 1)))
     whole = F.struct(first(sheet, 3).alias("sheet"), first(named, 3).alias("field"), n.alias("row"), c.alias("col"))
     return F.when(once(sheet) & once(named) & once(row) & once(col) & (n.between(1, rows) if rows else n >= 1) & c.between(1, COLUMNS), whole)
 
