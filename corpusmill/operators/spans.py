@@ -21,6 +21,8 @@ from ..session import few, settled
 MOST_FORMS = 200_000
 # Terms of a plan, forms added for a term, tokens and characters added in all, characters of a query.
 MOST_TERMS, MOST_ADDED, MOST_TOKENS, MOST_CHARS, MOST_QUERY = 5, 4, 32, 768, 8192
+#: Places that a task holds before it hands them on.
+MOST_PLACES = 20_000
 #: Characters that join the parts of a code, and one that belongs to codes.
 JOINTS, SLASH = ".:-", "/"
 
@@ -78,6 +80,39 @@ def keyed(forms: DataFrame) -> DataFrame:
     return forms.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in forms.schema) + ", norm string").where("norm <> ''")
 
 
+def located(batches, forms: list[str], key: str, text: str):
+    """Record batches of the places of some forms in batches of texts, none of more than MOST_PLACES rows."""
+    import ahocorasick
+
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
+
+    def handed(batch, rows):
+        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        keys = batch.column(key).take(pa.array(columns[0], pa.int64()))
+        return pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True)]], names=[key, "norm", "start", "end", "matched", "phrase", "code"])
+
+    automaton = ahocorasick.Automaton()
+    for form in forms:
+        automaton.add_word(form, form)
+    automaton.make_automaton()
+    for batch in batches:
+        rows = []
+        for i, value in enumerate(batch.column(text)):
+            typed = value.as_py()
+            low, starts, ends = mapped(typed or "")
+            free: dict[str, int] = {}
+            for last, form in automaton.iter(low) if len(automaton) else ():
+                a, b = last + 1 - len(form), last + 1
+                if a < free.get(form, 0):
+                    continue
+                free[form] = b
+                rows.append((i, form, starts[a], ends[b - 1], typed[starts[a] : ends[b - 1]], *bounded(low, a, b)))
+                if len(rows) == MOST_PLACES:
+                    yield handed(batch, rows)
+                    rows = []
+        yield handed(batch, rows)
+
+
 def occurrences(queries: DataFrame, norms: DataFrame, key: str, text: str, most: int = MOST_FORMS) -> DataFrame:
     """(key, norm, start, end, matched, phrase, code): every place of every form (norm), from the left and each form's own places apart."""
     spark = queries.sparkSession
@@ -90,27 +125,7 @@ def occurrences(queries: DataFrame, norms: DataFrame, key: str, text: str, most:
         held = spark.sparkContext.broadcast([r.norm for r in found.where(dealt == k).collect()])  # about ``most`` forms
 
         def run(batches, held=held):
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for form in held.value:
-                automaton.add_word(form, form)
-            automaton.make_automaton()
-            for batch in batches:
-                rows = []
-                for i, typed in enumerate(batch.column(text).to_pylist()):
-                    low, starts, ends = mapped(typed or "")
-                    free: dict[str, int] = {}
-                    for last, form in automaton.iter(low) if len(automaton) else ():
-                        a, b = last + 1 - len(form), last + 1
-                        if a < free.get(form, 0):
-                            continue
-                        free[form] = b
-                        rows.append((i, form, starts[a], ends[b - 1], typed[starts[a] : ends[b - 1]], *bounded(low, a, b)))
-                columns = list(zip(*rows, strict=True)) or [[]] * 7
-                keys = batch.column(key).take(pa.array(columns[0], pa.int64()))
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True)]], names=[key, "norm", "start", "end", "matched", "phrase", "code"])
+            yield from located(batches, held.value, key, text)
 
         passes.append(queries.select(key, text).mapInArrow(run, f"`{key}` {kind}, norm string, start long, end long, matched string, phrase boolean, code boolean"))
     out = passes[0]

@@ -191,3 +191,14 @@ def test_recommended_scope(spark):
             rest = [k for k in rest if stays(k)]
         for k in own:
             assert got[d, k] == (k in rest, gone.get(k, "small" if k in rest else "ancestor_excluded")), (d, k)
+
+
+def test_places_are_handed_on_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(spans, "MOST_PLACES", 7)
+    batch = pa.RecordBatch.from_pydict({"q": [1, 2, 3, 4], "t": ["ab cd " * 20, None, "", "cd"]})
+    got = list(spans.located(iter([batch]), ["ab", "cd"], "q", "t"))
+    assert max(b.num_rows for b in got) == 7
+    rows = [r for b in got for r in zip(*[b.column(c).to_pylist() for c in ("q", "norm", "start")], strict=True)]
+    assert rows == [(1, ("ab", "cd")[k % 2], 3 * k) for k in range(40)] + [(4, "cd", 0)]
