@@ -172,7 +172,13 @@ def plans(queries: DataFrame, known: DataFrame, key: str, text: str) -> DataFram
     there = places.select(key, "norm", "phrase", "code").distinct().join(few(known.select("norm", "mode").distinct()), "norm").where((F.col("mode") == "identifier") & F.col("code") | (F.col("mode") == "phrase") & F.col("phrase"))
     there = there.select(key, "norm").distinct().withColumn("there", F.lit(True))
     listed = terms.select(key, F.posexplode("terms").alias("place", "t")).select(key, "place", "t.term_id")
-    shown = listed.join(few(known.where("can_search").select("term_id", "form", "norm")), "term_id", "left").join(there, [key, "norm"], "left").where("there IS NULL OR norm IS NULL")
+    searched = known.where("can_search").select("term_id", "form", "norm")
+    shown = listed.where(F.col("place") < MOST_TERMS).join(few(searched), "term_id", "left").join(there, [key, "norm"], "left").where("there IS NULL OR norm IS NULL").select(key, "place", "term_id", "form", "norm")
+    # of terms past the last one taken no form is added: one row each says that something was left out
+    total = searched.groupBy("term_id").agg(F.count_distinct("norm").alias("_all"))
+    held = there.join(few(searched.select("term_id", "norm").distinct()), "norm").groupBy(key, "term_id").agg(F.count("*").alias("_held"))
+    past = listed.where(F.col("place") >= MOST_TERMS).join(few(total), "term_id", "left").join(held, [key, "term_id"], "left").where("_all IS NULL OR coalesce(_held, 0) < _all")
+    shown = shown.unionByName(past.select(key, "place", "term_id", F.lit(None).cast("string").alias("form"), F.lit(None).cast("string").alias("norm")))
     row = F.struct("place", "term_id", "form", "norm")
     offered = shown.groupBy(key).agg(F.array_sort(F.collect_set(row)).alias("offered"))
     tokens = lambda f: F.size(F.regexp_extract_all(F.lower(f), F.lit(TOKEN), F.lit(1)))

@@ -204,6 +204,13 @@ def test_places_are_handed_on_in_bounded_batches(monkeypatch):
     assert rows == [(1, ("ab", "cd")[k % 2], 3 * k) for k in range(40)] + [(4, "cd", 0)]
 
 
+def test_terms_past_the_last_one_are_noted_once(spark):
+    known = spark.createDataFrame([(k, f, "phrase", True, True) for k in range(1, 9) for f in ([f"w{k}"] if k == 7 else [f"w{k}", f"x{k}", f"y{k}"])] + [(9, "w9", "phrase", True, False)], "term_id long, form string, mode string, can_trigger boolean, can_search boolean")
+    asked = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(1, 10))), (2, " ".join(f"w{k}" for k in range(1, 7)) + " x6 y6")], "q long, t string")
+    got = {r.q: [(s.term_id, s.reason) for s in r.skipped] for r in spans.plans(asked, known, "q", "t").collect()}
+    assert got == {1: [(k, "max_terms_per_query") for k in (6, 8, 9)], 2: []}
+
+
 def test_equal_areas_and_cuts_are_cut_once(spark, monkeypatch):
     from corpusmill.operators import areas as R
 
