@@ -71,3 +71,12 @@ def test_scopes(spark):
     parts = F.transform("parts", lambda p: F.struct(p["id"].alias("id"), p["verified"].alias("verified"), F.lit("document").alias("scope")))
     assert [r.id for r in blocks.where(S.proven(block, parts, ["id"], "exclude")).collect()] == [1]
     assert blocks.where(S.proven(block, parts, ["id"], "all")).count() == 5
+
+
+def test_repeated_cells_each_meet_all_ranges_of_their_place(spark):
+    from corpusmill.operators import scopes
+
+    cells = spark.createDataFrame([(k, s, r, c) for k, (s, r, c) in enumerate([(1, 2, 3)] * 4 + [(1, 2, 9), (2, 2, 3), (None, 2, 3)])], "k int, sheet int, row int, col int")
+    merges = spark.createDataFrame([(1, 1, 3, 2, 3, 10), (1, 2, 2, 3, 4, 11), (2, 5, 6, 3, 3, 12)], "sheet int, top int, bottom int, left int, right int, merge_id int")
+    got = scopes.merged(cells, merges).select("k", "merge_id").collect()
+    assert sorted(map(tuple, got)) == [(k, m) for k in range(4) for m in (10, 11)]
