@@ -210,7 +210,8 @@ def recommended(nodes: DataFrame, keys: list[str], node: str, parent: str, barre
     turns = ancestor_least(ranked, keys, "node", "parent", "turn").withColumnRenamed("least", "goes")
     placed = ranked.join(turns, [*keys, "node"])
     each = placed.groupBy(*keys, "goes").agg(*[F.sum(c).alias(c) for c in metrics])
-    later = W.partitionBy(*keys).orderBy("goes").rowsBetween(1, W.unboundedFollowing)
+    # later turns stand in front here: a frame up to the end is summed anew for each row, one from the start is carried on
+    later = W.partitionBy(*keys).orderBy(F.desc("goes")).rowsBetween(W.unboundedPreceding, -1)
     fits = reduce(and_, [F.coalesce(F.sum(c).over(later), F.lit(0)) < limit for c, limit in metrics.items()])
     whole = reduce(and_, [F.sum(c) < limit for c, limit in metrics.items()])
     last = each.withColumn("fits", fits).groupBy(*keys).agg(F.min(F.when(F.col("fits"), F.col("goes"))).alias("last"), F.when(whole, 0).alias("none"))

@@ -80,3 +80,16 @@ def test_repeated_cells_each_meet_all_ranges_of_their_place(spark):
     merges = spark.createDataFrame([(1, 1, 3, 2, 3, 10), (1, 2, 2, 3, 4, 11), (2, 5, 6, 3, 3, 12)], "sheet int, top int, bottom int, left int, right int, merge_id int")
     got = scopes.merged(cells, merges).select("k", "merge_id").collect()
     assert sorted(map(tuple, got)) == [(k, m) for k in range(4) for m in (10, 11)]
+
+
+def test_a_scope_of_many_turns_takes_no_frame_up_to_the_end(spark):
+    from corpusmill.operators import scopes
+
+    rows = [("g", f"n{k}", None, None, 1 + k % 3) for k in range(40)] + [("g", "m", "n7", "barred", 1)]
+    nodes = spark.createDataFrame(rows, "g string, node string, parent string, why string, rows int")
+    out = scopes.recommended(nodes, ["g"], "node", "parent", "why", {"rows": 30})
+    order = sorted(rows[:-1], key=lambda r: (-r[4], r[1]))
+    stays = [r[1] for k, r in enumerate(order) if sum(x[4] for x in order[k:]) < 30]
+    assert sorted(r.node for r in out.where("included").collect()) == sorted(stays)
+    # such a frame is summed anew for each row: squared in the rows of a group
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
