@@ -88,6 +88,35 @@ def test_dense_against_brute_force(spark, monkeypatch, numbers):
     assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] and np.allclose([s for _, s in got[q]], [s for _, s in want[q]]) for q in want)
 
 
+def test_dense_holds_few_products_at_once(monkeypatch):
+    import pyarrow as pa
+
+    made = []
+
+    class Watched(np.ndarray):
+        def __matmul__(self, other):
+            made.append(len(self) * other.shape[1])
+            return np.asarray(self) @ np.asarray(other)
+
+    monkeypatch.setattr(retrieval, "PASS_CELLS", 64)
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (50, 4)).astype(float)
+    x[:, 0] += 0.5
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    class Sent:
+        value = (pa.array(range(0, 50, 5)), unit[::5].view(Watched))
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["k", "v"])
+    got = pa.Table.from_batches(retrieval._best_of(Sent, "k", 7, True)([batch.slice(0, 31), batch.slice(31)])).to_pylist()
+    want = []
+    for q in range(0, 50, 5):
+        scored = sorted((-round(float(unit[q] @ unit[i]), 6) + 0.0, i) for i in range(50) if i != q)
+        want += [(q, i, round(-s, 6)) for s, i in scored[:7]]
+    assert sorted((r["query_id"], r["k"], round(r["score"], 6)) for r in got) == sorted(want)
+    assert max(made) <= 64
+
+
 def test_locales(spark):
     df = spark.createDataFrame([("en",), ("de",), (None,)], "l string")
     assert catalogue.in_locales(F.col("l"), [], False) is None
