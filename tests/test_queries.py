@@ -41,3 +41,9 @@ def test_query(spark, duck, name):
     assert sorted(rel.columns) == order
     at = [rel.columns.index(c) for c in order]
     assert sorted(tuple(plain(r[i]) for i in at) for r in rel.fetchall()) == got
+
+
+def test_distinct_parts_are_counted_without_a_sketch_for_each(spark):
+    plan = QUERIES["approx_distinct"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    sketched = [line for line in plan.splitlines() if "approx_count_distinct" in line and "Aggregate(" in line]
+    assert sketched and not any("l_partkey" in line.split("functions=")[0] for line in sketched)
