@@ -13,6 +13,8 @@ SLOTS, SHINGLE = 128, 5
 BANDS = {"strict": (8, 16), "loose": (16, 8)}
 LEVEL2, LEVEL3 = 0.88, 0.71
 PRIME = (1 << 31) - 1
+#: Signatures that a task gives back at once, and shingles that it takes at once.
+BATCH, STEP = 1024, 1024
 
 
 def slope(i: int) -> int:
@@ -29,25 +31,35 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
 
 def signatures(docs: DataFrame, slots: int = SLOTS, n: int = SHINGLE) -> DataFrame:
     """(doc_id, content_hash, sig): the least (a * base + b) mod p of each slot; sig is empty for texts without tokens."""
+    base = F.transform(shingles(F.col("text"), n), lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 7), 16, 10).cast("long"))
+    rows = docs.select("doc_id", content_hash(F.col("text")).alias("content_hash"), F.array_distinct(base).alias("base"))
+    return rows.mapInArrow(_signed(slots), "doc_id long, content_hash string, sig array<long>")
+
+
+def _signed(slots: int):
+    """A task's work in ``signatures``: from the hashes of shingles, one text at a time, BATCH of them given back at once."""
     a = np.array([slope(i) for i in range(slots)], dtype=np.int64)
     b = np.array([shift(i) for i in range(slots)], dtype=np.int64)
 
-    def one(bases: np.ndarray) -> list[int]:
+    def one(base: np.ndarray) -> np.ndarray:
         best = np.full(slots, PRIME, dtype=np.int64)
-        for k in range(0, len(bases), 4096):
-            best = np.minimum(best, ((bases[k : k + 4096, None] * a + b) % PRIME).min(axis=0))
-        return best.tolist() if len(bases) else []
+        for k in range(0, len(base), STEP):
+            best = np.minimum(best, ((base[k : k + STEP, None] * a + b) % PRIME).min(axis=0))
+        return best
 
     def run(batches):
         for batch in batches:
-            bases = batch.column("base")
-            at, flat = bases.offsets.to_numpy(), bases.values.to_numpy(zero_copy_only=False)
-            sigs = [one(flat[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content_hash"), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "content_hash", "sig"])
-
-    base = F.transform(shingles(F.col("text"), n), lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 7), 16, 10).cast("long"))
-    rows = docs.select("doc_id", content_hash(F.col("text")).alias("content_hash"), F.array_distinct(base).alias("base"))
-    return rows.mapInArrow(run, "doc_id long, content_hash string, sig array<long>")
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                bases = part.column("base")
+                cuts, every = bases.offsets.to_numpy(), bases.values.to_numpy(zero_copy_only=False)
+                sigs = [one(every[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i]
+                ends = np.cumsum(np.r_[0, (np.diff(cuts) > 0) * slots]).astype(np.int32)
+                flat = np.concatenate([np.empty(0, dtype=np.int64), *sigs])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content_hash"), lists], names=["doc_id", "content_hash", "sig"])
+
+    return run
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:

@@ -117,6 +117,19 @@ def test_dense_holds_few_products_at_once(monkeypatch):
     assert max(made) <= 64
 
 
+def test_signatures_come_in_small_batches_and_are_right():
+    import pyarrow as pa
+
+    bases = [[], [0], [7, (1 << 28) - 1], list(range(1, 3000, 7)), list(range((1 << 28) - 600, 1 << 28)), []] * 400
+    n = len(bases)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["h"] * n), pa.array(bases, pa.list_(pa.int64()))], names=["doc_id", "content_hash", "base"])
+    out = list(dedup._signed(8)([batch]))
+    assert max(b.num_rows for b in out) <= dedup.BATCH < n
+    got = [s for b in out for s in b.column("sig").to_pylist()]
+    want = [[min((dedup.slope(i) * x + dedup.shift(i)) % dedup.PRIME for x in base) for i in range(8)] if base else [] for base in bases[:6]]
+    assert got == want * 400
+
+
 def test_locales(spark):
     df = spark.createDataFrame([("en",), ("de",), (None,)], "l string")
     assert catalogue.in_locales(F.col("l"), [], False) is None
