@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import knowledge as K
 from ..operators import located, merges
 from ..operators.answers import answers
-from ..session import settled, table
+from ..session import few, settled, table
 from ..sources import sinks
 
 NAMESPACE = "6ba7b810-9dad-11d1-80b4-00c04fd430c8"
@@ -82,15 +82,25 @@ def cited(spark: SparkSession, d: str) -> DataFrame:
 
 def verified_fragments(spark: SparkSession, d: str) -> DataFrame:
     """Each document as a chunk, with hits on all its fragments; the first of German fragments points elsewhere, French documents changed since."""
-    docs = table(spark, d, "documents").groupBy("doc_id").agg(F.max_by("text", "text").alias("text"), F.max("lang").alias("lang"))
+    docs = _one_each(table(spark, d, "documents").select("doc_id", "text", "lang"))
     index, contents = located.indexed(docs, ["doc_id"], "text", 900)
     german = docs.where("lang = 'de'").select("doc_id", F.lit(True).alias("bad"))
     index = settled(index.join(german, "doc_id", "left").withColumn("hash", F.when(F.col("bad") & (F.col("ordinal") == 0), F.reverse("hash")).otherwise(F.col("hash"))).drop("bad"))
-    contents = settled(contents)
     now = docs.select("doc_id", F.when(F.col("lang") == "fr", F.concat(F.lit("new "), "text")).otherwise(F.col("text")).alias("text"))
     shown = located.hydrated(index.select("doc_id", "ordinal"), index, contents, now, ["doc_id"], "text")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "shown"))), lambda x: x["shown"]), "")
-    return shown.groupBy("doc_id", "basis").agg(F.md5(F.when(F.col("basis") == "fragment", whole).otherwise(F.max("shown")).cast("binary")).alias("digest"))
+    # a fragment's text is kept, of a whole chunk, which each of its hits shows, the digest
+    kept = F.when(F.col("basis") == "fragment", F.struct("ordinal", "shown"))
+    rows = shown.select("doc_id", "basis", kept.alias("kept"), F.when(F.col("basis") != "fragment", F.md5(F.col("shown").cast("binary"))).alias("other"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("kept")), lambda x: x["shown"]), "")
+    return rows.groupBy("doc_id", "basis").agg(F.coalesce(F.max("other"), F.when(F.col("basis") == "fragment", F.md5(whole.cast("binary")))).alias("digest"))
+
+
+def _one_each(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, lang): the greatest text and language of each id. Only rows whose id occurs again are brought together."""
+    again = few(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    merged = docs.join(again, same, "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("lang").alias("lang"))
+    return docs.join(again, same, "left_anti").unionByName(merged)
 
 
 def conditional_purge(spark: SparkSession, d: str) -> DataFrame:

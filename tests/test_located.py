@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from corpusmill.operators import located
+from corpusmill.session import settled
 from corpusmill.sources import sinks
 
 TEXTS = [(1, "abcdefghij" * 3), (2, "é" * 21), (3, ""), (4, None), (5, "abcdefghij"), (6, "to change"), (7, "to go")]
@@ -58,3 +61,30 @@ def test_purge_and_clone(spark):
     once = sinks.cloned(table, "g1", "g2", "source", chosen)
     assert sorted(r.id for r in once.where("generation = 'g2'").collect()) == [1, 2] and once.count() == 6
     assert sinks.cloned(once, "g1", "g2", "source", chosen).count() == 6
+
+
+def shuffled(spark, rows) -> int:
+    """Bytes that working out these rows shuffles."""
+    sc = spark.sparkContext
+    none, some = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(some(), False, False, none, some())
+        return {s.stageId(): s.shuffleWriteBytes() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    rows.write.format("noop").mode("overwrite").save()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_texts_move_once_whatever_the_number_of_hits(spark):
+    text = "".join(hashlib.sha512(str(k).encode()).hexdigest() for k in range(3000))
+    chunks = spark.createDataFrame([(1, text), (2, text[::-1])], "doc int, text string")
+    index, contents = (settled(x) for x in located.indexed(chunks, ["doc"], "text", 1000))
+    now = settled(chunks.withColumn("text", F.when(F.col("doc") == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text"))))
+    shown = located.hydrated(index.select("doc", "ordinal"), index, contents, now, ["doc"], "text")
+    assert shuffled(spark, shown.select("doc", "basis", F.length("shown"))) < 3 * len(text)
+    assert {(r.doc, r.basis): r["count"] for r in shown.groupBy("doc", "basis").count().collect()} == {(1, "fragment"): 384, (2, "chunk"): 384}
+    whole = shown.where("doc = 1").orderBy("ordinal").collect()
+    assert "".join(r.shown for r in whole) == text
