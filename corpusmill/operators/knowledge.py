@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import all_tokens, bound
+from ..functions.text import TEXTS, Numbers, all_tokens, bound, for_tokens, words
 from .catalogue import MOST_DEPTH, ancestry
 from .folds import folded
 
@@ -142,3 +145,20 @@ def test_vector(text: Column, width: int = 16) -> Column:
     at = lambda t: F.pmod(F.conv(F.substring(F.md5(t.cast("binary")), 1, 7), 16, 10).cast("long"), F.lit(width)).cast("int")
     counts = bound(F.transform(all_tokens(text), at), lambda s: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double")))
     return bound(counts, lambda v: bound(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0))))
+
+
+def test_vectors(docs: DataFrame, key: str, text: str, width: int = 16) -> DataFrame:
+    """(key, embedding): ``test_vector`` of every text; tasks hash a word once."""
+    rows = docs.select(key, for_tokens(F.col(text)).alias("_text"))
+
+    def run(batches):
+        places = Numbers(lambda t: int(hashlib.md5(t.encode()).hexdigest()[:7], 16) % width)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                n = np.array([np.bincount(places.of(words(t)), minlength=width) for t in part.column("_text").to_pylist()], dtype=np.float64)
+                size = np.sqrt((n * n).sum(axis=1, keepdims=True))
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, n.size + 1, width, dtype=np.int32)), pa.array((n / np.where(size > 0, size, 1)).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(key), vectors], names=[key, "embedding"])
+
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, embedding array<double>")

@@ -74,3 +74,9 @@ def test_vectors(spark):
 def test_regions(spark):
     cells = spark.createDataFrame([("s", 1, c) for c in (1, 2, 3, 6, 7)], "sheet string, row int, col int")
     assert sorted((r["first"], r["last"]) for r in C.regions(cells).collect()) == [(1, 3), (6, 7)]
+
+
+def test_vectors_of_tasks_are_those_of_columns(spark):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, ""), (3, None), (4, "Straße ёлка x İs"), (None, "z")], "id int, text string")
+    want = [(r.id, r.v) for r in docs.select("id", K.test_vector(F.col("text")).alias("v")).collect()]
+    assert [(r.id, r.embedding) for r in K.test_vectors(docs, "id", "text").collect()] == want
