@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import all_tokens, content_hash, ngrams
+from ..functions.text import all_tokens, content_hash, for_tokens, ngrams, words
 
 SLOTS, SHINGLE = 128, 5
 BANDS = {"strict": (8, 16), "loose": (16, 8)}
 LEVEL2, LEVEL3 = 0.88, 0.71
 PRIME = (1 << 31) - 1
 #: Signatures that a task gives back at once, and shingles that it takes at once.
-BATCH, STEP = 1024, 1024
+BATCH, STEP = 1024, 256
 
 
 def slope(i: int) -> int:
@@ -31,9 +33,36 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
 
 def signatures(docs: DataFrame, slots: int = SLOTS, n: int = SHINGLE) -> DataFrame:
     """(doc_id, content_hash, sig): the least (a * base + b) mod p of each slot; sig is empty for texts without tokens."""
-    base = F.transform(shingles(F.col("text"), n), lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 7), 16, 10).cast("long"))
-    rows = docs.select("doc_id", content_hash(F.col("text")).alias("content_hash"), F.array_distinct(base).alias("base"))
-    return rows.mapInArrow(_signed(slots), "doc_id long, content_hash string, sig array<long>")
+    rows = docs.select("doc_id", content_hash(F.col("text")).alias("content_hash"), for_tokens(F.col("text")).alias("text"))
+    hashed, signed = _hashed(n), _signed(slots)
+    return rows.mapInArrow(lambda batches: signed(hashed(batches)), "doc_id long, content_hash string, sig array<long>")
+
+
+def bases(text: str, n: int) -> np.ndarray:
+    """The first 28 bits of the MD5 of each of a text's ``shingles``, each once."""
+    found = [w.encode() for w in words(text)]
+    if not found:
+        return np.empty(0, dtype=np.int64)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1)
+    first, last = [0, *ends[: max(len(found) - n, 0)].tolist()], (ends[min(n, len(found)) - 1 :] - 1).tolist()
+    digests = b"".join([md5(joined[i:j]).digest() for i, j in zip(first, last, strict=True)])
+    return np.unique(np.frombuffer(digests, dtype=">u4")[::4].astype(np.int64) >> 4)
+
+
+def _hashed(n: int):
+    """A task's first step in ``signatures``: the hashes of shingles, of BATCH texts at once."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                every = [bases(t, n) for t in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, every)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(every)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("content_hash"), lists], names=["doc_id", "content_hash", "base"])
+
+    return run
 
 
 def _signed(slots: int):
@@ -41,18 +70,29 @@ def _signed(slots: int):
     a = np.array([slope(i) for i in range(slots)], dtype=np.int64)
     b = np.array([shift(i) for i in range(slots)], dtype=np.int64)
 
-    def one(base: np.ndarray) -> np.ndarray:
-        best = np.full(slots, PRIME, dtype=np.int64)
-        for k in range(0, len(base), STEP):
-            best = np.minimum(best, ((base[k : k + STEP, None] * a + b) % PRIME).min(axis=0))
-        return best
-
     def run(batches):
+        held, over = (np.empty((STEP, slots), dtype=np.int64) for _ in range(2))
+
+        def one(base: np.ndarray) -> np.ndarray:
+            best = np.full(slots, PRIME, dtype=np.int64)
+            for k in range(0, len(base), STEP):
+                part = base[k : k + STEP, None]
+                x, y = held[: len(part)], over[: len(part)]
+                np.add(np.multiply(part, a, out=x), b, out=x)
+                # modulo 2^31 - 1 the higher bits count once more; what is left is below twice the prime
+                np.right_shift(x, 31, out=y)
+                np.add(np.bitwise_and(x, PRIME, out=x), y, out=x)
+                np.subtract(x, PRIME, out=y)
+                low = x.view(np.uint64)
+                np.minimum(low, y.view(np.uint64), out=low)  # a negative one is large there
+                np.minimum(best, x.min(axis=0), out=best)
+            return best
+
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                bases = part.column("base")
-                cuts, every = bases.offsets.to_numpy(), bases.values.to_numpy(zero_copy_only=False)
+                found = part.column("base")
+                cuts, every = found.offsets.to_numpy(), found.values.to_numpy(zero_copy_only=False)
                 sigs = [one(every[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if j > i]
                 ends = np.cumsum(np.r_[0, (np.diff(cuts) > 0) * slots]).astype(np.int32)
                 flat = np.concatenate([np.empty(0, dtype=np.int64), *sigs])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from difflib import SequenceMatcher
 
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as T
 from corpusmill.operators import catalogue, chunks, dedup, events, glossary, retrieval
 from corpusmill.sources import sinks
 
@@ -213,3 +215,29 @@ def test_writers(spark, tmp_path):
         sinks.publish(pointers, 7, "g2", "g0")
     parts = sinks.with_parts(spark.createDataFrame([("a", i, n) for i, n in enumerate([5, 5, 1, 20, 2])], "g string, i int, n int"), "g", "i", "n", 10)
     assert rows(parts, "i", "part") == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3)]
+
+
+ODD_TEXTS = ["", None, "one", "a b c d", "И в Straße İstanbul ΟΔΟΣ ёлка naïve ﬀ x1", "one two three four five six one two three four five " * 90, "a-b_c\tд̇ \U0001d400bc Ž", " \n"]
+
+
+def test_words_and_slots_in_tasks_are_those_of_columns(spark):
+    rows = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "id int, text string")
+    seen = rows.select(T.for_tokens(F.col("text")).alias("t"), T.all_tokens(F.col("text")).alias("w"), F.transform(T.all_tokens(F.col("text")), T.slot).alias("s")).collect()
+    assert all(T.words(r.t) == r.w and [T.slot_of(w) for w in r.w] == r.s for r in seen)
+    known = T.Numbers(len)
+    known.MOST = 2
+    assert known.of(["a", "bb", "ccc", "a"]).tolist() == [1, 2, 3, 1] and len(known) <= 2
+
+
+def test_postings_and_signatures_leave_the_words_to_tasks(spark):
+    docs = spark.createDataFrame([*enumerate(ODD_TEXTS), (1, "one more"), (None, "no id")], "doc_id long, text string")
+    slots = docs.select("doc_id", F.explode(F.transform(T.tokens(F.col("text")), T.slot)).alias("slot")).groupBy("doc_id", "slot").count()
+    got = retrieval.postings(docs, "doc_id", "text")
+    assert sorted((str(r.doc_id), r.slot, round(r.weight, 9)) for r in got.collect()) == sorted((str(r.doc_id), r.slot, round(math.log1p(r["count"]), 9)) for r in slots.collect())
+    base = F.transform(dedup.shingles(F.col("text")), lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 7), 16, 10).cast("long"))
+    want = [[min((x * dedup.slope(i) + dedup.shift(i)) % dedup.PRIME for x in r.b) for i in range(dedup.SLOTS)] if r.b else [] for r in docs.select(base.alias("b")).collect()]
+    signed = dedup.signatures(docs)
+    assert [r.sig for r in signed.collect()] == want
+    for df in (got, signed):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan and "md5" not in plan
