@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
+from ..session import dealt
 
 CHUNK_CHARS, FRAGMENT_BYTES, GAP = 8000, 2000, "\n\n"
 
@@ -153,11 +154,13 @@ def field(header: Column, row: Column, names: list[str], fallback: int) -> Colum
 
 
 def regions(cells_: DataFrame, sheet: str = "sheet", row: str = "row", column: str = "col") -> DataFrame:
-    """(sheet, row, first, last): runs of neighbouring filled columns."""
+    """(sheet, row, first, last): runs of neighbouring filled columns; a cell that comes again counts once. Cells are dealt out once, by rows."""
     from pyspark.sql import Window as W
 
+    places = cells_.select(sheet, row, column)
+    once = dealt(places, places.count(), sheet, row).distinct()
     run = F.col(column) - F.row_number().over(W.partitionBy(sheet, row).orderBy(column))
-    return cells_.withColumn("_r", run).groupBy(sheet, row, "_r").agg(F.min(column).alias("first"), F.max(column).alias("last")).drop("_r")
+    return once.withColumn("_r", run).groupBy(sheet, row, "_r").agg(F.min(column).alias("first"), F.max(column).alias("last")).drop("_r")
 
 
 def cell_state(raw: Column, formula: Column) -> Column:
