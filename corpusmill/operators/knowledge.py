@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import TEXTS, Numbers, all_tokens, bound, for_tokens, words
+from ..session import dealt
 from .catalogue import MOST_DEPTH, ancestry
 from .folds import folded
 
@@ -86,12 +87,19 @@ def unique_slugs(rows: DataFrame, group: str, slug: str, order: str) -> DataFram
 
 
 def tree_faults(edges: DataFrame, group: str, node: str, parent: str) -> DataFrame:
-    """(group, nodes, repeated, roots, strays): strays have a parent that is not there."""
-    known = edges.select(group, F.col(node).alias(parent)).distinct().withColumn("_there", F.lit(1))
-    seen = edges.join(known, [group, parent], "left")
-    return seen.groupBy(group).agg(
-        F.count("*").alias("nodes"), (F.count("*") - F.count_distinct(node)).alias("repeated"), F.count_if(F.col(parent).isNull()).alias("roots"),
-        F.count_if(F.col(parent).isNotNull() & F.col("_there").isNull()).alias("strays"),
+    """(group, nodes, repeated, roots, strays): strays have a parent that is not there; rows without a group have none. Each name of a group meets
+    its nodes and its children in one row, then the names of a group are added up."""
+    names = edges.select(group, F.explode(F.array(F.struct(F.col(node).alias("name"), F.lit(1).alias("own")), F.struct(F.col(parent).alias("name"), F.lit(0).alias("own")))).alias("x"))
+    n = edges.count()
+    met = dealt(names.select(group, "x.*"), 2 * n, group, "name").groupBy(group, "name").agg(F.sum("own").alias("own"), F.count_if(F.col("own") == 0).alias("children"))
+    named, there = F.col("name").isNotNull(), (F.col("own") > 0) & F.col(group).isNotNull()
+    one = met.select(
+        group, "own", F.when(named & (F.col("own") > 0), 1).otherwise(0).alias("first"), F.when(named, 0).otherwise(F.col("children")).alias("roots"),
+        F.when(named & ~there, F.col("children")).otherwise(0).alias("strays"),
+    )
+    total = lambda c: F.sum(c).cast("long")
+    return dealt(one, 2 * n, group).groupBy(group).agg(
+        total("own").alias("nodes"), (total("own") - total("first")).alias("repeated"), total("roots").alias("roots"), total("strays").alias("strays"),
     )
 
 

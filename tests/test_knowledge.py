@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from corpusmill import session
 from corpusmill.operators import chunks as C
 from corpusmill.operators import knowledge as K
 
@@ -80,3 +81,15 @@ def test_vectors_of_tasks_are_those_of_columns(spark):
     docs = spark.createDataFrame([(1, "alpha beta beta"), (2, ""), (3, None), (4, "Straße ёлка x İs"), (None, "z")], "id int, text string")
     want = [(r.id, r.v) for r in docs.select("id", K.test_vector(F.col("text")).alias("v")).collect()]
     assert [(r.id, r.embedding) for r in K.test_vectors(docs, "id", "text").collect()] == want
+
+
+def test_faults_of_odd_trees_and_shares_that_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(session, "DEALT_ROWS", 2)
+    edges = [("a", 1, None), ("a", 2, 1), ("a", 2, 1), ("a", 3, 9), ("b", None, 7), ("b", 7, None), ("b", 8, None), (None, 1, None), (None, 2, 1), ("c", 5, 5)]
+    got = K.tree_faults(spark.createDataFrame(edges, "g string, n int, p int"), "g", "n", "p")
+    assert {r.g: (r.nodes, r.repeated, r.roots, r.strays) for r in got.collect()} == {"a": (4, 1, 1, 1), "b": (3, 1, 2, 0), None: (2, 0, 1, 1), "c": (1, 0, 0, 0)}
+    assert got.rdd.getNumPartitions() == 10
+    cells = [(1, 1, c) for c in (1, 2, 2, 3, 5)] + [(1, 2, 4), (2, 1, 1), (2, 1, 1)]
+    runs = C.regions(spark.createDataFrame(cells, "sheet int, row int, col int"))
+    assert sorted(map(tuple, runs.select("sheet", "row", "first", "last").collect())) == [(1, 1, 1, 3), (1, 1, 5, 5), (1, 2, 4, 4), (2, 1, 1, 1)]
+    assert runs.rdd.getNumPartitions() == 4
