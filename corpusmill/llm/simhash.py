@@ -82,8 +82,9 @@ def _matrix(fps: list[bytes], words: int) -> np.ndarray:
 # ---------------------------------------------------------------- plan
 
 
-def bit_statistics(nodes: DataFrame, words: int) -> tuple[int, np.ndarray]:
-    """(nodes, how often each two bits are both set), over all nodes; the driver gets one row for each bit."""
+def bit_statistics(nodes: DataFrame, words: int, more: int = 0) -> tuple[int, np.ndarray]:
+    """(nodes, how often each two bits are both set), over all nodes; the driver gets one row for each bit. ``more`` words behind
+    those of the fingerprint are not looked at."""
     size = 64 * words
 
     def count(batches):
@@ -91,7 +92,8 @@ def bit_statistics(nodes: DataFrame, words: int) -> tuple[int, np.ndarray]:
         for batch in batches:
             fps = column(batch, "fp")
             for a in range(0, len(fps), 4096):
-                bits = np.unpackbits(_matrix(fps[a : a + 4096], words).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+                held = np.ascontiguousarray(_matrix(fps[a : a + 4096], words + more)[:, :words])
+                bits = np.unpackbits(held.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
                 total += bits.T @ bits
                 n += len(bits)
         yield pa.RecordBatch.from_arrays(
@@ -223,19 +225,20 @@ def _forest(key, role, node, fps, near):
     return label
 
 
-def links(nodes: DataFrame, reach: int, limit: int, choices: tuple[int, ...], words: int = 1) -> DataFrame:
-    """(u, v): edges that join all nodes (fp, node) within ``limit`` found in some partition; all pairs within ``reach`` are."""
-    n, together = bit_statistics(nodes, words)
+def links(nodes: DataFrame, reach: int, limit: int, choices: tuple[int, ...], words: int = 1, more: int = 0, also=None) -> DataFrame:
+    """(u, v): edges that join all nodes (fp, node) within ``limit`` found in some partition; all pairs within ``reach`` are. ``fp`` may
+    have ``more`` words behind the fingerprint; only pairs that ``also`` lets pass by their differing bits are joined then."""
+    n, together = bit_statistics(nodes, words, more)
     if n < 2:
         return nodes.sparkSession.createDataFrame([], "u long, v long")
     parts = plan(n, together, reach, choices)
 
     def own_keys(batch):
-        fps = _matrix(column(batch, "fp"), words)
+        fps = _matrix(column(batch, "fp"), words + more)
         return [_key(i, _values(fps, bits)) for i, (bits, _) in enumerate(parts)]
 
     def dealt(batch):
-        fps, out = _matrix(column(batch, "fp"), words), []
+        fps, out = _matrix(column(batch, "fp"), words + more), []
         for i, (bits, t) in enumerate(parts):
             v = _values(fps, bits)
             out.append((_key(i, v), np.arange(len(v)), 0))
@@ -245,10 +248,14 @@ def links(nodes: DataFrame, reach: int, limit: int, choices: tuple[int, ...], wo
         return out
 
     def near(differing):
-        return np.bitwise_count(differing).sum(axis=1) <= limit if words > 1 else np.bitwise_count(differing[:, 0]) <= limit
+        close = np.bitwise_count(differing[:, :words]).sum(axis=1) <= limit if words > 1 else np.bitwise_count(differing[:, 0]) <= limit
+        if also is not None:
+            at = np.flatnonzero(close)
+            close[at] = also(differing[at, words:])
+        return close
 
     entries = n * sum(1 + len(_masks(len(b), t)) // 2 for b, t in parts)
-    return meet(nodes.select("fp", "node"), n, entries, words, own_keys, dealt, near)
+    return meet(nodes.select("fp", "node"), n, entries, words + more, own_keys, dealt, near)
 
 
 def meet(nodes: DataFrame, n: int, entries: int, words: int, own_keys, dealt, near) -> DataFrame:

@@ -36,8 +36,13 @@ BANDS, ROWS = 24, 4
 MINIMA = BANDS * ROWS
 #: So many minima of a candidate pair are equal; at 0.8 they are 77 on average, and fewer than this in 0.00004 % of all cases.
 LEAST_EQUAL = 56
+#: Near fingerprints of unlike texts grow squared with the texts, and would in the end join all of them to one group. Of the first SKETCH
+#: minima such a pair shares SKETCH_EQUAL bytes in 0.003 % of all cases; a pair of similarity 0.8 shares fewer in 0.000001 %.
+SKETCH, SKETCH_EQUAL = 16, 3
 #: A group with more nodes or shingles is compared in blocks of about so many by several tasks.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Bytes of shingle sets that a task holds before it hands them on.
+SENT = 8 << 20
 #: Shingles that one task compares.
 TASK_SHINGLES = 2 << 20
 _RNG = np.random.default_rng(11)
@@ -85,8 +90,17 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """(u, v): edges that join all nodes (node, bits, fp, bands) whose fingerprints or minima are near."""
-    by_bits = links(nodes.select("node", F.col("bits").alias("fp")), REACH, MOST_BITS, PARTS, WORDS)
-    return by_bits.unionByName(by_bands(nodes))
+    return by_bits(nodes).unionByName(by_bands(nodes))
+
+
+def by_bits(nodes: DataFrame) -> DataFrame:
+    """(u, v): edges that join all nodes (node, bits, fp) with near fingerprints and SKETCH_EQUAL equal minima among the first ones."""
+
+    def alike(differing):
+        return (np.ascontiguousarray(differing).view(np.uint8).reshape(-1, SKETCH) == 0).sum(axis=1) >= SKETCH_EQUAL
+
+    drawn = nodes.select("node", F.concat("bits", F.substring("fp", 1, SKETCH)).alias("fp"))
+    return links(drawn, REACH, MOST_BITS, PARTS, WORDS, SKETCH // 8, alike)
 
 
 def shared_bands(nodes: DataFrame) -> DataFrame:
@@ -143,6 +157,45 @@ def linked(sets: list[np.ndarray], least: tuple[int, int]) -> np.ndarray:
     return label
 
 
+def sent(batches, shingle: int, tasks: int):
+    """Record batches (p, g, rep, data) of the shingle sets of members (node, digest, component, blocks, text), each once for every pair of
+    blocks that it is in. None has more than SENT bytes of sets, or one set, however many blocks a group has."""
+
+    def handed():
+        columns = [pa.array(np.concatenate(ps).view(np.int64)), pa.array(np.concatenate(gs).view(np.int64)), pa.array(reps, pa.int64()), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["p", "g", "rep", "data"])
+
+    for batch in batches:
+        rows = zip(*(column(batch, c) for c in ("node", "digest", "component", "blocks")), batch.column("text").cast(pa.binary()), strict=True)
+        ps, gs, reps, data, held = [], [], [], [], 0
+        seen = set()
+        for node, digest, component, blocks, text in rows:
+            if node in seen:  # a repeated row
+                continue
+            seen.add(node)
+            h = shingle_set(text.as_py(), shingle)
+            frame = h.tobytes()
+            if xxhash.xxh128_digest(frame) != digest:  # another text of the same doc_id and hash
+                continue
+            own = int(mix(np.array([node], dtype=np.int64).view(np.uint64))[0] % U64(blocks))
+            other = np.array([k for k in range(blocks) if k != own or blocks == 1], dtype=np.uint64)
+            pair = np.minimum(other, U64(own)) * U64(1 << 24) + np.maximum(other, U64(own))
+            every = mix(mix(np.array([component], dtype=np.int64).view(np.uint64)) + pair)
+            step = max(1, SENT // max(1, len(frame)))
+            for k in range(0, len(every), step):
+                g = every[k : k + step]
+                if data and held + len(g) * len(frame) > SENT:
+                    yield handed()
+                    ps, gs, reps, data, held = [], [], [], [], 0
+                gs.append(g)
+                ps.append(g % U64(tasks))
+                reps += [node] * len(g)
+                data += [frame] * len(g)
+                held += len(g) * len(frame)
+        if data:
+            yield handed()
+
+
 def _verified(docs: DataFrame, members: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
     """(u, v): edges that join all members (node, rep, digest, component, size) of a group whose sets are near enough."""
     groups = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
@@ -152,28 +205,7 @@ def _verified(docs: DataFrame, members: DataFrame, shingle: int, least: tuple[in
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_SHINGLES))
 
     def send(batches):
-        for batch in batches:
-            rows = zip(*(column(batch, c) for c in ("node", "digest", "component", "blocks")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
-            ps, gs, reps, data = [], [], [], []
-            seen = set()
-            for node, digest, component, blocks, text in rows:
-                if node in seen:  # a repeated row
-                    continue
-                seen.add(node)
-                h = shingle_set(text, shingle)
-                frame = h.tobytes()
-                if xxhash.xxh128_digest(frame) != digest:  # another text of the same doc_id and hash
-                    continue
-                own = int(mix(np.array([node], dtype=np.int64).view(np.uint64))[0] % U64(blocks))
-                other = np.array([k for k in range(blocks) if k != own or blocks == 1], dtype=np.uint64)
-                pair = np.minimum(other, U64(own)) * U64(1 << 24) + np.maximum(other, U64(own))
-                g = mix(mix(np.array([component], dtype=np.int64).view(np.uint64)) + pair)
-                gs += g.view(np.int64).tolist()
-                ps += (g % U64(tasks)).tolist()
-                reps += [node] * len(g)
-                data += [frame] * len(g)
-            columns = [pa.array(ps, pa.int64()), pa.array(gs, pa.int64()), pa.array(reps, pa.int64()), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["p", "g", "rep", "data"])
+        yield from sent(batches, shingle, tasks)
 
     def verify(key, table):
         g, rep, data = table.column("g").to_numpy(), table.column("rep").to_numpy(), column(table, "data")

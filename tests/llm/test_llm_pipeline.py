@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
-from corpusmill.llm import mixing, simhash, similar
+from corpusmill.llm import graph, mixing, simhash, similar
 
 ITEM = "what is the tall zebra said to carry over the frozen river at night answer eleven copper lanterns"
 
@@ -127,3 +128,33 @@ def test_stages_keep_columns_of_any_name(spark, planted):
         assert out.columns[len(docs.columns) :] == (["__copy"] if stage is P.mix else []), name
         for r in out.collect():
             assert all(r[c] == f"mine {r.doc_id} {c}" for c in names), name
+
+
+def test_near_fingerprints_of_unlike_texts_do_not_meet(spark):
+    rng = np.random.default_rng(5)
+    bands = lambda k: rng.integers(0, 1 << 62, similar.BANDS, dtype=np.uint64).tobytes()
+    base = rng.integers(0, 1 << 63, dtype=np.uint64)
+    alike = rng.integers(0, 256, similar.MINIMA, dtype=np.uint8)
+    rows = []
+    for k in range(60):  # all within two bits of each other; the first 20 share most of their minima
+        fp = rng.integers(0, 256, similar.MINIMA, dtype=np.uint8) if k >= 20 else np.where(rng.random(similar.MINIMA) < 0.9, alike, 0).astype(np.uint8)
+        rows.append((k, (base ^ (np.uint64(1) << np.uint64(k))).tobytes(), fp.tobytes(), bands(k)))
+    nodes = spark.createDataFrame(rows, "node long, bits binary, fp binary, bands binary")
+    got = graph.components(similar.candidates(nodes)).collect()
+    assert {(r.node, r.component) for r in got} == {(k, 0) for k in range(1, 20)}
+
+
+def test_sets_of_large_groups_are_sent_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{k}x{j}" for j in range(60)) for k in range(30)] + [None, "one"]
+    digests = [similar.xxhash.xxh128_digest(similar.shingle_set(t and t.encode(), 5).tobytes()) for t in texts]
+    n = len(texts)
+    batch = pa.RecordBatch.from_pydict({"node": list(range(n)), "digest": digests, "component": [3] * n, "blocks": [50] * (n - 1) + [1], "text": texts})
+    monkeypatch.setattr(similar, "SENT", 5000)
+    got = list(similar.sent(iter([batch, batch.slice(0, 0)]), 5, 7))
+    assert max(sum(map(len, b.column("data").to_pylist())) for b in got) <= 5000
+    monkeypatch.setattr(similar, "SENT", 1 << 30)
+    whole = list(similar.sent(iter([batch]), 5, 7))
+    rows = lambda bs: [r for b in bs for r in zip(*[b.column(c).to_pylist() for c in b.schema.names], strict=True)]
+    assert len(whole) == 1 and rows(got) == rows(whole) and len(rows(got)) == 49 * (n - 1) + 1
