@@ -1,13 +1,15 @@
 """Glossary forms in queries as spans of the text that was typed, and plans that add the other forms of what was found.
 
-A query is normalised with the place of each of its characters kept, one Aho-Corasick automaton over all forms finds them in one pass,
-and a join gives the terms. Longest spans win; a form that several terms claim triggers none of them. Null texts have no spans.
+A query is normalised with the place of each of its characters kept. Forms of one word are looked up word by word, one Aho-Corasick
+automaton finds all others in one pass, and a join gives the terms. Longest spans win; a form that several terms claim triggers none of them. Null texts have no spans.
 """
 
 from __future__ import annotations
 
 import itertools
+import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +27,7 @@ MOST_TERMS, MOST_ADDED, MOST_TOKENS, MOST_CHARS, MOST_QUERY = 5, 4, 32, 768, 819
 MOST_PLACES = 20_000
 #: Characters that join the parts of a code, and one that belongs to codes.
 JOINTS, SLASH = ".:-", "/"
+BLANKS, PARTS = re.compile(" {2,}"), re.compile(r"\w+")
 
 
 def mapped(text: str) -> tuple[str, list[int], list[int]]:
@@ -47,6 +50,39 @@ def mapped(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(c for c, _, _ in out), [a for _, a, _ in out], [b for _, _, b in out]
 
 
+class _Shown(dict):
+    """What ``mapped`` makes of a character by itself; of one that joins others or becomes several, two blanks."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        shown = " " if c.isspace() else unicodedata.normalize("NFC", c).lower().replace("̇", "")
+        self[code] = shown = "  " if unicodedata.combining(c) or len(shown) != 1 else " " if shown.isspace() else shown
+        return shown
+
+
+_SHOWN = _Shown()
+
+
+def placed(text: str):
+    """(normalised text, start of a character in the text, end of one), as ``mapped`` has them. Where each character becomes one, only the
+    runs of blanks that it shortens are noted."""
+    low = text.translate(_SHOWN)
+    if len(low) != len(text):
+        low, starts, ends = mapped(text)
+        return low, starts.__getitem__, ends.__getitem__
+    lead = len(low) - len(low.lstrip(" "))
+    low = low.strip(" ")
+    if "  " not in low:
+        return low, lambda p: p + lead, lambda p: p + lead + 1
+    behind, gone = [0], [lead]
+    for run in BLANKS.finditer(low):
+        gone.append(gone[-1] + run.end() - run.start() - 1)
+        behind.append(run.end() - gone[-1] + lead)
+    low = BLANKS.sub(" ", low)
+    start = lambda p: p + gone[bisect_right(behind, p) - 1]
+    return low, start, lambda p: start(p) + 1 if low[p] != " " else start(p + 1)
+
+
 def normal(form: str | None) -> str:
     """The key of a form."""
     value = " ".join(unicodedata.normalize("NFC", form or "").split()).lower().replace("̇", "")
@@ -80,8 +116,30 @@ def keyed(forms: DataFrame) -> DataFrame:
     return forms.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in forms.schema) + ", norm string").where("norm <> ''")
 
 
-def located(batches, forms: list[str], key: str, text: str):
-    """Record batches of the places of some forms in batches of texts, none of more than MOST_PLACES rows."""
+def phrases(low: str, whole: set[str], automaton):
+    """(form, start, end, code) of the phrases in a normalised text. A form that is one word is a phrase where it is a whole word; what is
+    no phrase is no code either."""
+    size = len(low)
+    for word in PARTS.finditer(low):
+        form = word.group()
+        if form in whole:
+            a, b = word.span()
+            alone = (a == 0 or low[a - 1] == " ") and (b == size or low[b] == " ")
+            yield form, a, b, alone or bounded(low, a, b)[1]
+    free: dict[str, int] = {}
+    for last, form in automaton.iter(low) if len(automaton) else ():
+        a, b = last + 1 - len(form), last + 1
+        if a < free.get(form, 0):
+            continue
+        free[form] = b
+        phrase, code = bounded(low, a, b)
+        if phrase:
+            yield form, a, b, code
+
+
+def located(batches, forms: list[str], key: str, text: str, once: bool = False):
+    """Record batches of the places of some forms in batches of texts, none of more than MOST_PLACES rows; ``once``: one place of a form in
+    a text."""
     import ahocorasick
 
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
@@ -91,30 +149,35 @@ def located(batches, forms: list[str], key: str, text: str):
         keys = batch.column(key).take(pa.array(columns[0], pa.int64()))
         return pa.RecordBatch.from_arrays([keys, *[pa.array(c, t) for c, t in zip(columns[1:], kinds, strict=True)]], names=[key, "norm", "start", "end", "matched", "phrase", "code"])
 
+    whole = {form for form in forms if PARTS.fullmatch(form)}
     automaton = ahocorasick.Automaton()
     for form in forms:
-        automaton.add_word(form, form)
+        if form not in whole:
+            automaton.add_word(form, form)
     automaton.make_automaton()
     for batch in batches:
         rows = []
         for i, value in enumerate(batch.column(text)):
-            typed = value.as_py()
-            low, starts, ends = mapped(typed or "")
-            free: dict[str, int] = {}
-            for last, form in automaton.iter(low) if len(automaton) else ():
-                a, b = last + 1 - len(form), last + 1
-                if a < free.get(form, 0):
-                    continue
-                free[form] = b
-                rows.append((i, form, starts[a], ends[b - 1], typed[starts[a] : ends[b - 1]], *bounded(low, a, b)))
+            typed = value.as_py() or ""
+            low, start, end = placed(typed)
+            seen: set[str] = set()
+            for form, a, b, code in phrases(low, whole, automaton):
+                if once:
+                    if form in seen:
+                        continue
+                    seen.add(form)
+                first, past = start(a), end(b - 1)
+                rows.append((i, form, first, past, typed[first:past], True, code))
                 if len(rows) == MOST_PLACES:
                     yield handed(batch, rows)
                     rows = []
-        yield handed(batch, rows)
+        if rows:
+            yield handed(batch, rows)
 
 
-def occurrences(queries: DataFrame, norms: DataFrame, key: str, text: str, most: int = MOST_FORMS) -> DataFrame:
-    """(key, norm, start, end, matched, phrase, code): every place of every form (norm), from the left and each form's own places apart."""
+def occurrences(queries: DataFrame, norms: DataFrame, key: str, text: str, most: int = MOST_FORMS, once: bool = False) -> DataFrame:
+    """(key, norm, start, end, matched, phrase, code): every place of every form (norm), from the left and each form's own places apart;
+    ``once``: one of them for each text."""
     spark = queries.sparkSession
     found = norms.select("norm").distinct()
     slices = -(-found.count() // most) or 1
@@ -125,13 +188,13 @@ def occurrences(queries: DataFrame, norms: DataFrame, key: str, text: str, most:
         held = spark.sparkContext.broadcast([r.norm for r in found.where(dealt == k).collect()])  # about ``most`` forms
 
         def run(batches, held=held):
-            yield from located(batches, held.value, key, text)
+            yield from located(batches, held.value, key, text, once)
 
         passes.append(queries.select(key, text).mapInArrow(run, f"`{key}` {kind}, norm string, start long, end long, matched string, phrase boolean, code boolean"))
     out = passes[0]
     for other in passes[1:]:
         out = out.unionByName(other)
-    return out.where("phrase OR code")
+    return out
 
 
 def claims(known: DataFrame) -> DataFrame:
@@ -140,10 +203,20 @@ def claims(known: DataFrame) -> DataFrame:
     return known.join(shared, "norm")
 
 
+def triggers(known: DataFrame) -> DataFrame:
+    """Forms (norm, term_id, form, mode) that trigger: those that one term alone claims."""
+    return claims(known).where("can_trigger AND NOT shared").select("norm", "term_id", "form", "mode")
+
+
+def contested(known: DataFrame) -> DataFrame:
+    """Triggering forms (norm, term_id, form) that several terms claim."""
+    return claims(known).where("can_trigger AND shared").select("norm", "term_id", "form").distinct()
+
+
 def spans(places: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """(key, term_id, form, start, end, matched): of overlapping places of triggering forms the longest stays, then the first, then the
     least term and form."""
-    own = few(claims(known).where("can_trigger AND NOT shared").select("norm", "term_id", "form", "mode"))
+    own = few(triggers(known))
     met = places.join(own, "norm").where((F.col("mode") == "identifier") & F.col("code") | (F.col("mode") == "phrase") & F.col("phrase"))
     row = F.struct((F.col("start") - F.col("end")).alias("o"), "start", "term_id", "norm", "form", "end", "matched")
     # places that no chain of overlaps joins can't bar each other
@@ -158,8 +231,18 @@ def spans(places: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 def refused(places: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """(key, term_id, form): forms of a query that several terms claim, for each of them."""
-    shared = few(claims(known).where("can_trigger AND shared").select("norm", "term_id", "form"))
-    return places.where("phrase").select(key, "norm").distinct().join(shared, "norm").select(key, "term_id", "form").distinct()
+    # rows of both sides are there once, and a form has one norm
+    return places.where("phrase").select(key, "norm").distinct().join(few(contested(known)), "norm").select(key, "term_id", "form")
+
+
+def refusals(places: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """(key, forms, terms): how many forms ``refused`` has for a query, in lower case, and how many terms. Places are dealt out by query
+    before the claims of a form multiply them."""
+    claimed = contested(known)
+    low, none = F.lower("form").alias("low"), F.lit(None)
+    either = claimed.select("norm", low, none.cast("long").alias("term_id")).unionByName(claimed.select("norm", none.cast("string").alias("low"), "term_id"))
+    met = places.where("phrase").select(key, "norm").repartition(key).join(few(either.distinct()), "norm")
+    return met.select(key, "low", "term_id").distinct().groupBy(key).agg(F.count("low").alias("forms"), F.count("term_id").alias("terms"))
 
 
 def plans(queries: DataFrame, known: DataFrame, key: str, text: str) -> DataFrame:

@@ -222,3 +222,33 @@ def test_equal_areas_and_cuts_are_cut_once(spark, monkeypatch):
     left = {0: {(0, 0, 1, 1), (8, 0, 9, 1)}, 1: {(0, 0, 3, 1), (4, 0, 9, 0)}, None: {(0, 0, 9, 1)}}
     for a, s, *_ in areas:
         assert sorted(tuple(r)[1:] for r in got if r.a == a) == sorted(left[s])
+
+
+def test_places_of_characters_agree_with_the_plain_way():
+    rng = random.Random(12)
+    some = ["ab", "Σ", "İ", "é", "é", " ", "  ", " \t\n", " ", "́", "Å", "क़", "ß", "-", ".", "_", "7", "/", "ǅ", "가", "가"]
+    for k in range(600):
+        text = "".join(rng.choice(some[: 5 if k % 3 == 0 else None]) for _ in range(rng.randint(0, 12)))
+        low, starts, ends = spans.mapped(text)
+        got, start, end = spans.placed(text)
+        assert (got, [start(p) for p in range(len(got))], [end(p) for p in range(len(got))]) == (low, starts, ends), text
+
+
+def test_places_that_are_no_phrase_stay_in_their_task():
+    import pyarrow as pa
+
+    forms = ["ab", "a-a", "ab cd", "x1"]
+    batch = pa.RecordBatch.from_pydict({"q": [1, 2, 3], "t": ["cab abc  AB\tcd.ab", "ba-a-a a-a x1/ab -x1-", None]})
+    rows = lambda once: sorted(r for b in spans.located(iter([batch]), forms, "q", "t", once) for r in zip(*[b.column(c).to_pylist() for c in b.schema.names], strict=True))
+    want = [(1, "ab", 9, 11, "AB", True, True), (1, "ab", 15, 17, "ab", True, False), (1, "ab cd", 9, 14, "AB\tcd", True, False)]
+    want += [(2, "a-a", 7, 10, "a-a", True, True), (2, "ab", 14, 16, "ab", True, False), (2, "x1", 11, 13, "x1", True, False), (2, "x1", 18, 20, "x1", True, True)]
+    assert rows(False) == want and rows(True) == [r for k, r in enumerate(want) if r[:2] not in [w[:2] for w in want[:k]]]
+
+
+def test_refusals_count_forms_and_terms_of_a_query_once(spark):
+    known = spark.createDataFrame([(1, "Alpha"), (2, "alpha"), (2, "ALPHA"), (3, "beta"), (1, "beta"), (4, "lone")], "term_id long, form string").selectExpr("*", "'phrase' AS mode", "true AS can_trigger", "true AS can_search")
+    known = spans.keyed(known)
+    asked = spark.createDataFrame([(1, "alpha beta alpha"), (1, "Alpha lone"), (2, "lone"), (3, "beta")], "q int, t string")
+    places = spans.occurrences(asked, spans.contested(known), "q", "t", once=True)
+    assert sorted(map(tuple, spans.refusals(places, known, "q").collect())) == [(1, 2, 3), (3, 1, 2)]
+    assert sorted(map(tuple, spans.refused(places, known, "q").where("q = 3").collect())) == [(3, 1, "beta"), (3, 3, "beta")]
