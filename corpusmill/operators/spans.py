@@ -251,20 +251,21 @@ def plans(queries: DataFrame, known: DataFrame, key: str, text: str) -> DataFram
     known = settled(keyed(known))
     places = settled(occurrences(queries, known, key, text))
     found = spans(places, known, key).groupBy(key, "term_id").agg(F.min("start").alias("first"))
-    terms = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", "term_id"))).alias("terms"))
+    terms = settled(found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", "term_id"))).alias("terms")))
     there = places.select(key, "norm", "phrase", "code").distinct().join(few(known.select("norm", "mode").distinct()), "norm").where((F.col("mode") == "identifier") & F.col("code") | (F.col("mode") == "phrase") & F.col("phrase"))
     there = there.select(key, "norm").distinct().withColumn("there", F.lit(True))
     listed = terms.select(key, F.posexplode("terms").alias("place", "t")).select(key, "place", "t.term_id")
-    searched = known.where("can_search").select("term_id", "form", "norm")
-    shown = listed.where(F.col("place") < MOST_TERMS).join(few(searched), "term_id", "left").join(there, [key, "norm"], "left").where("there IS NULL OR norm IS NULL").select(key, "place", "term_id", "form", "norm")
+    # what is counted of a form is counted once, not for each query
+    tokens = F.size(F.regexp_extract_all(F.lower("form"), F.lit(TOKEN), F.lit(1)))
+    searched = settled(known.where("can_search").select("term_id", "form", "norm", tokens.alias("n"), F.length("form").alias("size")))
+    shown = listed.where(F.col("place") < MOST_TERMS).join(few(searched), "term_id", "left").join(there, [key, "norm"], "left").where("there IS NULL AND form IS NOT NULL")
     # of terms past the last one taken no form is added: one row each says that something was left out
     total = searched.groupBy("term_id").agg(F.count_distinct("norm").alias("_all"))
     held = there.join(few(searched.select("term_id", "norm").distinct()), "norm").groupBy(key, "term_id").agg(F.count("*").alias("_held"))
     past = listed.where(F.col("place") >= MOST_TERMS).join(few(total), "term_id", "left").join(held, [key, "term_id"], "left").where("_all IS NULL OR coalesce(_held, 0) < _all")
-    shown = shown.unionByName(past.select(key, "place", "term_id", F.lit(None).cast("string").alias("form"), F.lit(None).cast("string").alias("norm")))
-    row = F.struct("place", "term_id", "form", "norm")
+    past = past.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "term_id"))).alias("past"))
+    row = F.struct("place", "term_id", "form", "norm", "n", "size")
     offered = shown.groupBy(key).agg(F.array_sort(F.collect_set(row)).alias("offered"))
-    tokens = lambda f: F.size(F.regexp_extract_all(F.lower(f), F.lit(TOKEN), F.lit(1)))
     note = lambda x, why, form: F.struct(x["term_id"].alias("term_id"), F.lit(why).alias("reason"), form.alias("form"))
     skip = "array<struct<term_id:bigint,reason:string,form:string>>"
     start = F.struct(
@@ -274,15 +275,14 @@ def plans(queries: DataFrame, known: DataFrame, key: str, text: str) -> DataFram
 
     def step(acc: Column, x: Column) -> Column:
         of_term = F.when(x["place"] == acc["place"], acc["of_term"]).otherwise(0)
-        new = x["form"].isNotNull() & ~F.array_contains(acc["norms"], F.coalesce(x["norm"], F.lit(""))) & (x["place"] < MOST_TERMS)
-        over_terms = (x["place"] >= MOST_TERMS) & (x["place"] != acc["place"])
+        new = ~F.array_contains(acc["norms"], x["norm"])
         over_aliases = new & (of_term == MOST_ADDED)
-        n, size = tokens(x["form"]), F.length(x["form"])
+        n, size = x["n"], x["size"]
         over_tokens, over_chars = acc["tokens"] + n > MOST_TOKENS, acc["chars"] + size > MOST_CHARS
         taken = new & (of_term < MOST_ADDED) & ~over_tokens & ~over_chars
         lengthy = taken & (acc["size"] + 1 + size > MOST_QUERY)
         none = F.lit(None).cast("string")
-        why = F.when(over_terms, F.array(note(x, "max_terms_per_query", none))).when(over_aliases, F.array(note(x, "max_added_aliases_per_term", none)))
+        why = F.when(over_aliases, F.array(note(x, "max_added_aliases_per_term", none)))
         why = why.when(new & (of_term < MOST_ADDED) & over_tokens, F.array(note(x, "max_added_tokens", x["form"]))).when(new & (of_term < MOST_ADDED) & over_chars, F.array(note(x, "max_added_chars", x["form"])))
         why = why.when(lengthy, F.array(note(x, "max_query_text_chars", x["form"]))).otherwise(F.array().cast(skip))
         some = lambda cond, c: F.when(cond, F.array(c)).otherwise(F.array().cast("array<string>"))
@@ -294,8 +294,9 @@ def plans(queries: DataFrame, known: DataFrame, key: str, text: str) -> DataFram
         )
 
     # a form that was skipped for one term may still come in by a later one, as it was not added
-    folded = queries.select(key, text).join(offered, key, "left").withColumn("matched", F.col("offered").isNotNull())
-    folded = folded.join(terms.select(key, F.lit(True).alias("has")), key, "left")
-    out = folded.withColumn("f", F.aggregate(F.coalesce("offered", F.array().cast("array<struct<place:int,term_id:bigint,form:string,norm:string>>")), start, step))
-    status = F.when(F.col("has").isNull(), "no_match").when(F.size("f.skipped") > 0, "limited").otherwise("applied")
-    return out.select(key, status.alias("status"), F.array_join(F.concat(F.array(F.col(text)), "f.dense"), "\n").alias("expanded"), F.col("f.added").alias("added"), F.col("f.skipped").alias("skipped"))
+    folded = queries.select(key, text).join(offered, key, "left").join(past, key, "left").join(terms.select(key, F.lit(True).alias("has")), key, "left")
+    out = folded.withColumn("f", F.aggregate(F.coalesce("offered", F.array().cast("array<struct<place:int,term_id:bigint,form:string,norm:string,n:int,size:int>>")), start, step))
+    notes = F.transform("past", lambda x: note(x, "max_terms_per_query", F.lit(None).cast("string")))
+    out = out.withColumn("skipped", F.concat("f.skipped", F.coalesce(notes, F.array()).cast(skip)))
+    status = F.when(F.col("has").isNull(), "no_match").when(F.size("skipped") > 0, "limited").otherwise("applied")
+    return out.select(key, status.alias("status"), F.array_join(F.concat(F.array(F.col(text)), "f.dense"), "\n").alias("expanded"), F.col("f.added").alias("added"), "skipped")

@@ -252,3 +252,13 @@ def test_refusals_count_forms_and_terms_of_a_query_once(spark):
     places = spans.occurrences(asked, spans.contested(known), "q", "t", once=True)
     assert sorted(map(tuple, spans.refusals(places, known, "q").collect())) == [(1, 2, 3), (3, 1, 2)]
     assert sorted(map(tuple, spans.refused(places, known, "q").where("q = 3").collect())) == [(3, 1, "beta"), (3, 3, "beta")]
+
+
+def test_forms_of_plans_are_measured_once_for_all_queries(spark):
+    forms = [(k, f, "phrase", True, True) for k in range(1, 8) for f in (f"w{k}", f"x{k}-y z{k}")] + [(1, "p " * 33 + "q", "phrase", False, True)]
+    known = spark.createDataFrame(forms, "term_id long, form string, mode string, can_trigger boolean, can_search boolean")
+    asked = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(1, 8))), (2, "w9"), (3, None)], "q long, t string")
+    got = spans.plans(asked, known, "q", "t")
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.q: (r.status, r.added, [(s.term_id, s.reason) for s in r.skipped]) for r in got.collect()}
+    assert rows[1] == ("limited", [f"x{k}-y z{k}" for k in range(1, 6)], [(1, "max_added_tokens"), (6, "max_terms_per_query"), (7, "max_terms_per_query")]) and rows[2] == ("no_match", [], []) == rows[3]
