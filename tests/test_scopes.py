@@ -93,3 +93,17 @@ def test_a_scope_of_many_turns_takes_no_frame_up_to_the_end(spark):
     assert sorted(r.node for r in out.where("included").collect()) == sorted(stays)
     # such a frame is summed anew for each row: squared in the rows of a group
     assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_cells_of_many_ranges_are_dealt_to_several_tasks(spark, monkeypatch):
+    from corpusmill import session
+    from corpusmill.operators import scopes
+
+    monkeypatch.setattr(session, "DEALT_ROWS", 100)
+    monkeypatch.setattr(scopes, "DEALT_ROWS", 100)
+    cells = spark.createDataFrame([(k, 1, k % 8, 3) for k in range(160)] + [(k, None, 1, 3) for k in range(9)], "k int, sheet int, row int, col int")
+    merges = spark.createDataFrame([(1, 0, 9, 2, 3, m) for m in range(20)], "sheet int, top int, bottom int, left int, right int, merge_id int")
+    got = scopes.merged(cells, merges)
+    tasks = got.rdd.glom().map(len).collect()
+    assert sum(tasks) == 160 * 20 and sum(t > 0 for t in tasks) > 2
+    assert scopes.merged(cells.limit(0), merges).count() == 0
