@@ -1,6 +1,7 @@
 """Near duplicates by SimHash, decided by the Jaccard similarity of shingle sets.
 
-SimHash finds candidates by the generalised pigeonhole principle: all pairs within REACH bits, and many up to MOST_BITS.
+SimHash finds candidates by the generalised pigeonhole principle: all pairs within REACH bits, and many up to MOST_BITS, of which those
+with too few equal minima for a similarity of 0.8 part again.
 Pairs of similarity 0.8 differ in 10 of 64 bits on average, more than can be probed for, so bands of MinHash values find
 what lies beyond the reach: texts that share all minima of a band meet, and those with too few equal minima in all part
 again. Neither search depends on the number of texts. Candidates are only joined to groups that may hold near
